@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import analyze, md5_key, seeded_shuffle
 from .graph import rank_key
 from .ordering import sample_rows, top_fraction, topn_per_group
-from .search import blend, position_of, result_order, with_alphas
+from .search import blend, position_of, result_order, score_key, with_alphas
 
 DEFAULT_SEED = "42"
 
@@ -32,12 +34,46 @@ def query_database(titled: DataFrame, n_queries: int = 1000, n_words: int = 5, f
     return chosen.select(F.col("id").alias("query_id"), F.array_join(picked, " ").alias("query"))
 
 
-def alpha_sweep(scored: DataFrame, alphas: Sequence[float], n: int = 100) -> DataFrame:
+def sweep_prefilter(scored: DataFrame, alphas: Sequence[float], n: int) -> DataFrame:
+    """Drop candidates that are provably outside the top-n at *every* grid alpha.
+
+    For each query a small probe set (its top-n at up to five grid alphas, <= 5n rows) gives,
+    per alpha, the n-th best key among the probes: a lower bound of the true n-th best key. A
+    candidate whose key is strictly below that bound at every alpha has n probes ahead of it
+    everywhere, so it can enter no result set. Exact: no row that could be selected is dropped.
+    """
+    alphas = [float(a) for a in alphas]
+    k = len(alphas)
+    probe_idx = sorted({0, k - 1, k // 4, k // 2, (3 * k) // 4})
+    probes = [alphas[i] for i in probe_idx]
+    p = with_alphas(scored, probes).withColumn("score", blend(F.col("lex"), F.col("pr"), F.col("alpha")))
+    top = topn_per_group(p, ["query_id", "alpha"], result_order(), n).select("query_id", "id", "lex", "pr").distinct()
+    grid = F.array(*[F.lit(a) for a in alphas])
+    probe_sets = top.groupBy("query_id").agg(F.collect_list(F.struct("lex", "pr")).alias("u"))
+    thresholds = probe_sets.select(
+        "query_id",
+        F.transform(grid, lambda a: F.try_element_at(
+            F.sort_array(F.transform("u", lambda u: score_key(blend(u["lex"], u["pr"], a))), asc=False), F.lit(n)
+        )).alias("thr"),
+    )
+    wide = thresholds.select("query_id", *[F.col("thr")[i].alias(f"__t{i}") for i in range(k)])
+    j = scored.join(wide, "query_id", "left")
+    # a flat OR of k comparisons (compiled by whole-stage codegen, short-circuits on survivors)
+    keep = reduce(or_, [
+        F.col(f"__t{i}").isNull() | (score_key(blend(F.col("lex"), F.col("pr"), a)) >= F.col(f"__t{i}"))
+        for i, a in enumerate(alphas)
+    ])
+    return j.where(keep).drop(*[f"__t{i}" for i in range(k)])
+
+
+def alpha_sweep(scored: DataFrame, alphas: Sequence[float], n: int = 100, prefilter: bool = True) -> DataFrame:
     """Top-n per (query, alpha) of ``alpha * lex + (1 - alpha) * pr`` over candidates
     ``scored(query_id, id, lex, pr)``; lexical and rank parts are computed once, blended per alpha."""
+    if prefilter and len(alphas) > 5:
+        scored = sweep_prefilter(scored, alphas, n)
     s = with_alphas(scored, alphas).withColumn("score", blend(F.col("lex"), F.col("pr"), F.col("alpha")))
     top = topn_per_group(s, ["query_id", "alpha"], result_order(), n)
-    return top.select("query_id", "alpha", F.col("pos").cast("long").alias("pos"), "id", "score")
+    return top.select("query_id", "alpha", F.col("pos").cast("long").alias("pos"), "id", "score", "lex", "pr")
 
 
 def resultset_diff(r1: DataFrame, r2: DataFrame, key: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -55,7 +91,7 @@ def resultset_diff(r1: DataFrame, r2: DataFrame, key: Sequence[str] = ("query_id
     return g.select(*key, F.when(F.col("z") == 0, F.lit(0.0)).otherwise(F.col("num") / F.col("z")).alias("difference"))
 
 
-def alpha_differences(results: DataFrame, queries: DataFrame, alphas: Sequence[float]) -> DataFrame:
+def alpha_differences_join(results: DataFrame, queries: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """``(query_id, alpha1, alpha2, difference)`` for every query and alpha pair a1 < a2.
 
     Uses ``sum |s1 - s2| = S1 + S2 - 2 * sum_overlap min(s1, s2)``: only documents present in both
@@ -85,6 +121,74 @@ def alpha_differences(results: DataFrame, queries: DataFrame, alphas: Sequence[f
     )
 
 
+def _pairwise_differences(alphas: Sequence[float]):
+    """Per-query kernel: overlap sums of all alpha pairs as two matrix products.
+
+    ``min(s_a1, s_a2)`` for a1 < a2 is ``s_a1`` when lex >= pr (the blend grows with alpha) and
+    ``s_a2`` otherwise, so with X the membership matrix (docs x alphas) and S the scores:
+    overlap = S_up^T X_up + X_dn^T S_dn, upper triangle.
+    """
+    import numpy as np
+    import pandas as pd
+
+    grid = np.asarray([float(a) for a in alphas])
+    k = len(grid)
+    iu = np.triu_indices(k, 1)
+
+    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        qid = key[0]
+        col = pdf["a"].to_numpy()
+        row, docs = pd.factorize(pdf["id"])
+        S = np.zeros((len(docs), k))
+        X = np.zeros((len(docs), k))
+        S[row, col] = pdf["score"].to_numpy()
+        X[row, col] = 1.0
+        up = np.zeros(len(docs), dtype=bool)
+        up[row] = pdf["up"].to_numpy()
+        overlap = S[up].T @ X[up] + X[~up].T @ S[~up]
+        tot = S.sum(axis=0)
+        z = tot[:, None] + tot[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = np.where(z == 0, 0.0, (z - 2.0 * overlap) / np.where(z == 0, 1.0, z))
+        return pd.DataFrame({"query_id": qid, "alpha1": grid[iu[0]], "alpha2": grid[iu[1]], "difference": d[iu]})
+
+    return kernel
+
+
+def alpha_differences(results: DataFrame, queries: DataFrame, alphas: Sequence[float],
+                      scored: DataFrame | None = None) -> DataFrame:
+    """``(query_id, alpha1, alpha2, difference)`` for every query and alpha pair a1 < a2.
+
+    Grouped by query: one query's results hold at most (grid size x n) rows, a bound set by the
+    parameters, not by the data, so the pairwise sums run as a vectorised kernel in its task.
+    Queries without any result get difference 0 for every pair. ``scored`` supplies lex/pr when
+    the results do not carry them.
+    """
+    alphas = sorted(float(a) for a in alphas)
+    r = results.select("query_id", "alpha", "id", "score")
+    if "lex" in results.columns and "pr" in results.columns:
+        r = results.select("query_id", "alpha", "id", "score", "lex", "pr")
+    elif scored is not None:
+        r = r.join(scored.select("query_id", "id", "lex", "pr"), ["query_id", "id"])
+    else:
+        return alpha_differences_join(results, queries, alphas)
+    schema = "query_id string, alpha1 double, alpha2 double, difference double"
+    index = F.array_position(F.array(*[F.lit(a) for a in alphas]), F.col("alpha")) - 1
+    slim = r.select("query_id", index.cast("int").alias("a"), "id", "score", (F.col("lex") >= F.col("pr")).alias("up"))
+    found = slim.groupBy("query_id").applyInPandas(_pairwise_differences(alphas), schema)
+    missing = queries.select("query_id").distinct().join(r.select("query_id"), "query_id", "left_anti")
+    grid = F.array(*[F.lit(a) for a in alphas])
+    k = len(alphas)
+    zeros = (
+        missing.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+        .select("query_id", "i", F.explode(F.sequence(F.col("i"), F.lit(k - 1))).alias("j"))
+        .where(F.col("i") < F.col("j"))
+        .select("query_id", F.element_at(grid, F.col("i") + 1).alias("alpha1"),
+                F.element_at(grid, F.col("j") + 1).alias("alpha2"), F.lit(0.0).alias("difference"))
+    )
+    return found.unionByName(zeros)
+
+
 def required_size(scored: DataFrame, queries: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """``(query_id, alpha, size)``: position of the query's source paper among matching documents
     ordered by the blended score (NULL when the source does not match)."""

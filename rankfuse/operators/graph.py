@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.text import md5_key, truncate_label
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
-RANK_KEY_PLACES = 12  # ranks are compared after rounding so float noise never decides an order
+RANK_KEY_SCALE = 1e12  # ranks are compared on a 1e-12 grid so float noise never decides an order
 
 
 def rank_key(col: str | Column = "rank") -> Column:
+    """``floor(rank * 1e12 + 0.5)``: cheap double arithmetic, same value in any SQL engine."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, RANK_KEY_PLACES)
+    return F.floor(c * F.lit(RANK_KEY_SCALE) + F.lit(0.5))
 
 
 # --- edges, nodes, degrees ------------------------------------------------------------------
@@ -140,13 +141,16 @@ def pagerank_state(edges: DataFrame, vertex_ids: DataFrame | None = None) -> Dat
 
 
 def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: float = 0.85,
-             max_iter: int = 50, tol: float | None = 1e-4, normalize: bool = True) -> PageRankResult:
+             max_iter: int = 50, tol: float | None = 1e-4, normalize: bool = True,
+             checkpoint_interval: int = 5) -> PageRankResult:
     """PageRank with uniform start 1/N, dangling mass spread evenly, stop when L1 change < tol.
 
-    Per step exactly one job: the new state is checkpointed (reliable, into the session's
-    checkpoint directory) and the step's L1 error, total and dangling mass are observed in that
-    same pass. Edges are persisted once, hash-partitioned by source; sources whose out-degree
-    exceeds (edges / partitions) are split off and spread by (src, dst).
+    Per step exactly one job, which also observes the step's L1 error, total and dangling mass.
+    The new state is persisted; every ``checkpoint_interval`` steps (and the last one) it is
+    checkpointed reliably into the session's checkpoint directory, so recovery after a lost
+    executor replays at most that many steps. Edges are persisted once, hash-partitioned by
+    source; sources whose out-degree exceeds (edges / partitions) are split off and spread by
+    (src, dst).
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -182,22 +186,37 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
     history: list = []
     converged = False
     total = 1.0
+    held = None  # persisted state of the previous step
     try:
         for i in range(max_iter):
             inflow = pagerank_inflow(state, cold, hot, hot_src if n_hot else None)
             step = pagerank_step(state, inflow, n_nodes, dangling, damping)
             obs = Observation(f"pagerank_{i + 1}")
-            state = step.observe(
+            observed = step.observe(
                 obs,
                 F.sum(F.abs(F.col("rank") - F.col("prev"))).alias("error"),
                 F.sum("rank").alias("total"),
                 F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0)).alias("dangling"),
-            ).select("id", "out_degree", "rank").checkpoint(eager=True)
+            ).select("id", "out_degree", "rank")
+            last = i + 1 == max_iter
+            if last or (i + 1) % max(checkpoint_interval, 1) == 0:
+                new_state = observed.checkpoint(eager=True)
+            else:
+                new_state = observed.persist(StorageLevel.MEMORY_AND_DISK)
+                new_state.count()
             m = obs.get
+            if held is not None:
+                held.unpersist()
+            held = None if new_state.is_cached is False else new_state
+            state = new_state
             total, dangling = float(m["total"]), float(m["dangling"])
             history.append({"iteration": i + 1, "error": float(m["error"]), "total": total, "dangling": dangling})
             if tol is not None and m["error"] < tol:
                 converged = True
+                if held is not None:  # converged on a persisted step: make the result durable
+                    state = state.checkpoint(eager=True)
+                    held.unpersist()
+                    held = None
                 break
     finally:
         cold.unpersist()

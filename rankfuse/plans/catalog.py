@@ -413,7 +413,7 @@ def q_alpha_grid_scores(spark, d):
 
 
 def q_alpha_sweep_topn(spark, d):
-    return rounded(wl(spark, d).sweep(), 9)
+    return rounded(wl(spark, d).sweep().select("query_id", "alpha", "pos", "id", "score"), 9)
 
 
 def q_alpha_pairs(spark, d):

@@ -130,7 +130,7 @@ DEPS["post_bm25"] = ["tf", "bvocab", "dl", "dlstat", "ranks"]
 # query database
 BASE["qwords"] = f"SELECT id, rank, {analyze('title')} AS words FROM titled"
 DEPS["qwords"] = ["titled"]
-BASE["qelig"] = (f"SELECT id, words, row_number() OVER (ORDER BY round(rank, 12) DESC, id ASC) AS pos "
+BASE["qelig"] = (f"SELECT id, words, row_number() OVER (ORDER BY floor(rank * 1e12 + 0.5) DESC, id ASC) AS pos "
                  f"FROM qwords WHERE len(words) >= {N_WORDS}")
 DEPS["qelig"] = ["qwords"]
 BASE["qtop"] = (f"SELECT id, words FROM qelig WHERE pos <= (SELECT CAST(floor({lit(TOP_FRACTION)} * COUNT(*)) AS BIGINT) "
@@ -159,7 +159,11 @@ def blend(lex: str, pr: str, a: str) -> str:
 
 
 def skey(x: str) -> str:
-    return f"round({x}, 9)"
+    return f"floor({x} * 1e9 + 0.5)"
+
+
+def rkey(x: str) -> str:
+    return f"floor({x} * 1e12 + 0.5)"
 
 
 BASE["sweep"] = (
@@ -241,7 +245,7 @@ def _search_sql(queries_cte: str) -> str:
         f"allq AS (SELECT DISTINCT query_id FROM {queries_cte}), "
         f"sc AS (SELECT q.query_id, d.id, {lit(SEARCH_ALPHA)} * COALESCE(c.cosine, 0.0) + {lit(SEARCH_BETA)} * d.pr AS score "
         "FROM allq q CROSS JOIN docs_pr d LEFT JOIN cs c ON c.query_id = q.query_id AND c.id = d.id), "
-        "rk AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id ASC) AS pos FROM sc) "
+        "rk AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e9 + 0.5) DESC, id ASC) AS pos FROM sc) "
     )
     return qv + f"SELECT query_id, CAST(pos AS BIGINT) AS pos, id, round(score, 9) AS score FROM rk WHERE pos <= {SEARCH_TOP_N}"
 
@@ -303,10 +307,10 @@ def build() -> dict[str, str]:
     Q["dangling_mass"] = with_ctes("SELECT round(COALESCE(SUM(rank), 0.0), 12) AS dangling_mass FROM ranks "
                                    "WHERE id NOT IN (SELECT src FROM edges)", "ranks")
     Q["rank_total"] = with_ctes("SELECT round(COALESCE(SUM(rank), 0.0), 9) AS rank_total FROM ranks", "ranks")
-    Q["top_ranked"] = with_ctes(f"SELECT id, round(rank, 12) AS rank FROM ranks ORDER BY round(rank, 12) DESC, id LIMIT {C.TOP_N_RANKED}", "ranks")
+    Q["top_ranked"] = with_ctes(f"SELECT id, round(rank, 12) AS rank FROM ranks ORDER BY floor(rank * 1e12 + 0.5) DESC, id LIMIT {C.TOP_N_RANKED}", "ranks")
     Q["titled_ranks"] = with_ctes("SELECT id, round(rank, 12) AS rank, title FROM titled", "titled")
     Q["top_decile"] = with_ctes(
-        "SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY round(rank, 12) DESC, id) AS pos, COUNT(*) OVER () AS n "
+        "SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY floor(rank * 1e12 + 0.5) DESC, id) AS pos, COUNT(*) OVER () AS n "
         f"FROM titled) WHERE pos <= CAST(floor({lit(0.1)} * n) AS BIGINT)", "titled")
     Q["sample_rows"] = with_ctes(f"SELECT id FROM papers ORDER BY {md5key('id')}, id LIMIT {C.SAMPLE_N}", "papers")
     Q["sample_edges"] = with_ctes(f"SELECT src, dst FROM edges ORDER BY {md5key('src', 'dst')}, src, dst LIMIT {C.SAMPLE_EDGES_N}", "edges")
@@ -317,7 +321,7 @@ def build() -> dict[str, str]:
     Q["sample_subgraph"] = with_ctes(lab.format(e=f"(SELECT src, dst FROM edges ORDER BY {md5key('src', 'dst')}, src, dst LIMIT {C.SAMPLE_N})"), "papers", "edges")
     Q["corpus_subset_by_rank"] = with_ctes(
         f"SELECT src, dst FROM edges WHERE src IN (SELECT id FROM keep) AND dst IN (SELECT id FROM keep)".replace(
-            "FROM keep", f"FROM (SELECT id FROM titled ORDER BY round(rank, 12) DESC, id LIMIT {C.SUBSET_N})"), "titled", "edges")
+            "FROM keep", f"FROM (SELECT id FROM titled ORDER BY floor(rank * 1e12 + 0.5) DESC, id LIMIT {C.SUBSET_N})"), "titled", "edges")
     # text
     Q["title_labels"] = with_ctes(f"SELECT id, {label('title')} AS label FROM papers", "papers")
     Q["clean_text"] = with_ctes(f"SELECT id, {clean('title')} AS cleaned FROM papers", "papers")

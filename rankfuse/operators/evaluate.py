@@ -135,7 +135,7 @@ def _pairwise_differences(alphas: Sequence[float]):
     k = len(grid)
     iu = np.triu_indices(k, 1)
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         qid = key[0]
         col = pdf["a"].to_numpy()
         row, docs = pd.factorize(pdf["id"])

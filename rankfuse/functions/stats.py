@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from ..operators.ordering import exact_quantiles
 
 
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Merge one-row frames with disjoint columns into one row (union + aggregate, no join)."""
+    cols: list[str] = []
+    types: dict[str, str] = {}
+    for f in frames:
+        for fld in f.schema.fields:
+            cols.append(fld.name)
+            types[fld.name] = fld.dataType.simpleString()
+    padded = [f.select(*[(F.col(c) if c in f.columns else F.lit(None).cast(types[c])).alias(c) for c in cols])
+              for f in frames]
+    u = padded[0]
+    for f in padded[1:]:
+        u = u.unionByName(f)
+    return u.agg(*[F.max(c).alias(c) for c in cols])
+
+
 def stats_by_key(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFrame:
     """``by..., {v}_mean, {v}_median, {v}_std`` (sample std; NULL for a single value)."""
     by = list(by)
@@ -18,10 +34,7 @@ def stats_by_key(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataF
     )
     med = exact_quantiles(df, value_col, [0.5], by).select(*by, F.col("value").alias(f"{value_col}_median"))
     if not by:
-        k = F.lit(1)
-        return base.withColumn("__k", k).join(med.withColumn("__k", k), "__k", "left").drop("__k").select(
-            f"{value_col}_mean", f"{value_col}_median", f"{value_col}_std"
-        )
+        return combine_rows(base, med).select(f"{value_col}_mean", f"{value_col}_median", f"{value_col}_std")
     return base.join(med, by, "left").select(*by, f"{value_col}_mean", f"{value_col}_median", f"{value_col}_std")
 
 
@@ -65,9 +78,9 @@ def box_stats(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFram
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     v = F.col(value_col).cast("double")
     vals = df.where(F.col(value_col).isNotNull()).select(*by, v.alias("__v"))
-    if not by:
-        k = F.lit(1)
-        j = vals.withColumn("__k", k).join(F.broadcast(wide.withColumn("__k", k)), "__k").drop("__k")
+    if not by:  # three scalars: fences become literals
+        q1, q3 = wide.select("q1", "q3").first()
+        j = vals.withColumn("q1", F.lit(q1)).withColumn("q3", F.lit(q3)).withColumn("iqr", F.lit(q3 - q1))
     else:
         j = vals.join(wide, by)
     lo_fence = F.col("q1") - 1.5 * F.col("iqr")
@@ -77,8 +90,7 @@ def box_stats(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFram
         F.max(F.when(F.col("__v") <= hi_fence, F.col("__v"))).alias("whisker_hi"),
     )
     if not by:
-        k = F.lit(1)
-        return wide.withColumn("__k", k).join(whiskers.withColumn("__k", k), "__k").drop("__k")
+        return combine_rows(wide, whiskers)
     return wide.join(whiskers, by)
 
 

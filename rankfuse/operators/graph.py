@@ -63,15 +63,12 @@ def avg_in_degree(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     )
     if nodes is None:
         return out
-    total = nodes.select(F.lit(1).alias("__k")).groupBy("__k").agg(F.count(F.lit(1)).alias("all_nodes"))
-    return (
-        out.withColumn("__k", F.lit(1))
-        .join(total, "__k")
-        .drop("__k")
-        .withColumn(
-            "avg_in_degree_all",
-            F.when(F.col("all_nodes") > 0, F.col("in_edges") / F.col("all_nodes")).otherwise(F.lit(0.0)),
-        )
+    from ..functions.stats import combine_rows
+
+    total = nodes.agg(F.count(F.lit(1)).alias("all_nodes"))
+    return combine_rows(out, total).withColumn(
+        "avg_in_degree_all",
+        F.when(F.col("all_nodes") > 0, F.col("in_edges") / F.col("all_nodes")).otherwise(F.lit(0.0)),
     )
 
 

@@ -75,7 +75,7 @@ def q_drop_nulls(spark, d):
 
 
 def q_lookup_by_id(spark, d):
-    return wl(spark, d).papers().where(F.col("id") == LOOKUP_ID).select("id", "title")
+    return td.papers_by_id(spark, d, LOOKUP_ID).select("id", "title")
 
 
 def q_min_word_filter(spark, d):
@@ -132,9 +132,9 @@ def q_graph_nodes(spark, d):
 
 def q_node_count(spark, d):
     w = wl(spark, d)
-    n = w.nodes().agg(F.count(F.lit(1)).alias("n_nodes")).withColumn("k", F.lit(1))
-    e = w.edges().agg(F.count(F.lit(1)).alias("n_edges")).withColumn("k", F.lit(1))
-    return n.join(e, "k").select("n_nodes", "n_edges")
+    n = w.nodes().agg(F.count(F.lit(1)).alias("n_nodes"))
+    e = w.edges().agg(F.count(F.lit(1)).alias("n_edges"))
+    return st.combine_rows(n, e)
 
 
 def q_out_degree(spark, d):

@@ -97,3 +97,13 @@ def spans_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pos.join(nxt, "pos").where(F.col("user_id") == F.col("n_user")).select(
         "event_id", F.col("ts").alias("start_ts"), "end_ts"
     )
+
+
+def papers_by_id(spark: SparkSession, sf_dir: str, paper_id: str) -> DataFrame:
+    """Point lookup on the papers view with the predicate on the source key, so it reaches the
+    Parquet scan (``cast(doc_id as string) = '7'`` cannot be pushed; ``doc_id = 7`` can)."""
+    view = papers(spark, sf_dir)
+    if paper_id.isdigit() and str(int(paper_id)) == paper_id:
+        docs = table(spark, sf_dir, "documents").where(F.col("doc_id") == F.lit(int(paper_id)))
+        return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"))
+    return view.where(F.col("id") == F.lit(paper_id))

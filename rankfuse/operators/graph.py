@@ -139,13 +139,14 @@ def pagerank_state(edges: DataFrame, vertex_ids: DataFrame | None = None) -> Dat
 
 def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: float = 0.85,
              max_iter: int = 50, tol: float | None = 1e-4, normalize: bool = True,
-             checkpoint_interval: int = 5) -> PageRankResult:
+             checkpoint_interval: int = 1) -> PageRankResult:
     """PageRank with uniform start 1/N, dangling mass spread evenly, stop when L1 change < tol.
 
     Per step exactly one job, which also observes the step's L1 error, total and dangling mass.
-    The new state is persisted; every ``checkpoint_interval`` steps (and the last one) it is
-    checkpointed reliably into the session's checkpoint directory, so recovery after a lost
-    executor replays at most that many steps. Edges are persisted once, hash-partitioned by
+    By default every step's state is checkpointed reliably into the session's checkpoint
+    directory. ``checkpoint_interval`` (at most 3) persists the steps in between instead; each
+    step reads the previous state twice, so longer persisted chains inflate plan descriptions
+    exponentially, and recovery after a lost executor replays up to that many steps. Edges are persisted once, hash-partitioned by
     source; sources whose out-degree exceeds (edges / partitions) are split off and spread by
     (src, dst).
     """
@@ -196,7 +197,7 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
                 F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0)).alias("dangling"),
             ).select("id", "out_degree", "rank")
             last = i + 1 == max_iter
-            if last or (i + 1) % max(checkpoint_interval, 1) == 0:
+            if last or (i + 1) % min(max(checkpoint_interval, 1), 3) == 0:
                 new_state = observed.checkpoint(eager=True)
             else:
                 new_state = observed.persist(StorageLevel.MEMORY_AND_DISK)

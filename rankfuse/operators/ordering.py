@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import md5_key
+from ..session import ensure_checkpoint_dir
 
 _PART_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row index in partition
 
@@ -24,6 +25,7 @@ def with_global_position(df: DataFrame, order: Sequence[Column], pos_col: str =
     The sorted rows are written once with ``checkpoint`` so positions are fixed even if tasks
     are retried, then numbered without moving rows again.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     mid = "__mid"
     ordered = df.orderBy(*order).withColumn(mid, F.monotonically_increasing_id()).checkpoint(eager=True)
     pid = F.shiftright(F.col(mid), _PART_SHIFT)

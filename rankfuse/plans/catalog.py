@@ -40,15 +40,15 @@ TOPN_ALPHA, TOPN_N = 0.9, 5
 HYBRID_ALPHA, HYBRID_N = 0.5, 200
 DIFF_A1, DIFF_A2 = 0.1, 0.9
 
-_WL: dict = {}
+_WL: list = []  # at most one memoised workload: (session, sf_dir, workload)
 
 
 def wl(spark: SparkSession, sf_dir: str) -> Workload:
-    key = (id(spark), sf_dir)
-    if key not in _WL:
-        _WL.clear()
-        _WL[key] = Workload(spark, sf_dir)
-    return _WL[key]
+    """Share one workload (views, ranks, indexes, query set) across the registered queries of
+    the same session and directory; a new session or directory starts afresh."""
+    if not _WL or _WL[0][0] is not spark or _WL[0][1] != sf_dir:
+        _WL[:] = [(spark, sf_dir, Workload(spark, sf_dir))]
+    return _WL[0][2]
 
 
 def _scratch(spark: SparkSession, name: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grids import geomspace, linspace
 from ..operators import evaluate, features, graph, search
+from ..session import ensure_checkpoint_dir
 from ..sources import testdata
 
 # Workload parameters (ours; the original used 1000 queries, 5 words, top 10 %, top 100, 100 alphas)
@@ -77,6 +78,7 @@ class Workload:
 
     # queries and evaluations
     def qdb(self) -> DataFrame:
+        ensure_checkpoint_dir(self.spark)
         return self._get("qdb", lambda: evaluate.query_database(
             self.titled(), N_QUERIES, N_WORDS, TOP_FRACTION, SEED).checkpoint(eager=True))
 

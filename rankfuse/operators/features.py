@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze
+from ..functions.text import ENGLISH_STOP_WORDS, analyze, clean_text, tokenize
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -25,14 +25,20 @@ def _store(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _analyzed_rows(df: DataFrame, key: str, text: str, analyzer) -> DataFrame:
+    """One row per analyzed token. With the default analyzer, tokens are exploded first and
+    stop words dropped by a plain ``NOT IN`` filter (a hash-set test inside generated code),
+    instead of a per-element lambda over each token array."""
+    if analyzer is analyze:
+        toks = df.select(key, F.explode(tokenize(clean_text(F.col(text)))).alias("term"))
+        return toks.where(~F.col("term").isin(*sorted(set(ENGLISH_STOP_WORDS))))
+    return df.select(key, F.explode(analyzer(F.col(text))).alias("term"))
+
+
 def doc_terms(docs: DataFrame, id_col: str = "id", text_col: str = "title", analyzer=analyze) -> DataFrame:
     """``(id, term, tf)``: raw term counts per document."""
     store = _store(docs, id_col, text_col)
-    return (
-        store.select("id", F.explode(analyzer(F.col("text"))).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return _analyzed_rows(store, "id", "text", analyzer).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf_smooth(df: Column, n_docs: int) -> Column:
@@ -102,11 +108,8 @@ def tfidf_lookup(index: TfidfIndex, paper_id: str) -> DataFrame:
 
 def query_terms(queries: DataFrame, analyzer=analyze) -> DataFrame:
     """``(query_id, term, qtf)`` with repeated query words counted."""
-    return (
-        queries.select("query_id", F.explode(analyzer(F.col("query"))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
+    return _analyzed_rows(queries, "query_id", "query", analyzer).groupBy("query_id", "term").agg(
+        F.count(F.lit(1)).alias("qtf"))
 
 
 def query_weights(queries: DataFrame, index: TfidfIndex) -> DataFrame:
@@ -133,10 +136,13 @@ def build_bm25(docs: DataFrame, ranks: DataFrame | None = None, id_col: str = "i
                k1: float = BM25_K1, b: float = BM25_B) -> Bm25Index:
     """Inverted index for lexical matching: per (term, doc) the BM25 term weight and the rank."""
     store = _store(docs, id_col, text_col)
-    lens = store.select("id", F.size(analyze(F.col("text"))).cast("long").alias("doc_len"))
+    terms = doc_terms(docs, id_col, text_col)
+    # document length = analyzed tokens = sum of its term counts (0 for documents without terms)
+    summed = terms.groupBy("id").agg(F.sum("tf").alias("doc_len"))
+    lens = store.select("id").join(summed, "id", "left").select(
+        "id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
     stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")).first()
     n_docs, avg_len = int(stats["n"]), float(stats["avg"] or 0.0)
-    terms = doc_terms(docs, id_col, text_col)
     vocab = vocabulary(terms, n_docs, idf_bm25)
     if ranks is not None:
         lens = lens.join(ranks.select("id", F.col("rank").alias("pr")), "id", "left").select(

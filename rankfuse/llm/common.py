@@ -76,3 +76,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def prefix_sums(df: DataFrame, group: list[str], bucket: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of the same group that come earlier.
+
+    The order within a group is ``bucket`` columns, then ``order`` columns, nulls first. Buckets
+    must be small (the caller's choice): rows are windowed within a bucket, and only one row
+    for each bucket meets in the window over a group, so a group that holds a third of all
+    rows is spread over as many tasks as it has buckets. The columns must be non-null.
+    """
+    from pyspark.sql import Window as W
+
+    keys = [*group, *bucket]
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(*group).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1))
+    offsets = sums.select(*keys, F.coalesce(before, F.lit(0)).alias("_offset"))
+    own = F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return (
+        df.withColumn("_own", F.coalesce(own, F.lit(0)))
+        .join(offsets, keys)
+        .withColumn(out, F.col("_offset") + F.col("_own"))
+        .drop("_own", "_offset")
+    )

@@ -7,30 +7,41 @@ from collections.abc import Callable
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, token_counts
+from . import bpe, exact_dedup, mixing, sharding, token_counts
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_MODEL = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+SHARDS = 40
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabularies.path(BPE_RANKS), vocabularies.PATTERN)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), vocabularies.path(COUNT_MODEL), TOKEN_LIMIT)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_mixing": op5_mixing,
     "op7_token_counts": op7_token_counts,
+    "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -30,6 +30,8 @@ from . import common
 
 #: Texts longer than this many characters are split at the next safe boundary, again and again.
 SPLIT_CHARS = 1 << 15
+#: Rows of an Arrow batch held as Python objects at a time.
+SLICE_ROWS = 128
 SAFE = regex.compile(r"(?<=\S) ")
 
 
@@ -75,7 +77,8 @@ def encode(df: DataFrame, text: str, rank_file: str, pattern: str, ids: str = "i
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(ranks.value, pattern)
         for texts in batches:
-            yield pa.array([encode_text(enc, t.as_py()) for t in texts], pa.list_(pa.int32()))
+            for lo in range(0, len(texts), SLICE_ROWS):
+                yield pa.array([encode_text(enc, t) for t in texts.slice(lo, SLICE_ROWS).to_pylist()], pa.list_(pa.int32()))
 
     tokens = run(df[f"`{text}`"]).alias(ids)
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() != ids.lower()], tokens)
@@ -94,7 +97,8 @@ def decode(df: DataFrame, ids: str, rank_file: str, pattern: str, data: str = "d
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(ranks.value, pattern)
         for lists in batches:
-            yield pa.array([enc.decode_bytes(x.values.to_pylist()) if x.is_valid else b"" for x in lists], pa.binary())
+            for lo in range(0, len(lists), SLICE_ROWS):
+                yield pa.array([enc.decode_bytes(x or []) for x in lists.slice(lo, SLICE_ROWS).to_pylist()], pa.binary())
 
     raw = run(df[f"`{ids}`"]).alias(data)
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() != data.lower()], raw)

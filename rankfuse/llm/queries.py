@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, sharding, token_counts
+from . import bpe, exact_dedup, mixing, sharding, simhash, token_counts
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_MODEL = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 SHARDS = 40
+SIMHASH_SHINGLE = 4
+SIMHASH_BITS = 4
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), vocabularies.path(COUNT_MODEL), TOKEN_LIMIT)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_BITS)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -40,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }

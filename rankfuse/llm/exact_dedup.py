@@ -50,9 +50,11 @@ def refine(df: DataFrame, id_col: str, text: str, digest_all: bool = False) -> D
     )
     if digest_all:
         narrow = common.stage(narrow, "dedup-keys")
-    by_len = narrow.groupBy("len").count().where("count > 1").select("len")
-    second = narrow.join(by_len, "len", "left_semi")
-    by_prefix = second.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix")
+    # copies are pre-aggregated before lengths meet: a length that many rows share has one row
+    # for each of its prefixes here
+    per = narrow.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    by_len = per.groupBy("len").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
+    by_prefix = per.join(by_len, "len", "left_semi").where(F.col("n") > 1).select("len", "prefix")
     keys = narrow.join(by_prefix.withColumn("again", F.lit(True)), ["len", "prefix"], "left")
     full = F.col("sha") if digest_all else F.sha2("norm", 256)
     keys = keys.select("row", "id", "len", "prefix", "again", F.when(F.col("again"), full).alias("full"), *(["sha"] if digest_all else []))

@@ -7,17 +7,28 @@ from collections.abc import Callable
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, mixing, sharding, simhash, token_counts
+from . import bpe, exact_dedup, language, mixing, quality, sharding, simhash, token_counts, topk
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_MODEL = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+QUALITY_FROM = 0.3
+TOPK_EVERY = 100
+TOPK = 10
 SHARDS = 40
 SIMHASH_SHINGLE = 4
 SIMHASH_BITS = 4
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), QUALITY_FROM)
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digests(table(spark, sf_dir, "embeddings"), TOPK_EVERY, TOPK)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabularies.path(BPE_RANKS), vocabularies.PATTERN)
 
@@ -47,6 +58,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op3_topk": op3_topk,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
@@ -56,4 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": topk.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "op10_exact_dedup": exact_dedup.ORACLE,
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``, a struct that tells its rows apart and is the same in every scan.
+
+    It is the file (hashed) and the row's place in it, which unlike row numbers given by tasks
+    doesn't depend on how a scan is cut. ``df`` is staged first unless it is a plain read.
+    """
+    try:
+        meta = df.metadataColumn("_metadata")
+        at = F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at"))
+        return df.select(*[df[f"`{c}`"] for c in df.columns], at.alias(name))
+    except AnalysisException:
+        return located(stage(df, "rows"), name)
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table this session has staged (call when results have been written)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))

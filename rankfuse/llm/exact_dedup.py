@@ -33,15 +33,13 @@ def normalised(text: Column) -> Column:
     return F.when(text.rlike("[\\t\\n\\x0B\\f\\r]|  "), F.regexp_replace(text, SPACES, " ")).otherwise(text)
 
 
-def refine(df: DataFrame, id_col: str, text: str, digest_all: bool = False) -> DataFrame:
-    """One row per input row: ``row, id, keep_id, group_size, kept`` (and ``sha`` where known).
+def refine(rows: DataFrame, digest_all: bool = False) -> DataFrame:
+    """``row, id, keep_id, group_size, kept, sha`` of each of ``rows`` (``row, id, text``).
 
-    ``row`` is a number given to each input row. With ``digest_all`` every row carries the
-    digest of its normalised text; otherwise only the rows that reach the third step do, and
-    no other full content is hashed.
+    With ``digest_all`` every row carries the digest of its normalised text; otherwise only the
+    rows that reach the third step do (others: null), and no other full content is hashed.
     """
-    norm = normalised(df[f"`{text}`"])
-    base = df.select(F.monotonically_increasing_id().alias("row"), df[f"`{id_col}`"].alias("id"), norm.alias("norm"))
+    base = rows.select("row", "id", normalised(F.col("text")).alias("norm"))
     narrow = base.select(
         "row", "id",
         F.length("norm").alias("len"),
@@ -78,19 +76,18 @@ def refine(df: DataFrame, id_col: str, text: str, digest_all: bool = False) -> D
 
 def groups(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    out = refine(docs, "doc_id", "text", digest_all=True)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text")
+    out = refine(rows, digest_all=True)
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts.
-
-    The rows are numbered as ``refine`` numbers them; ``docs`` must be a stored table (or a
-    plan that gives the same rows in the same order when it is run again).
-    """
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
     row = common.fresh(docs, "row")[0]
-    gone = refine(docs, id_col, text).where("not kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
+    rows = common.located(docs, row)
+    narrow = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    gone = refine(narrow).where("not kept").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 ORACLE = r"""

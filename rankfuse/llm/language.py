@@ -265,7 +265,7 @@ def digests(docs: DataFrame, pages: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, pages: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is determined, with all their columns."""
     row = common.fresh(docs, "row")[0]
-    numbered = common.stage(docs.withColumn(row, F.monotonically_increasing_id()), "language-docs")
+    numbered = common.located(docs, row)
     rows = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     stay = identify(rows, pages).where("accepted").select(F.col("row").alias(row))
     return numbered.join(stay, row, "left_semi").drop(row)

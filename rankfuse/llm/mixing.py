@@ -82,10 +82,10 @@ def targets(sized: DataFrame, weights: Sequence[float], limit: int) -> DataFrame
     return per.select("source", "source_size", "kind", target.alias("target"))
 
 
-def sizes(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
+def sizes(docs: DataFrame, row: Column, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``row, doc_id, source, size`` of every row; the text is read here, once."""
     return docs.select(
-        F.monotonically_increasing_id().alias("row"), docs[f"`{id_col}`"].alias("doc_id"),
+        row.alias("row"), docs[f"`{id_col}`"].alias("doc_id"),
         docs[f"`{source}`"].alias("source"), common.n_words(docs[f"`{text}`"]).alias("size"),
     )
 
@@ -131,7 +131,7 @@ def range_sorted(df: DataFrame, *keys: Column) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document, in training order of the first copy, never-taken documents last:
     ``doc_id, size, source_size, target, taken, first_position``."""
-    planned = plan(common.stage(sizes(docs, "doc_id", "text", "source"), "mix-sizes"))
+    planned = plan(common.stage(sizes(docs, F.monotonically_increasing_id()), "mix-sizes"))
     out = planned.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"),
         F.try_element_at("positions", F.lit(1)).alias("first_position"),
@@ -143,11 +143,11 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sour
     """The training set: the rows of ``docs`` that the mix takes, each as often as it takes it,
     with all their columns, in order of position."""
     row, at = common.fresh(docs, "row", "position")
-    numbered = common.stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    sized = sizes(numbered, id_col, text, source).withColumn("row", numbered[row])
+    rows = common.located(docs, row)
+    sized = sizes(rows, F.col(row), id_col, text, source)
     taken = plan(common.stage(sized, "mix-sizes")).where("repeats > 0")
     copies = taken.select(F.col("row").alias(row), F.explode("positions").alias(at))
-    return range_sorted(numbered.join(copies, row), F.col(at).asc(), F.xxhash64(row).asc()).drop(row, at)
+    return range_sorted(rows.join(copies, row), F.col(at).asc(), F.xxhash64(row).asc()).drop(row, at)
 
 
 ORACLE = """

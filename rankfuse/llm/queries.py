@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, mixing, quality, sharding, simhash, token_counts, topk
+from . import bpe, exact_dedup, language, mixing, passages, quality, sharding, simhash, token_counts, topk
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ SIMHASH_SHINGLE = 4
 SIMHASH_BITS = 4
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), QUALITY_FROM)
 
@@ -58,6 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_passages": op1_passages,
     "op2_quality": op2_quality,
     "op3_topk": op3_topk,
     "op4_byte_bpe": op4_byte_bpe,

@@ -280,7 +280,7 @@ def digests(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the smallest id's."""
     row = common.fresh(docs, "row")[0]
-    numbered = common.stage(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    numbered = common.located(docs, row)
     found = groups(numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), shingle, bits)
     stay = found.where("first.row = row").select(F.col("row").alias(row))
     return numbered.join(stay, row, "left_semi").drop(row)

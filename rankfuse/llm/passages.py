@@ -4,24 +4,23 @@ A *window* is ``WINDOW`` consecutive words of one text; it recurs if its words a
 anywhere else. Every word that a recurring window covers is removed.
 
 1. *Candidates.* In each window the smallest hash of ``GRAM`` consecutive words is its anchor, so
-   equal windows have equal anchors at equal places. The windows of one anchor are a *segment*
-   (some 15 windows): a row of hashes, a few per cent of the text's size. Segments are
-   counted by content, then by anchor, with partial aggregation.
-2. *Confirmation.* An anchor with one content that is there twice confirms all its windows. Of
-   anchors with several contents, the windows of each distinct segment are counted by 128-bit
-   hash, so what thousands of documents share is counted once per task, and windows that reach
-   over the edge of a shared passage, all different, are spread. Runs of confirmed windows are
-   the *passages*.
-3. *Automata.* Passages are dealt by anchor to shards; each shard compiles an Aho-Corasick automaton
-   over word sequences (pyahocorasick), streams the texts of its segments through it, and locates
-   every occurrence. An anchor with more than ``SALT_ROWS`` segments takes several shards, each
-   with its passages. A stretch of text that many documents repeat is streamed once, and what was
-   found there goes to all its places by an equi-join on its hashes.
+   equal windows have equal anchors. Neighbouring windows of one anchor are a *segment* (some 15
+   windows, more where words repeat): a row of hashes, a few per cent of the text's size.
+   Anchors are counted by a narrow aggregation; segments whose anchor recurs are the candidates.
+2. *Confirmation.* Of equal candidate segments one place gives its words. They are dealt by anchor,
+   and the windows of an anchor are counted word by word; runs of windows that are there twice
+   are the *passages*. An anchor with more than ``SALT_ROWS`` different segments (the edge of a
+   passage that many documents share) is not gathered: its windows are counted by 128-bit hash,
+   all over the cluster, and its segments are dealt to several tasks, its passages to each.
+3. *Automata.* Each task compiles its passages, some ``SHARD_ROWS`` segments at a time, into
+   Aho-Corasick automata over word sequences (pyahocorasick), streams the segments' words through
+   them, and locates every occurrence. A stretch that many documents repeat is streamed once, and
+   what was found there goes to all its places by an equi-join on its hashes.
 4. *Removal.* Each document's covered ranges meet its text.
 
 So all texts are streamed, but each stretch only past the automaton of its anchor: the work grows
-with the text and not with text times shards. Window identity rests on two 64-bit hashes;
-the automata compare words themselves.
+with the text and not with text times shards. Equal segments are told by two 64-bit hashes; the
+automata compare words themselves.
 
 Nulls: a null text has no words; a null id is an id like others. Texts of fewer words than a
 window are kept whole. Repeated rows are separate texts (so their windows recur). Empty tables
@@ -32,6 +31,7 @@ text at a time, or one text if that is longer.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -44,11 +44,13 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 35
-GRAM = 8
+GRAM = 6
 SLICE_BYTES = 2 << 20
-#: Segments that one automaton sees, about; of one anchor, at most.
+#: Segments that one automaton sees, about; different ones of one anchor, at most.
 SHARD_ROWS = 20_000
 SALT_ROWS = 5_000
+#: Documents whose keys (two longs each) may be broadcast to spare the others' texts a shuffle.
+KEYS_SENT = 1 << 18
 
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -122,14 +124,15 @@ class Words:
         return mixed((sums[at + size] - sums[at]) * self._sums[which + 2][at])
 
     def segments(self) -> dict[str, np.ndarray]:
-        """``doc, start, n, anchor, content`` of each segment; ``start`` counts from the text's first word."""
+        """``doc, start, n, anchor, content, chances`` of each segment; ``start`` counts from the text's
+        first word, ``chances`` is 2 if one of its windows may be there twice, else 1."""
         count = np.diff(self.first)
         total = np.maximum(count - WINDOW + 1, 0)
         doc = np.repeat(np.arange(len(count)), total)
         at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
         at = at + self.first[:-1][doc]
         if not len(at):
-            return {k: np.empty(0, np.int64) for k in ("doc", "start", "n", "anchor", "content")}
+            return {k: np.empty(0, np.int64) for k in ("doc", "start", "n", "anchor", "content", "chances")}
         grams = self.runs(np.arange(self.n - GRAM + 1), GRAM, 0)
         best = np.arange(len(grams))
         width, span = 1, WINDOW - GRAM + 1
@@ -143,20 +146,26 @@ class Words:
         if width < span:
             best = wider(best, span - width)
         anchor = best[at]
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
-        lead = np.flatnonzero(new)
+        value = grams[anchor]
+        lead = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
         n = np.diff(np.append(lead, len(at)))
         begin, own = at[lead], doc[lead]
         return {
             "doc": own, "start": begin - self.first[own], "n": n,
-            "anchor": grams[anchor[lead]].view(np.int64),
+            "anchor": value[lead].view(np.int64),
             "content": self.runs(begin, n + WINDOW - 1, 1).view(np.int64) ^ n,
+            "chances": 1 + (anchor[lead] != anchor[lead + n - 1]),
         }
 
-    def body(self, doc: int, start: int, size: int) -> bytes:
-        """The ``size`` words from ``start`` of a text, joined by one space."""
-        lo = self.first[doc] + start
-        return b" ".join(self.raw[self.start[lo] : self.end[lo + size - 1]].tobytes().split())
+    def bodies(self, lo: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The ``size`` words from each of ``lo``, joined by one space."""
+        own = self.end - self.start
+        to = np.cumsum(own + 1) - own - 1
+        place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        line = np.full(int(own.sum()) + self.n, 32, np.uint8)
+        line[np.repeat(to, own) + place] = self.raw[np.repeat(self.start, own) + place]
+        line, last = line.tobytes(), lo + size - 1
+        return [line[a:b] for a, b in zip(to[lo].tolist(), (to[last] + own[last]).tolist())]
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -185,129 +194,163 @@ def find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 keys = [np.asarray(batch.column(k))[doc] for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys[0]), pa.array(keys[1]), pa.array(got["start"], pa.int64()), pa.array(got["n"], pa.int32()),
-                    pa.array(got["anchor"]), pa.array(got["content"]),
-                ], names=["file", "at", "start", "n", "anchor", "content"])
+                    pa.array(got["anchor"]), pa.array(got["content"]), pa.array(got["chances"], pa.int32()),
+                ], names=["file", "at", "start", "n", "anchor", "content", "chances"])
 
 
 def fetch_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted segments of each text, and the hashes of their windows."""
+    """The words of the wanted segments of each text; for hot anchors the hashes of their windows."""
     for whole in batches:
         for batch in slices(whole, 0):
             words = Words(texts_of(batch, 0))
-            out: dict[str, list] = {k: [] for k in ("anchor", "content", "n", "kinds", "weight", "body", "one", "two")}
-            for doc, wanted in enumerate(batch.column(1).to_pylist()):
-                for w in wanted:
-                    at = words.first[doc] + w["start"] + np.arange(w["n"] if w["kinds"] > 1 else 0)
-                    out["one"].append(words.runs(at, WINDOW, 0).view(np.int64))
-                    out["two"].append(words.runs(at, WINDOW, 1).view(np.int64))
-                    out["body"].append(words.body(doc, w["start"], w["n"] + WINDOW - 1))
-                    for k in ("anchor", "content", "n", "kinds", "weight"):
-                        out[k].append(w[k])
+            lists = batch.column(1)
+            got = dict(zip(("start", "n", "anchor", "content", "weight", "hot"), lists.flatten().flatten()))
+            doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+            n, hot = np.asarray(got["n"]), got["hot"].to_numpy(zero_copy_only=False)
+            lo = words.first[doc] + np.asarray(got["start"])
+            some = np.where(hot, n, 0)
+            ends = np.cumsum(some)
+            at = np.arange(some.sum()) - np.repeat(ends - some, some) + np.repeat(lo, some)
+            edges = pa.array(np.append(0, ends), pa.int32())
+            hashes = [pa.ListArray.from_arrays(edges, pa.array(words.runs(at, WINDOW, k).view(np.int64))) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(out["anchor"], pa.int64()), pa.array(out["content"], pa.int64()), pa.array(out["n"], pa.int32()),
-                pa.array(out["kinds"], pa.int64()), pa.array(out["weight"], pa.int32()), pa.array(out["body"], pa.binary()),
-                pa.array(out["one"], pa.list_(pa.int64())), pa.array(out["two"], pa.list_(pa.int64())),
-            ], names=list(out))
+                got["anchor"], got["content"], got["weight"], got["hot"],
+                pa.array(words.bodies(lo, n + WINDOW - 1), pa.binary()), *hashes,
+            ], names=["anchor", "content", "weight", "hot", "body", "one", "two"])
+
+
+def runs_of(places: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last of each run of consecutive places (ascending)."""
+    lo = 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] != places[i - 1] + 1:
+            yield places[lo], places[i - 1]
+            lo = i
 
 
 def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The passages of each segment: the words of its runs of confirmed windows."""
+    """The passages of hot segments: the words of their runs of confirmed windows."""
     for batch in batches:
-        anchors, shards, bodies = [], [], []
-        for anchor, salts, n, kinds, body, places in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            found = range(n) if kinds == 1 else sorted(places or ())
-            words, lo = body.split(b" "), None
-            for i, p in enumerate(found):
-                lo = p if lo is None else lo
-                if i + 1 == len(found) or found[i + 1] != p + 1:
-                    anchors.append(anchor), shards.append(salts), bodies.append(b" ".join(words[lo : p + WINDOW]))
-                    lo = None
-        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(shards, pa.int64()), pa.array(bodies, pa.binary())], names=["anchor", "salts", "body"])
+        anchors, bodies = [], []
+        for anchor, body, places in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            words = body.split(b" ")
+            for lo, up in runs_of(sorted(places)):
+                anchors.append(anchor), bodies.append(b" ".join(words[lo : up + WINDOW]))
+        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(bodies, pa.binary())], names=["anchor", "body"])
 
 
-class Automaton:
-    """Aho-Corasick over sequences of words; numbers stand for the words of this shard."""
+class Shard:
+    """An Aho-Corasick automaton over sequences of words (numbers stand for them), and the segments
+    that wait to be streamed through it."""
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.ready = False
-
-    def add(self, body: bytes) -> None:
-        key = tuple(self.number.setdefault(w, len(self.number) + 1) for w in body.split(b" "))
-        self.trie.add_word(key, len(key))
-
-    def locate(self, body: bytes) -> list[tuple[int, int]]:
-        """Merged ranges of the words that passages cover."""
-        if not self.ready:
-            if len(self.trie):
-                self.trie.make_automaton()
-            self.ready = True
-        if not len(self.trie):
-            return []
-        key = tuple(self.number.get(w, 0) for w in body.split(b" "))
-        out: list[tuple[int, int]] = []
-        for end, size in self.trie.iter(key):
-            lo, up = end - size + 1, end + 1
-            while out and out[-1][1] >= lo:
-                lo = min(lo, out.pop()[0])
-            out.append((lo, up))
-        return out
+        self.waiting: list[tuple[int, int, tuple[int, ...]]] = []
+
+    def group(self, rows: list[tuple]) -> None:
+        """The rows (anchor, salt, kind, content, weight, hot, body) of one anchor and salt."""
+        keys = []
+        for *_, body in rows:
+            keys.append(tuple([self.number.setdefault(w, len(self.number)) for w in body.split(b" ")]))
+        segments = [(r, k) for r, k in zip(rows, keys) if r[2]]
+        self.waiting += [(r[0], r[3], k) for r, k in segments]
+        if rows[0][5]:  # hot: passages come confirmed
+            for r, k in zip(rows, keys):
+                if not r[2]:
+                    self.trie.add_word(k, len(k))
+            return
+        seen: Counter = Counter()
+        for r, k in segments:
+            for j in range(len(k) - WINDOW + 1):
+                seen[k[j : j + WINDOW]] += r[4]
+        for _, k in segments:
+            for lo, up in runs_of([j for j in range(len(k) - WINDOW + 1) if seen[k[j : j + WINDOW]] > 1]):
+                key = k[lo : up + WINDOW]
+                self.trie.add_word(key, len(key))
+
+    def located(self) -> pa.RecordBatch:
+        """Merged ranges of the words that passages cover, for each segment that has some."""
+        anchors, contents, edges, los, ups = [], [], [0], [], []
+        if len(self.trie):
+            self.trie.make_automaton()
+            for anchor, content, key in self.waiting:
+                found: list[tuple[int, int]] = []
+                for end, size in self.trie.iter(key):
+                    lo = end - size + 1
+                    while found and found[-1][1] >= lo:
+                        lo = min(lo, found.pop()[0])
+                    found.append((lo, end + 1))
+                if found:
+                    anchors.append(anchor), contents.append(content), edges.append(edges[-1] + len(found))
+                    los += [a for a, _ in found]
+                    ups += [b for _, b in found]
+        ranges = pa.StructArray.from_arrays([pa.array(los, pa.int64()), pa.array(ups, pa.int64())], names=["lo", "up"])
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ranges)
+        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), lists], names=["anchor", "content", "ranges"])
 
 
 def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard: its passages come first and are compiled, then its segments are streamed."""
-    automaton = Automaton()
+    """A task's rows, in order of anchor and salt: compiles automata and streams segments through them."""
+    shard, group = Shard(), []
     for batch in batches:
-        anchors, contents, ranges = [], [], []
-        for kind, anchor, content, body in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if kind == 0:
-                automaton.add(body)
-            elif found := automaton.locate(body):
-                anchors.append(anchor), contents.append(content), ranges.append([{"lo": a, "up": b} for a, b in found])
-        if anchors:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()),
-                pa.array(ranges, pa.list_(pa.struct([("lo", pa.int64()), ("up", pa.int64())]))),
-            ], names=["anchor", "content", "ranges"])
+        for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            if group and group[0][:2] != row[:2]:
+                shard.group(group)
+                group = []
+                if len(shard.waiting) >= SHARD_ROWS:
+                    yield shard.located()
+                    shard = Shard()
+            group.append(row)
+    if group:
+        shard.group(group)
+    yield shard.located()
 
 
 def covered(rows: DataFrame) -> DataFrame:
     """``file, at, ranges``: for each of ``rows`` (``file, at, text``) with recurring passages, the
     ranges of words that they cover."""
     segments = common.stage(rows.select("file", "at", "text").mapInArrow(
-        find_segments, "file long, at long, start long, n int, anchor long, content long"), "segments")
-    # one row for each distinct segment, with one of its places
-    place = F.struct("file", "at", "start")
-    distinct = segments.groupBy("anchor", "content", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("place"))
+        find_segments, "file long, at long, start long, n int, anchor long, content long, chances int"), "segments")
+    again = segments.groupBy("anchor").agg(F.sum("chances").alias("times")).where(F.col("times") > 1).select("anchor")
+    candidates = common.stage(segments.join(again, "anchor", "left_semi"), "candidates")
+
+    # one row for each different segment, with one of its places
+    place = F.struct("file", "at", "start", "n")
+    distinct = candidates.groupBy("anchor", "content").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight"), F.min(place).alias("place"))
     distinct = common.stage(distinct, "distinct-segments")
-    anchors = distinct.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1)
-    wanted = distinct.join(anchors.select("anchor", "kinds"), "anchor")
-    item = F.struct("start", "n", "anchor", "content", "kinds", F.least("copies", F.lit(2)).cast("int").alias("weight"))
-    asked = wanted.select("place.*", "n", "anchor", "content", "kinds", "copies").groupBy("file", "at").agg(F.collect_list(item).alias("wanted"))
-    bodies = rows.join(asked, ["file", "at"]).select("text", "wanted").mapInArrow(
-        fetch_bodies, "anchor long, content long, n int, kinds long, weight int, body binary, one array<long>, two array<long>")
-    bodies = common.stage(bodies.withColumn("salts", F.ceil(F.col("kinds") / SALT_ROWS)), "bodies")
-
-    # windows of anchors with several contents, counted by their hashes
-    windows = bodies.where("kinds > 1").select("anchor", "content", "weight", F.posexplode(F.arrays_zip("one", "two")).alias("i", "w"))
+    kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > SALT_ROWS)
+    kinds = common.stage(kinds, "hot-anchors")
+    wanted = distinct.join(kinds, "anchor", "left").select("place.*", "anchor", "content", "weight", F.col("kinds").isNotNull().alias("hot"))
+    asked = wanted.groupBy("file", "at").agg(F.collect_list(F.struct("start", "n", "anchor", "content", "weight", "hot")).alias("wanted"))
+    keys = common.stage(distinct.select("place.file", "place.at").distinct(), "wanted-texts")
+    texts = rows
+    if keys.count() <= KEYS_SENT:
+        texts = rows.join(F.broadcast(keys), ["file", "at"], "left_semi")
+    bodies = texts.join(asked, ["file", "at"]).select("text", "wanted").mapInArrow(
+        fetch_bodies, "anchor long, content long, weight int, hot boolean, body binary, one array<long>, two array<long>")
+    bodies = common.stage(bodies, "bodies")
+
+    # hot anchors: their windows are counted by hash, their passages go to all their salts
+    hot = bodies.where("hot")
+    windows = hot.select("anchor", "content", "weight", F.posexplode(F.arrays_zip("one", "two")).alias("i", "w"))
     windows = windows.select("anchor", "content", "weight", "i", "w.one", "w.two")
-    again = windows.groupBy("one", "two").agg(F.sum("weight").alias("times")).where(F.col("times") > 1).select("one", "two")
-    confirmed = windows.join(again, ["one", "two"], "left_semi").groupBy("anchor", "content").agg(F.collect_list("i").alias("places"))
-
-    described = bodies.select("anchor", "content", "salts", "n", "kinds", "body").join(confirmed, ["anchor", "content"], "left")
-    described = described.where("kinds = 1 OR places IS NOT NULL")
-    passages = described.select("anchor", "salts", "n", "kinds", "body", "places").mapInArrow(cut_passages, "anchor long, salts long, body binary").distinct()
+    twice = windows.groupBy("one", "two").agg(F.sum("weight").alias("times")).where(F.col("times") > 1).select("one", "two")
+    places = windows.join(twice, ["one", "two"], "left_semi").groupBy("anchor", "content").agg(F.collect_list("i").alias("places"))
+    described = hot.select("anchor", "content", "body").join(places, ["anchor", "content"])
+    passages = described.select("anchor", "body", "places").mapInArrow(cut_passages, "anchor long, body binary").distinct()
+    salts = kinds.select("anchor", F.ceil(F.col("kinds") / SALT_ROWS).alias("salts"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
-    shards = max(1, -(-bodies.count() // SHARD_ROWS))
-    dealt = passages.select(F.lit(0).alias("kind"), "anchor", F.lit(0).cast("long").alias("content"), "body", every).unionByName(
-        bodies.select(F.lit(1).alias("kind"), "anchor", "content", "body", F.pmod("content", "salts").alias("salt")))
-    found = dealt.repartition(shards, "anchor", "salt").sortWithinPartitions("kind").select("kind", "anchor", "content", "body").mapInArrow(
-        locate, "anchor long, content long, ranges array<struct<lo: long, up: long>>")
-
-    located = segments.join(common.stage(found, "found"), ["anchor", "content"])
+    passages = passages.join(salts, "anchor").select(
+        "anchor", every, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("content"), F.lit(0).alias("weight"), F.lit(True).alias("hot"), "body")
+    salt = F.pmod("content", F.coalesce("salts", F.lit(1).cast("long"))).alias("salt")
+    dealt = passages.unionByName(bodies.join(salts, "anchor", "left").select("anchor", salt, F.lit(1).alias("kind"), "content", "weight", "hot", "body"))
+    dealt = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "kind")
+    found = dealt.mapInArrow(locate, "anchor long, content long, ranges array<struct<lo: long, up: long>>")
+
+    placed = candidates.join(common.stage(found, "found"), ["anchor", "content"])
     shifted = F.transform("ranges", lambda r: F.struct((r.lo + F.col("start")).alias("lo"), (r.up + F.col("start")).alias("up")))
-    return located.select("file", "at", shifted.alias("ranges")).groupBy("file", "at").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return placed.select("file", "at", shifted.alias("ranges")).groupBy("file", "at").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def stripped(text: Column, ranges: Column) -> Column:

@@ -19,7 +19,7 @@ pruning never loses a candidate that ties with the bound.
 Nulls: vectors that are null, hold a null or non-finite component, or have a null id take no part.
 Shorter vectors count as padded with zeros. Repeated rows are separate candidates (and
 queries); a query's own row, not its id, is left out. Ties go to the smaller id, then to the
-earlier row. Empty tables and no queries give empty results. Extra columns are not looked at.
+earlier row. A product beyond a long is an error, not a wrong score. Empty tables and no queries give empty results. Extra columns are not looked at.
 """
 
 from __future__ import annotations

@@ -57,10 +57,10 @@ def test_edge_rows(docs, rows, none):
 
 def test_one_text_repeats_itself_and_34_words_do_not_count(spark):
     run = [f"w{k}" for k in range(35)]
-    texts = [" ".join(run + ["x"] + run), " ".join(run[:34]), " ".join(["y"] + run[:34]), "same " * 36, "same " * 35]
+    texts = [" ".join(run + ["x"] + run), " ".join(run[:34]), " ".join(["y"] + run[:34]), "same " * 36, "same " * 35, " ".join(f"{k % 20}" for k in range(50)), " ".join(f"z{k % 20}" for k in range(56))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in P.digests(df).collect()}
-    assert got == {0: 70, 1: 0, 2: 0, 3: 36, 4: 35}
+    assert got == {0: 70, 1: 0, 2: 0, 3: 36, 4: 35, 5: 0, 6: 56}
 
 
 def test_remove_keeps_columns(docs, none):
@@ -89,4 +89,4 @@ def test_segments_cover_each_window_once():
     got = words.segments()
     seen = sorted((d, s + i) for d, s, n in zip(got["doc"], got["start"], got["n"]) for i in range(n))
     assert seen == [(d, j) for d, t in enumerate(texts) for j in range(len(t.split()) - 34)]
-    assert got["n"].max() <= P.WINDOW - P.GRAM + 1
+    assert (got["n"][got["chances"] == 1] <= P.WINDOW - P.GRAM + 1).all()

@@ -60,7 +60,7 @@ def test_pruning_prunes():
     b = topk.Bucket(v, np.arange(5000), np.arange(5000))
     q = v[b.rows[7]] * 2
     size = math.sqrt(float((q.astype(float) ** 2).sum()))
-    cosine = 0.8
+    cosine = 0.95
     found = b.by_coordinates(q / size, cosine)
     near = np.flatnonzero((b.unit @ (q / size)) >= cosine)
     assert set(near) <= set(found) and len(found) < 2500

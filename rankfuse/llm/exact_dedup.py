@@ -7,9 +7,12 @@ the empty text). Rows are narrowed in three steps, each with partial aggregation
 2. of the rest, those whose *prefix hash* no other row of that length has are unique;
 3. only for the survivors is the *full* content hashed (SHA-256) and grouped.
 
-No text is ever shuffled: a row travels as (length, prefix hash, digest). A group of copies
-that holds a third of all rows is pre-aggregated on the map side, and the join that brings
-its one result row back is a plain equi-join which Spark may split where it is skewed.
+No text is shuffled: a row travels as (length, prefix hash, digest). The survivors' keys are
+broadcast to a second scan up to ``KEYS_SENT`` of them; beyond, that scan hashes every text. A
+group of copies that holds a third of all rows is pre-aggregated on the map side, and the join
+that brings its one result row back is a plain equi-join which Spark may split where it is
+skewed. (``dedup`` takes the rows that go out of the texts by an anti-join, which shuffles the
+texts unless Spark finds those rows few enough to broadcast.)
 
 Built-in functions only. Nulls: a null text is the empty text; a null id is never the
 smallest (a group of null ids only has a null ``keep_id``, and one row of it stays). Ties
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PREFIX_CHARS = 64
+#: Surviving (length, prefix hash) keys, two numbers each, that may be broadcast.
+KEYS_SENT = 1 << 18
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -37,40 +42,40 @@ def refine(rows: DataFrame, digest_all: bool = False) -> DataFrame:
     """``row, id, keep_id, group_size, kept, sha`` of each of ``rows`` (``row, id, text``).
 
     With ``digest_all`` every row carries the digest of its normalised text; otherwise only the
-    rows that reach the third step do (others: null), and no other full content is hashed.
+    rows that reach the third step do (others: null).
     """
     base = rows.select("row", "id", normalised(F.col("text")).alias("norm"))
-    narrow = base.select(
-        "row", "id",
-        F.length("norm").alias("len"),
-        F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"),
-        *([F.sha2("norm", 256).alias("sha")] if digest_all else [F.col("norm")]),
-    )
-    if digest_all:
-        narrow = common.stage(narrow, "dedup-keys")
+    sha = F.sha2("norm", 256)
+    prefix = F.xxhash64(F.substring("norm", 1, PREFIX_CHARS))
+    narrow = base.select("row", "id", F.length("norm").alias("len"), prefix.alias("prefix"), *([sha.alias("sha")] if digest_all else []))
+    narrow = common.stage(narrow, "dedup-keys")
     # copies are pre-aggregated before lengths meet: a length that many rows share has one row
     # for each of its prefixes here
     per = narrow.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n"))
     by_len = per.groupBy("len").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-    by_prefix = per.join(by_len, "len", "left_semi").where(F.col("n") > 1).select("len", "prefix")
-    keys = narrow.join(by_prefix.withColumn("again", F.lit(True)), ["len", "prefix"], "left")
-    full = F.col("sha") if digest_all else F.sha2("norm", 256)
-    keys = keys.select("row", "id", "len", "prefix", "again", F.when(F.col("again"), full).alias("full"), *(["sha"] if digest_all else []))
+    again = per.join(by_len, "len", "left_semi").where(F.col("n") > 1).select("len", "prefix")
+    again = common.stage(again, "dedup-again")
     if not digest_all:
-        keys = common.stage(keys, "dedup-full")
+        texts = base.select("row", "id", F.length("norm").alias("len"), prefix.alias("prefix"), "norm")
+        if again.count() <= KEYS_SENT:
+            marked = texts.join(F.broadcast(again.withColumn("again", F.lit(True))), ["len", "prefix"], "left")
+            sha = F.when(F.col("again"), sha)
+        else:  # to hash a text costs less than to shuffle it
+            marked = texts
+        narrow = common.stage(marked.select("row", "id", "len", "prefix", sha.alias("sha")), "dedup-full")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     groups = (
-        keys.where("again").groupBy("len", "prefix", "full")
+        narrow.where("sha IS NOT NULL").groupBy("len", "prefix", "sha")
         .agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
+        .join(again, ["len", "prefix"], "left_semi").where("group_size > 1")
     )
-    joined = keys.join(groups, ["len", "prefix", "full"], "left")
+    joined = narrow.join(groups, ["len", "prefix", "sha"], "left")
     return joined.select(
         "row", "id",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"),
-        (F.col("sha") if digest_all else F.col("full")).alias("sha"),
+        "sha",
     )
 
 
@@ -86,7 +91,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     row = common.fresh(docs, "row")[0]
     rows = common.located(docs, row)
     narrow = rows.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    gone = refine(narrow).where("not kept").select(F.col("row").alias(row))
+    gone = common.stage(refine(narrow).where("not kept").select(F.col("row").alias(row)), "dedup-gone")
     return rows.join(gone, row, "left_anti").drop(row)
 
 

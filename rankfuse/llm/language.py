@@ -188,7 +188,8 @@ def log_priors(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFra
     own = F.array(*[F.coalesce(F.col("tag") == lang, F.lit(False)).cast("double") for lang in languages])
     per = [F.sum(F.coalesce(F.col("tag") == lang, F.lit(False)).cast("double")) for lang in languages]
     out = rows.where("doc IS NOT NULL").withColumn("own", own)
-    out = out.crossJoin(F.broadcast(rows.agg(F.array(*per).alias("n_all"))))  # one row
+    totals = rows.agg(F.array(*per)).first()[0]  # one number for each language
+    out = out.withColumn("n_all", F.array(*[F.lit(float(n or 0)) for n in totals]))
     for level in ("suffix", "domain", "host"):
         counts = rows.where(F.col(level).isNotNull()).groupBy(level).agg(F.array(*per).alias(f"n_{level}"))
         out = out.join(counts, level, "left")
@@ -267,5 +268,5 @@ def accepted(docs: DataFrame, pages: DataFrame, id_col: str = "doc_id", text: st
     row = common.fresh(docs, "row")[0]
     numbered = common.located(docs, row)
     rows = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    stay = identify(rows, pages).where("accepted").select(F.col("row").alias(row))
-    return numbered.join(stay, row, "left_semi").drop(row)
+    gone = common.stage(identify(rows, pages).where("not accepted").select(F.col("row").alias(row)), "language-gone")
+    return numbered.join(gone, row, "left_anti").drop(row)

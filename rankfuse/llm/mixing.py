@@ -42,7 +42,7 @@ SCHEDULES: tuple[Schedule, ...] = (
     ((0.0, 0.5), (1.0, 1.5)),
 )
 #: Rows of a source in one MD5 bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def integral(schedule: Schedule) -> float:

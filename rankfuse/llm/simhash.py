@@ -282,5 +282,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     row = common.fresh(docs, "row")[0]
     numbered = common.located(docs, row)
     found = groups(numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), shingle, bits)
-    stay = found.where("first.row = row").select(F.col("row").alias(row))
-    return numbered.join(stay, row, "left_semi").drop(row)
+    gone = common.stage(found.where("first.row <> row").select(F.col("row").alias(row)), "simhash-gone")
+    return numbered.join(gone, row, "left_anti").drop(row)

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import exact_quantiles
+from ..operators.ordering import exact_quantiles, null_safe_join
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def stats_by_key(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataF
     med = exact_quantiles(df, value_col, [0.5], by).select(*by, F.col("value").alias(f"{value_col}_median"))
     if not by:
         return combine_rows(base, med).select(f"{value_col}_mean", f"{value_col}_median", f"{value_col}_std")
-    return base.join(med, by, "left").select(*by, f"{value_col}_mean", f"{value_col}_median", f"{value_col}_std")
+    return null_safe_join(base, med, by, how="left").select(*by, f"{value_col}_mean", f"{value_col}_median", f"{value_col}_std")
 
 
 def stats_global(df: DataFrame, value_col: str) -> DataFrame:
@@ -78,11 +78,11 @@ def box_stats(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFram
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     v = F.col(value_col).cast("double")
     vals = df.where(F.col(value_col).isNotNull()).select(*by, v.alias("__v"))
-    if not by:  # three scalars: fences become literals
-        q1, q3 = wide.select("q1", "q3").first()
-        j = vals.withColumn("q1", F.lit(q1)).withColumn("q3", F.lit(q3)).withColumn("iqr", F.lit(q3 - q1))
+    if not by:  # three scalars (nulls for no values): fences become literals
+        q1, q3, iqr = wide.select("q1", "q3", "iqr").first()
+        j = vals.select("__v", *[F.lit(x).cast("double").alias(n) for n, x in (("q1", q1), ("q3", q3), ("iqr", iqr))])
     else:
-        j = vals.join(wide, by)
+        j = null_safe_join(vals, wide, by)
     lo_fence = F.col("q1") - 1.5 * F.col("iqr")
     hi_fence = F.col("q3") + 1.5 * F.col("iqr")
     whiskers = j.groupBy(*by).agg(
@@ -91,7 +91,7 @@ def box_stats(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFram
     )
     if not by:
         return combine_rows(wide, whiskers)
-    return wide.join(whiskers, by)
+    return null_safe_join(wide, whiskers, by)
 
 
 def pivot_mean(df: DataFrame, row_col: str, col_col: str, value_col: str, col_values: Sequence) -> DataFrame:

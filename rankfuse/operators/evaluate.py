@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze, md5_key, seeded_shuffle
+from ..functions.text import analyze, seeded_shuffle
 from .graph import rank_key
 from .ordering import sample_rows, top_fraction, topn_per_group
 from .search import blend, position_of, result_order, score_key, with_alphas
@@ -68,8 +68,11 @@ def sweep_prefilter(scored: DataFrame, alphas: Sequence[float], n: int) -> DataF
 
 def alpha_sweep(scored: DataFrame, alphas: Sequence[float], n: int = 100, prefilter: bool = True) -> DataFrame:
     """Top-n per (query, alpha) of ``alpha * lex + (1 - alpha) * pr`` over candidates
-    ``scored(query_id, id, lex, pr)``; lexical and rank parts are computed once, blended per alpha."""
-    if prefilter and len(alphas) > 5:
+    ``scored(query_id, id, lex, pr)``; lexical and rank parts are computed once, blended per alpha.
+
+    ``prefilter`` first drops candidates that can enter no result set; the results are equal. It
+    pays with many candidates for each query and costs a pass over them with few."""
+    if prefilter:
         scored = sweep_prefilter(scored, alphas, n)
     s = with_alphas(scored, alphas).withColumn("score", blend(F.col("lex"), F.col("pr"), F.col("alpha")))
     top = topn_per_group(s, ["query_id", "alpha"], result_order(), n)
@@ -199,7 +202,3 @@ def required_size(scored: DataFrame, queries: DataFrame, alphas: Sequence[float]
 def first_hit_counts(sizes: DataFrame) -> DataFrame:
     """How many (query, alpha) rows have the source paper first."""
     return sizes.groupBy((F.col("size") == 1).alias("first_hit")).agg(F.count(F.lit(1)).alias("count"))
-
-
-def sample_key(seed: str | int, *cols: str):
-    return md5_key(seed, *cols)

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOP_WORDS, analyze, clean_text, tokenize
+from ..session import shuffle_partitions
+from ..sources.io import stage_once
+from .ordering import hot_keys, spread_join
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -68,27 +71,54 @@ class TfidfIndex:
     postings: DataFrame  # term, id, nw, pr
     docs: DataFrame  # id, pr
     n_docs: int
+    hot: DataFrame | None = None  # term, salts of the terms that many documents have
 
 
-def tfidf_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    return terms.join(vocab.select("term", "idf"), "term").select(
+def tfidf_weights(terms: DataFrame, vocab: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    return spread_join(terms, vocab.select("term", "idf"), "term", hot, "id").select(
         "id", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("weight")
     )
 
 
+def _kept(df: DataFrame, store: str | None, name: str, *order: str) -> DataFrame:
+    """``df``, or with a ``store`` its table there, written once and sorted by ``order`` so that a
+    lookup on the first of them reads only the row groups that can hold it."""
+    if store is None:
+        return df
+    if order:
+        ready = lambda: df.repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        ready = lambda: df
+    return stage_once(df.sparkSession, f"{store.rstrip('/')}/{name}", ready)
+
+
 def doc_norms(store_ids: DataFrame, weights: DataFrame) -> DataFrame:
     sq = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return store_ids.join(sq, "id", "left").select("id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
-def build_tfidf(docs: DataFrame, ranks: DataFrame | None = None, id_col: str = "id", text_col: str = "title") -> TfidfIndex:
-    """Fit + transform in one plan: counts, document frequencies, weights, norms, postings."""
-    store = _store(docs, id_col, text_col)
-    n_docs = store.count()
-    terms = doc_terms(docs, id_col, text_col)
-    vocab = vocabulary(terms, n_docs)
-    weights = tfidf_weights(terms, vocab)
-    norms = doc_norms(store.select("id"), weights)
+def term_tables(docs: DataFrame, idf, id_col: str, text_col: str, store: str | None, name: str, n_docs: int):
+    """Term counts, vocabulary and (with a store) the hot terms; counts are shared by both indexes."""
+    terms = _kept(doc_terms(docs, id_col, text_col), store, "terms")
+    vocab = _kept(vocabulary(terms, n_docs, idf), store, name, "term")
+    hot = hot_keys(vocab, "term", "df", shuffle_partitions(docs.sparkSession)) if store is not None else None
+    return terms, vocab, hot
+
+
+def build_tfidf(docs: DataFrame, ranks: DataFrame | None = None, id_col: str = "id", text_col: str = "title",
+                store: str | None = None) -> TfidfIndex:
+    """Fit + transform: counts, document frequencies, weights, norms, postings.
+
+    Without a ``store`` all tables are one lazy plan (small corpora). With one, each is written
+    once under that folder (finished tables are reused), weights by document and postings by
+    term, so lookups and searches push their predicates into the scan; hot terms are known then
+    and are spread over tasks by plan, not only by Spark's split of skewed joins.
+    """
+    texts = _store(docs, id_col, text_col)
+    n_docs = texts.count()
+    terms, vocab, hot = term_tables(docs, idf_smooth, id_col, text_col, store, "vocabulary", n_docs)
+    weights = _kept(tfidf_weights(terms, vocab, hot), store, "weights", "id")
+    norms = _kept(doc_norms(texts.select("id"), weights), store, "norms")
     if ranks is not None:
         doc_pr = norms.join(ranks.select("id", F.col("rank").alias("pr")), "id", "left").select(
             "id", F.coalesce("pr", F.lit(0.0)).alias("pr"), "norm"
@@ -96,14 +126,29 @@ def build_tfidf(docs: DataFrame, ranks: DataFrame | None = None, id_col: str = "
     else:
         doc_pr = norms.select("id", F.lit(0.0).alias("pr"), "norm")
     postings = weights.join(doc_pr, "id").select(
-        "term", "id", (F.col("weight") / F.col("norm")).alias("nw"), "pr"
+        # every word of a document may be in all documents: all its weights, and its norm, are 0
+        "term", "id", F.when(F.col("norm") > 0, F.col("weight") / F.col("norm")).otherwise(F.lit(0.0)).alias("nw"), "pr"
     )
-    return TfidfIndex(terms, vocab, weights, norms, postings, doc_pr.select("id", "pr"), n_docs)
+    postings = _kept(postings, store, "postings", "term")
+    return TfidfIndex(terms, vocab, weights, norms, postings, _kept(doc_pr.select("id", "pr"), store, "documents"), n_docs, hot)
+
+
+def tfidf_lookup(index: TfidfIndex, paper_id: str, required: bool = False) -> DataFrame:
+    """``(id, term, weight)`` of one stored document. Of a stored index only the row groups that
+    can hold the id are read. With ``required`` an id that isn't stored raises LookupError."""
+    known = F.col("id") == F.lit(str(paper_id))
+    if required and index.docs.where(known).isEmpty():
+        raise LookupError(f"no document with id {paper_id!r}")
+    return index.weights.where(known).select("id", "term", "weight")
 
 
-def tfidf_lookup(index: TfidfIndex, paper_id: str) -> DataFrame:
-    """``(id, term, weight)`` of one stored document (filter pushed to the store's scan)."""
-    return index.weights.where(F.col("id") == F.lit(str(paper_id))).select("id", "term", "weight")
+def tfidf_vector(spark, text: str, index: TfidfIndex) -> DataFrame:
+    """``(term, tf, weight)`` of a new text under the index's document frequencies; a word that
+    no document has gets the idf of document frequency 0."""
+    terms = query_terms(spark.createDataFrame([("new", text)], "query_id string, query string"))
+    known = terms.join(index.vocab.select("term", "df"), "term", "left")
+    return known.select(
+        "term", F.col("qtf").alias("tf"), (F.col("qtf") * idf_smooth(F.coalesce("df", F.lit(0)), index.n_docs)).alias("weight"))
 
 
 def query_terms(queries: DataFrame, analyzer=analyze) -> DataFrame:
@@ -130,20 +175,23 @@ class Bm25Index:
     doc_len: DataFrame  # id, doc_len
     n_docs: int
     avg_len: float
+    terms: DataFrame | None = None  # id, term, tf
+    hot: DataFrame | None = None  # term, salts
 
 
 def build_bm25(docs: DataFrame, ranks: DataFrame | None = None, id_col: str = "id", text_col: str = "title",
-               k1: float = BM25_K1, b: float = BM25_B) -> Bm25Index:
-    """Inverted index for lexical matching: per (term, doc) the BM25 term weight and the rank."""
-    store = _store(docs, id_col, text_col)
-    terms = doc_terms(docs, id_col, text_col)
+               k1: float = BM25_K1, b: float = BM25_B, store: str | None = None) -> Bm25Index:
+    """Inverted index for lexical matching: per (term, doc) the BM25 term weight and the rank.
+    ``store`` as in ``build_tfidf`` (the two may share a folder)."""
+    texts = _store(docs, id_col, text_col)
+    terms = _kept(doc_terms(docs, id_col, text_col), store, "terms")
     # document length = analyzed tokens = sum of its term counts (0 for documents without terms)
     summed = terms.groupBy("id").agg(F.sum("tf").alias("doc_len"))
-    lens = store.select("id").join(summed, "id", "left").select(
+    lens = texts.select("id").join(summed, "id", "left").select(
         "id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
     stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")).first()
     n_docs, avg_len = int(stats["n"]), float(stats["avg"] or 0.0)
-    vocab = vocabulary(terms, n_docs, idf_bm25)
+    terms, vocab, hot = term_tables(docs, idf_bm25, id_col, text_col, store, "vocabulary-bm25", n_docs)
     if ranks is not None:
         lens = lens.join(ranks.select("id", F.col("rank").alias("pr")), "id", "left").select(
             "id", "doc_len", F.coalesce("pr", F.lit(0.0)).alias("pr")
@@ -153,44 +201,58 @@ def build_bm25(docs: DataFrame, ranks: DataFrame | None = None, id_col: str = "i
     tf = F.col("tf").cast("double")
     norm_len = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(avg_len if avg_len else 1.0))
     w = F.col("idf") * (tf * F.lit(k1 + 1.0)) / (tf + norm_len)
-    postings = terms.join(vocab.select("term", "idf"), "term").join(lens, "id").select(
+    postings = spread_join(terms, vocab.select("term", "idf"), "term", hot, "id").join(lens, "id").select(
         "term", "id", "tf", "doc_len", w.alias("w"), "pr"
     )
-    return Bm25Index(postings, vocab, lens.select("id", "doc_len"), n_docs, avg_len)
+    postings = _kept(postings, store, "postings-bm25", "term")
+    return Bm25Index(postings, vocab, lens.select("id", "doc_len"), n_docs, avg_len, terms, hot)
 
 
 # --- Spark ML variant (hashed features, VectorUDT) --------------------------------------------
 
-def ml_tfidf_pipeline(text_col: str = "title", num_features: int = 1 << 18):
-    """Tokenizer -> StopWordsRemover -> HashingTF -> IDF, the original feature pipeline."""
+def ml_stages(text: str, out: str, buckets: int, stop_words: list[str] | None = None) -> list:
+    """The ML stages that turn ``text`` into TF-IDF vectors ``out``, with the hashed raw counts in
+    ``{out}_counts`` on the way. ``stop_words``: the library's own list unless given; an empty
+    list drops that stage, for texts that are analysed already."""
+    from pyspark.ml import feature as ml
+
+    words, kept, counts = (f"{out}_{step}" for step in ("words", "kept", "counts"))
+    stages = [ml.Tokenizer(inputCol=text, outputCol=words)]
+    if stop_words is None or stop_words:
+        stages.append(ml.StopWordsRemover(inputCol=words, outputCol=kept, **({"stopWords": stop_words} if stop_words else {})))
+    else:
+        kept = words
+    stages.append(ml.HashingTF(inputCol=kept, outputCol=counts, numFeatures=buckets))
+    return [*stages, ml.IDF(inputCol=counts, outputCol=out)]
+
+
+def ml_tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "title", buckets: int = 1 << 18,
+             stop_words: list[str] | None = None):
+    """The fitted ML pipeline and its vectors ``(id, counts, vector)``; rows with a null id or text
+    are left out (the tokenizer rejects null)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer
 
-    return Pipeline(stages=[
-        Tokenizer(inputCol=text_col, outputCol="tokens"),
-        StopWordsRemover(inputCol="tokens", outputCol="filtered"),
-        HashingTF(inputCol="filtered", outputCol="rawFeatures", numFeatures=num_features),
-        IDF(inputCol="rawFeatures", outputCol="tfidfFeatures"),
-    ])
+    texts = _store(docs, id_col, text_col)
+    model = Pipeline(stages=ml_stages("text", "vector", buckets, stop_words)).fit(texts)
+    return model, ml_vectors(model, docs, id_col, text_col)
 
 
-def ml_tfidf(docs: DataFrame, id_col: str = "id", text_col: str = "title", num_features: int = 1 << 18):
-    """Fit the ML pipeline (null rows dropped first: Tokenizer rejects null) and transform."""
-    data = docs.select(F.col(id_col).cast("string").alias(id_col), F.col(text_col)).na.drop()
-    model = ml_tfidf_pipeline(text_col, num_features).fit(data)
-    return model, model.transform(data).select(id_col, text_col, "tfidfFeatures")
+def ml_vectors(model, docs: DataFrame, id_col: str = "id", text_col: str = "title") -> DataFrame:
+    out = model.transform(_store(docs, id_col, text_col))
+    return out.select("id", F.col("vector_counts").alias("counts"), "vector")
 
 
-def ml_vector_summary(vectors: DataFrame, id_col: str = "id", vec_col: str = "tfidfFeatures") -> DataFrame:
-    """``(id, nnz, norm)`` of ML vectors. VectorUDT has no SQL accessors, so this small helper is a
-    Python UDF; it is off the search path (exact tables serve search)."""
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+#: How sparse vectors lie in Parquet; read with this schema they are plain structs.
+STORED_VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
-    out = StructType([StructField("nnz", LongType()), StructField("norm", DoubleType())])
 
-    @F.udf(out)
-    def summary(v):
-        return (int(v.numNonzeros()), float(v.norm(2))) if v is not None else None
+def ml_vector_summary(vectors: DataFrame, path: str) -> DataFrame:
+    """``(id, total, nnz, norm)``: summed raw counts, distinct hashed words, and length of ML vectors.
 
-    s = summary(F.col(vec_col))
-    return vectors.select(id_col, s["nnz"].alias("nnz"), s["norm"].alias("norm"))
+    The vectors are written to ``path`` and read back as the structs they are stored as, so
+    built-in functions reach their parts."""
+    vectors.write.parquet(path)
+    stored = vectors.sparkSession.read.schema(f"id string, counts {STORED_VECTOR}, vector {STORED_VECTOR}").parquet(path)
+    squares = F.aggregate("vector.values", F.lit(0.0), lambda a, x: a + x * x)
+    total = F.aggregate("counts.values", F.lit(0.0), lambda a, x: a + x)
+    return stored.select("id", total.alias("total"), F.size("counts.indices").cast("long").alias("nnz"), F.sqrt(squares).alias("norm"))

@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import md5_key, truncate_label
-from ..session import ensure_checkpoint_dir, shuffle_partitions
-
-RANK_KEY_SCALE = 1e12  # ranks are compared on a 1e-12 grid so float noise never decides an order
+from ..session import drop_path, ensure_checkpoint_dir, shuffle_partitions
+from .ordering import significant
 
 
 def rank_key(col: str | Column = "rank") -> Column:
-    """``floor(rank * 1e12 + 0.5)``: cheap double arithmetic, same value in any SQL engine."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.floor(c * F.lit(RANK_KEY_SCALE) + F.lit(0.5))
+    """Order key of a rank, relative to its own magnitude (see ``ordering.significant``)."""
+    return significant(F.col(col) if isinstance(col, str) else col)
 
 
 # --- edges, nodes, degrees ------------------------------------------------------------------
@@ -72,14 +70,19 @@ def avg_in_degree(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     )
 
 
+def sources(edges: DataFrame) -> DataFrame:
+    """Ids with out-edges, once each: pre-aggregated, so a hub's edges don't meet in one task."""
+    return edges.where(F.col("src").isNotNull()).select(F.col("src").alias("id")).distinct()
+
+
 def dangling_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without out-edges."""
-    return nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti")
+    return nodes.join(sources(edges), "id", "left_anti")
 
 
 def dangling_mass(ranks: DataFrame, edges: DataFrame) -> DataFrame:
     """Total rank held by nodes without out-edges (0.0 when none)."""
-    dead = ranks.join(edges.select(F.col("src").alias("id")), "id", "left_anti")
+    dead = ranks.join(sources(edges), "id", "left_anti")
     return dead.agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("dangling_mass"))
 
 
@@ -100,6 +103,12 @@ class PageRankResult:
         return spark.createDataFrame(rows, "iteration long, error double, total double")
 
 
+def checkpoint_path(df: DataFrame) -> str | None:
+    """The folder that a just checkpointed frame is read from."""
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
 def pagerank_inflow(state: DataFrame, cold_edges: DataFrame, hot_edges: DataFrame | None = None,
                     hot_src: DataFrame | None = None) -> DataFrame:
     """Rank each node receives: sum over in-edges of rank(src) / out_degree(src).
@@ -144,12 +153,15 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
 
     Per step exactly one job, which also observes the step's L1 error, total and dangling mass.
     By default every step's state is checkpointed reliably into the session's checkpoint
-    directory. ``checkpoint_interval`` (at most 3) persists the steps in between instead; each
-    step reads the previous state twice, so longer persisted chains inflate plan descriptions
-    exponentially, and recovery after a lost executor replays up to that many steps. Edges are persisted once, hash-partitioned by
-    source; sources whose out-degree exceeds (edges / partitions) are split off and spread by
-    (src, dst).
+    directory, and the state before it is deleted there: a run keeps one state on the store.
+    ``checkpoint_interval`` (1 to 3, else ValueError) persists the steps in between instead;
+    each step reads the previous state twice, so longer persisted chains inflate plan
+    descriptions exponentially, and a lost executor replays up to that many steps. Edges are
+    persisted once, hash-partitioned by source; sources whose out-degree exceeds
+    (edges / partitions) are split off and spread by (src, dst).
     """
+    if not 1 <= checkpoint_interval <= 3:
+        raise ValueError(f"checkpoint_interval must be 1, 2 or 3, not {checkpoint_interval}")
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     parts = shuffle_partitions(spark)
@@ -185,6 +197,7 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
     converged = False
     total = 1.0
     held = None  # persisted state of the previous step
+    stored = checkpoint_path(state0)  # what the store holds of the run
     try:
         for i in range(max_iter):
             inflow = pagerank_inflow(state, cold, hot, hot_src if n_hot else None)
@@ -197,8 +210,10 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
                 F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0)).alias("dangling"),
             ).select("id", "out_degree", "rank")
             last = i + 1 == max_iter
-            if last or (i + 1) % min(max(checkpoint_interval, 1), 3) == 0:
+            if last or (i + 1) % checkpoint_interval == 0:
                 new_state = observed.checkpoint(eager=True)
+                drop_path(spark, stored)
+                stored = checkpoint_path(new_state)
             else:
                 new_state = observed.persist(StorageLevel.MEMORY_AND_DISK)
                 new_state.count()
@@ -213,6 +228,7 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
                 converged = True
                 if held is not None:  # converged on a persisted step: make the result durable
                     state = state.checkpoint(eager=True)
+                    drop_path(spark, stored)
                     held.unpersist()
                     held = None
                 break
@@ -257,15 +273,30 @@ def sample_subgraph(papers: DataFrame, edges: DataFrame, n: int, seed: str | int
 
 
 def edges_in_corpus(edges: DataFrame, papers: DataFrame) -> DataFrame:
-    """Edges whose both endpoints are corpus papers (two semi-joins)."""
+    """Edges whose both endpoints are corpus papers (two semi-joins).
+
+    Parallel edges are counted first and repeated afterwards, so the semi-joins shuffle each
+    pair of ends once; a hub's pairs are left to Spark's split of skewed joins.
+    """
     ids = papers.select("id")
-    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
+    pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
+    kept = pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
-    ).select("src", "dst")
+    )
+    return kept.select("src", "dst", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("n")).select("src", "dst")
+
+
+def corpus_subsets_by_rank(papers: DataFrame, edges: DataFrame, ranks: DataFrame,
+                           sizes: list[int]) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For each size, that many best-ranked papers and the edges among them (corpus-size experiments)."""
+    titled = titled_ranks(ranks, papers).select("id", "rank")
+    out = {}
+    for n in sizes:
+        sub = papers.join(top_ranked(titled, n).select("id"), "id", "left_semi")
+        out[n] = (sub, edges_in_corpus(edges, sub))
+    return out
 
 
 def corpus_subset_by_rank(papers: DataFrame, edges: DataFrame, ranks: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """The ``n`` best-ranked papers and the edges among them (corpus-size experiments)."""
-    keep = top_ranked(titled_ranks(ranks, papers).select("id", "rank"), n)
-    sub_papers = papers.join(keep.select("id"), "id", "left_semi")
-    return sub_papers, edges_in_corpus(edges, sub_papers)
+    """The ``n`` best-ranked papers and the edges among them."""
+    return corpus_subsets_by_rank(papers, edges, ranks, [n])[n]

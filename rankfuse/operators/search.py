@@ -9,7 +9,8 @@ Two candidate modes, as in the original:
   n rows are added per query.
 * ``matching`` (index scoring): only documents sharing a word with the query.
 
-Scores are ordered by ``floor(score * 1e9 + 0.5)`` then ``id`` so float noise never decides a tie.
+Scores are ordered by their leading 33 bits, then ``id``: float noise never decides a tie, and
+scores of any magnitude keep their order.
 """
 
 from __future__ import annotations
@@ -20,16 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import Bm25Index, TfidfIndex, query_terms, query_weights
-from .ordering import topn_per_group
-
-SCORE_KEY_SCALE = 1e9
+from .ordering import significant, spread_join, topn_per_group
 
 
 def score_key(col: str | Column = "score") -> Column:
-    """Order key that ignores float noise below 1e-9: ``floor(score * 1e9 + 0.5)`` (plain double
-    arithmetic, far cheaper than decimal rounding and identical in SQL engines). |score| < 9e9."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.floor(c * F.lit(SCORE_KEY_SCALE) + F.lit(0.5))
+    """Order key of a score, relative to its own magnitude (see ``ordering.significant``)."""
+    return significant(F.col(col) if isinstance(col, str) else col)
 
 
 def result_order(score_col: str = "score") -> list[Column]:
@@ -44,7 +41,7 @@ def hybrid_score(lex: Column, pr: Column, alpha: float, beta: float) -> Column:
 def cosine_contribs(queries: DataFrame, index: TfidfIndex) -> DataFrame:
     """``(query_id, id, c, pr)``: one row per shared (query, document, term)."""
     q = query_weights(queries, index)
-    return q.join(index.postings, "term").select(
+    return spread_join(index.postings, q, "term", index.hot, "id").select(
         "query_id", "id", (F.col("qnw") * F.col("nw")).alias("c"), "pr"
     )
 
@@ -93,25 +90,38 @@ def search_topk(queries: DataFrame, index: TfidfIndex, n: int = 10, alpha: float
     return top.select("query_id", F.col("pos").cast("long").alias("pos"), "id", "score", "cosine", "pr")
 
 
-def search_one(spark, query: str, index: TfidfIndex, n: int = 10, alpha: float = 1.0, beta: float = 0.0,
-               mode: str = "all") -> DataFrame:
-    """Score one ad-hoc query string (a one-row query table)."""
-    q = spark.createDataFrame([("q", query)], "query_id string, query string")
-    return search_topk(q, index, n, alpha, beta, mode)
+def one_query(spark, query: str, query_id: str = "q") -> DataFrame:
+    return spark.createDataFrame([(query_id, query)], "query_id string, query string")
+
+
+def score_documents(spark, query: str, index: TfidfIndex) -> DataFrame:
+    """``(id, cosine, pr)`` of *every* stored document for one query; 0.0 where no word is shared."""
+    found = cosine_scores(one_query(spark, query), index).select("id", "cosine")
+    return index.docs.join(found, "id", "left").select("id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "pr")
+
+
+def full_ranking(spark, query: str, index: TfidfIndex, papers: DataFrame, alpha: float = 1.0, beta: float = 0.0) -> DataFrame:
+    """All documents for one query with their text, globally sorted: ``(id, title, cosine, pr, score)``.
+
+    One query only: the same for a batch would be a row for each query and document."""
+    scored = score_documents(spark, query, index)
+    scored = scored.withColumn("score", hybrid_score(F.col("cosine"), F.col("pr"), alpha, beta))
+    return scored.join(papers.select("id", "title"), "id").select("id", "title", "cosine", "pr", "score").orderBy(*result_order())
 
 
 # --- lexical index (BM25) path ----------------------------------------------------------------
 
 def match_any(queries: DataFrame, index: Bm25Index) -> DataFrame:
     """``(query_id, id)`` of documents containing at least one query word."""
-    qt = query_terms(queries)
-    return qt.join(index.postings.select("term", "id"), "term").select("query_id", "id").distinct()
+    qt = query_terms(queries).select("query_id", "term")
+    holders = (index.terms if index.terms is not None else index.postings).select("term", "id")
+    return spread_join(holders, qt, "term", index.hot, "id").select("query_id", "id").distinct()
 
 
 def bm25_scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
     """``(query_id, id, lex, pr)``: BM25 over matching documents, with the stored rank."""
     qt = query_terms(queries)
-    j = qt.join(index.postings, "term")
+    j = spread_join(index.postings, qt, "term", index.hot, "id")
     return j.groupBy("query_id", "id").agg(
         F.sum(F.col("qtf") * F.col("w")).alias("lex"), F.max("pr").alias("pr")
     )

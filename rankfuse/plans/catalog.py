@@ -6,7 +6,7 @@ rounded at the end so results compare across engines; names match ``plans/oracle
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions import text as tx
-from ..functions.grids import geomspace_df, linspace_df
 from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import graph as gr
 from ..operators import ordering as od
 from ..operators import search as se
-from ..session import ensure_checkpoint_dir
 from ..sources import io
 from ..sources import testdata as td
-from .workload import (FLAGSHIP_QUERY, ORACLE_ALPHAS, SEARCH_ALPHA, SEARCH_BETA, SEARCH_TOP_N, SEED,
+from .workload import (BENCH_ALPHAS, DAMPING, FLAGSHIP_QUERY, ORACLE_ALPHAS, PR_STEPS, SEARCH_ALPHA, SEARCH_BETA, SEARCH_TOP_N, SEED,
                        SIZE_ALPHAS, SWEEP_TOP_N, Workload, rounded)
 
 # Query parameters (ours): fixed here so Spark and SQL use the same values.
@@ -35,6 +33,7 @@ TOP_N_RANKED = 10
 SAMPLE_N = 20
 SAMPLE_EDGES_N = 25
 SUBSET_N = 100
+SUBSET_SIZES = [50, 100, 400]
 HIST_LO, HIST_HI, HIST_BINS = 0.0, 500.0, 20
 TOPN_ALPHA, TOPN_N = 0.9, 5
 HYBRID_ALPHA, HYBRID_N = 0.5, 200
@@ -51,10 +50,6 @@ def wl(spark: SparkSession, sf_dir: str) -> Workload:
     return _WL[0][2]
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankfuse-io/{name}-{uuid.uuid4().hex}"
-
-
 R12 = dict(rank=12, error=12, total=12, inflow=12, dangling_mass=12)
 
 
@@ -248,6 +243,54 @@ def q_corpus_subset_by_rank(spark, d):
     return e
 
 
+def q_corpus_subset_papers(spark, d):
+    w = wl(spark, d)
+    subs = gr.corpus_subsets_by_rank(w.papers(), w.edges(), w.ranks(), SUBSET_SIZES)
+    parts = [p.select(F.lit(n).cast("long").alias("n"), "id") for n, (p, _) in subs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def q_corpus_subset_edges(spark, d):
+    w = wl(spark, d)
+    subs = gr.corpus_subsets_by_rank(w.papers(), w.edges(), w.ranks(), SUBSET_SIZES)
+    parts = [e.select(F.lit(n).cast("long").alias("n"), "src", "dst") for n, (_, e) in subs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# whole-table graphs: customers, parts and suppliers (all orders and line items); links of all pages
+
+def _graph(spark, d, name):
+    w = wl(spark, d)
+    return w._get(name, lambda: {"purchase": td.purchase_edges, "web": td.web_edges}[name](spark, d))
+
+
+def _graph_ranks(spark, d, name):
+    edges = _graph(spark, d, name)
+    return wl(spark, d)._get(f"{name}_ranks", lambda: gr.pagerank(edges, damping=DAMPING, max_iter=PR_STEPS, tol=None).ranks)
+
+
+def q_purchase_pagerank(spark, d):
+    return rounded(_graph_ranks(spark, d, "purchase"), 12)
+
+
+def q_purchase_top_ranked(spark, d):
+    return rounded(gr.top_ranked(_graph_ranks(spark, d, "purchase"), TOP_N_RANKED), 12)
+
+
+def q_purchase_degrees(spark, d):
+    e = _graph(spark, d, "purchase")
+    out = gr.out_degree(e).select(F.col("src").alias("id"), F.lit("out").alias("kind"), F.col("out_degree").alias("degree"))
+    return out.unionByName(gr.in_degree(e).select(F.col("dst").alias("id"), F.lit("in").alias("kind"), F.col("in_degree").alias("degree")))
+
+
+def q_web_pagerank(spark, d):
+    return rounded(_graph_ranks(spark, d, "web"), 12)
+
+
+def q_web_in_degree_histogram(spark, d):
+    return gr.in_degree_histogram(_graph(spark, d, "web"))
+
+
 # --- scalar text functions ---------------------------------------------------------------------
 
 def q_title_labels(spark, d):
@@ -286,14 +329,6 @@ def q_common_word_count(spark, d):
     )
 
 
-def q_alpha_geomspace(spark, d):
-    return rounded(geomspace_df(spark, 1e-6, 1.0, 100), 15)
-
-
-def q_alpha_linspace(spark, d):
-    return rounded(linspace_df(spark, 0.0, 1.0, 10), 15)
-
-
 def q_elapsed_seconds(spark, d):
     s = td.spans_distributed(spark, d)
     return rounded(s.select("event_id", st.elapsed_seconds(F.col("start_ts"), F.col("end_ts")).alias("seconds")), 6)
@@ -360,8 +395,18 @@ def q_hybrid_scores(spark, d):
                                                                SEARCH_BETA).alias("score")), 9)
 
 
+def q_tfidf_new_text(spark, d):
+    return rounded(fe.tfidf_vector(spark, FLAGSHIP_QUERY, wl(spark, d).tfidf()), 9)
+
+
 def q_score_left_join(spark, d):
-    return rounded(wl(spark, d).tfidf().docs, 12)
+    return rounded(se.score_documents(spark, FLAGSHIP_QUERY, wl(spark, d).tfidf()), 12, cosine=9)
+
+
+def q_search_full_ranking(spark, d):
+    w = wl(spark, d)
+    out = se.full_ranking(spark, FLAGSHIP_QUERY, w.tfidf(), w.papers(), SEARCH_ALPHA, SEARCH_BETA)
+    return rounded(out.select("id", "title", "score"), 9)
 
 
 def q_search_topk(spark, d):
@@ -446,6 +491,32 @@ def q_alpha_heatmap(spark, d):
     return rounded(wide.select(*named), 9)
 
 
+def q_alpha_differences_full(spark, d):
+    return rounded(wl(spark, d).differences(BENCH_ALPHAS).select(
+        "query_id", F.round("alpha1", 9).alias("alpha1"), F.round("alpha2", 9).alias("alpha2"), "difference"), 6, alpha1=9, alpha2=9)
+
+
+def _log_axis(alpha: str):
+    return F.round(F.log10(alpha), 2)
+
+
+def q_alpha_heatmap_log(spark, d):
+    diffs = wl(spark, d).differences(BENCH_ALPHAS)
+    cells = diffs.groupBy(_log_axis("alpha1").alias("log_alpha1"), _log_axis("alpha2").alias("log_alpha2"))
+    return rounded(cells.agg(F.avg("difference").alias("difference")), 6)
+
+
+def q_alpha_scatter(spark, d):
+    diffs = wl(spark, d).differences(BENCH_ALPHAS)
+    return rounded(diffs.select("query_id", _log_axis("alpha1").alias("x"), _log_axis("alpha2").alias("y"),
+                                (F.col("difference") * 100).alias("size")), 4)
+
+
+def q_required_size_box(spark, d):
+    s = wl(spark, d).sizes().withColumn("alpha", F.round("alpha", 2))
+    return rounded(st.box_stats(s, "size", ["alpha"]), 6)
+
+
 def q_required_size(spark, d):
     w = wl(spark, d)
     return ev.required_size(w.matched(), w.qdb(), [0.5]).select("query_id", "size")
@@ -464,22 +535,22 @@ def q_first_hit_counts(spark, d):
     return ev.first_hit_counts(wl(spark, d).sizes())
 
 
-# --- round trips (rows-only checks) ---------------------------------------------------------------
+# --- round trips ---------------------------------------------------------------
 
 def q_src_json_roundtrip(spark, d):
-    path = _scratch(spark, "corpus-json")
+    path = io.scratch(spark, "corpus-json")
     io.write_json(io.corpus_project(wl(spark, d).papers_with_refs()), path)
     return io.read_corpus_json(spark, path).select("id", "title", F.array_join("references", ",").alias("refs_text"))
 
 
 def q_parquet_roundtrip(spark, d):
-    path = _scratch(spark, "ranks-parquet")
+    path = io.scratch(spark, "ranks-parquet")
     io.write_parquet(wl(spark, d).ranks(), path)
     return rounded(spark.read.parquet(path), 12)
 
 
 def q_csv_roundtrip(spark, d):
-    path = _scratch(spark, "diff-csv")
+    path = io.scratch(spark, "diff-csv")
     io.write_csv(wl(spark, d).differences(), path)
     schema = "query_id string, alpha1 double, alpha2 double, difference double"
     return rounded(spark.read.schema(schema).option("header", True).csv(path), 9)
@@ -488,17 +559,17 @@ def q_csv_roundtrip(spark, d):
 def q_ml_tfidf_roundtrip(spark, d):
     from pyspark.ml import PipelineModel
 
-    model, vectors = fe.ml_tfidf(wl(spark, d).papers())
-    path = _scratch(spark, "ml-pipeline")
+    model, _ = fe.ml_tfidf(wl(spark, d).papers())
+    path = io.scratch(spark, "ml-pipeline")
     model.write().overwrite().save(path)
-    again = PipelineModel.load(path).transform(wl(spark, d).papers().na.drop())
-    return rounded(fe.ml_vector_summary(again.select("id", "tfidfFeatures")), 9)
+    again = fe.ml_vectors(PipelineModel.load(path), wl(spark, d).papers())
+    return fe.ml_vector_summary(again, io.scratch(spark, "ml-vectors")).select("id", F.col("total").cast("long").alias("total"))
 
 
 def q_pipeline_e2e(spark, d):
     from .pipeline import run_pipeline
 
-    out = _scratch(spark, "pipeline")
+    out = io.scratch(spark, "pipeline")
     res = run_pipeline(spark, d, out)
     return rounded(res["difference_stats"], 6)
 
@@ -506,5 +577,5 @@ def q_pipeline_e2e(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
-ROWS_ONLY = {"src_json_roundtrip", "parquet_roundtrip", "csv_roundtrip", "ml_tfidf_roundtrip",
-             "pagerank_converged", "pipeline_e2e"}
+#: Queries without SQL: none.
+ROWS_ONLY: set[str] = set()

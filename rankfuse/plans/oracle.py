@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions.text import ENGLISH_STOP_WORDS, LABEL_CHARS
 from . import catalog as C
-from .workload import (DAMPING, FLAGSHIP_QUERY, N_QUERIES, N_WORDS, ORACLE_ALPHAS, PR_STEPS, SEARCH_ALPHA,
+from .workload import (BENCH_ALPHAS, DAMPING, FLAGSHIP_QUERY, N_QUERIES, N_WORDS, ORACLE_ALPHAS, PR_STEPS, SEARCH_ALPHA,
                        SEARCH_BETA, SEARCH_TOP_N, SEED, SIZE_ALPHAS, SWEEP_TOP_N, TOP_FRACTION)
 from ..operators.features import BM25_B, BM25_K1
 
@@ -21,6 +21,12 @@ def s(x: str) -> str:
     return "'" + str(x).replace("'", "''") + "'"
 
 
+def skey(x: str) -> str:
+    """The leading 33 bits of a double: noise of summation makes ties, at any magnitude."""
+    wide = f"({x}) * {lit((1 << 20) + 1)}"
+    return f"({wide} - ({wide} - ({x})))"
+
+
 STOP = "[" + ", ".join(s(w) for w in ENGLISH_STOP_WORDS) + "]"
 
 
@@ -70,20 +76,42 @@ DEPS = {
 }
 
 
-def _pr_step(i: int) -> str:
-    prev = f"pr{i - 1}"
-    base = f"({lit(1.0)} - {lit(DAMPING)}) / (SELECT n FROM cnt)"
-    dangling = f"(SELECT COALESCE(SUM(rank), 0.0) FROM {prev} WHERE out_degree = 0) / (SELECT n FROM cnt)"
+def _pr_step(i: int, g: str = "") -> str:
+    prev = f"{g}pr{i - 1}"
+    base = f"({lit(1.0)} - {lit(DAMPING)}) / (SELECT n FROM {g}cnt)"
+    dangling = f"(SELECT COALESCE(SUM(rank), 0.0) FROM {prev} WHERE out_degree = 0) / (SELECT n FROM {g}cnt)"
     return (
         f"SELECT d.id, d.out_degree, {base} + {lit(DAMPING)} * (COALESCE(c.inflow, 0.0) + {dangling}) AS rank "
-        f"FROM deg d LEFT JOIN (SELECT e.dst, SUM(p.rank / p.out_degree) AS inflow FROM edges e "
+        f"FROM {g}deg d LEFT JOIN (SELECT e.dst, SUM(p.rank / p.out_degree) AS inflow FROM {g}edges e "
         f"JOIN {prev} p ON e.src = p.id GROUP BY e.dst) c ON d.id = c.dst"
     )
 
 
-for _i in range(1, PR_STEPS + 1):
+MOST_STEPS, TOLERANCE = 50, 1e-4
+for _i in range(1, MOST_STEPS + 1):
     BASE[f"pr{_i}"] = _pr_step(_i)
     DEPS[f"pr{_i}"] = [f"pr{_i - 1}", "deg", "cnt", "edges"]
+
+# the graphs over whole tables: purchases (orders, line items) and links of pages
+BASE["purchase_edges"] = (
+    "SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+    "UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem")
+BASE["web_edges"] = (
+    "SELECT src, base || path AS dst FROM (SELECT regexp_replace(url, '[?#].*$', '') AS src, "
+    "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS base, "
+    "unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"(/[^\"]*)\"', 1)) AS path FROM pages)")
+for _g in ("purchase_", "web_"):
+    BASE[f"{_g}nodes"] = f"SELECT src AS id FROM {_g}edges UNION SELECT dst FROM {_g}edges"
+    BASE[f"{_g}deg"] = (f"SELECT n.id, COALESCE(o.c, 0) AS out_degree FROM {_g}nodes n LEFT JOIN "
+                        f"(SELECT src, COUNT(*) AS c FROM {_g}edges GROUP BY src) o ON n.id = o.src")
+    BASE[f"{_g}cnt"] = f"SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM {_g}nodes"
+    BASE[f"{_g}pr0"] = f"SELECT id, out_degree, 1.0::DOUBLE / (SELECT n FROM {_g}cnt) AS rank FROM {_g}deg"
+    DEPS |= {f"{_g}nodes": [f"{_g}edges"], f"{_g}deg": [f"{_g}nodes"], f"{_g}cnt": [f"{_g}nodes"], f"{_g}pr0": [f"{_g}deg", f"{_g}cnt"]}
+    for _i in range(1, PR_STEPS + 1):
+        BASE[f"{_g}pr{_i}"] = _pr_step(_i, _g)
+        DEPS[f"{_g}pr{_i}"] = [f"{_g}pr{_i - 1}"]
+    BASE[f"{_g}ranks"] = f"SELECT id, rank / (SELECT SUM(rank) FROM {_g}pr{PR_STEPS}) AS rank FROM {_g}pr{PR_STEPS}"
+    DEPS[f"{_g}ranks"] = [f"{_g}pr{PR_STEPS}"]
 BASE["ranks"] = f"SELECT id, rank / (SELECT SUM(rank) FROM pr{PR_STEPS}) AS rank FROM pr{PR_STEPS}"
 DEPS["ranks"] = [f"pr{PR_STEPS}"]
 BASE["titled"] = "SELECT r.id, r.rank, p.title FROM ranks r JOIN papers p ON r.id = p.id"
@@ -130,7 +158,7 @@ DEPS["post_bm25"] = ["tf", "bvocab", "dl", "dlstat", "ranks"]
 # query database
 BASE["qwords"] = f"SELECT id, rank, {analyze('title')} AS words FROM titled"
 DEPS["qwords"] = ["titled"]
-BASE["qelig"] = (f"SELECT id, words, row_number() OVER (ORDER BY floor(rank * 1e12 + 0.5) DESC, id ASC) AS pos "
+BASE["qelig"] = (f"SELECT id, words, row_number() OVER (ORDER BY {skey('rank')} DESC, id ASC) AS pos "
                  f"FROM qwords WHERE len(words) >= {N_WORDS}")
 DEPS["qelig"] = ["qwords"]
 BASE["qtop"] = (f"SELECT id, words FROM qelig WHERE pos <= (SELECT CAST(floor({lit(TOP_FRACTION)} * COUNT(*)) AS BIGINT) "
@@ -158,14 +186,6 @@ def blend(lex: str, pr: str, a: str) -> str:
     return f"({a} * {lex} + ({lit(1.0)} - {a}) * {pr})"
 
 
-def skey(x: str) -> str:
-    return f"floor({x} * 1e9 + 0.5)"
-
-
-def rkey(x: str) -> str:
-    return f"floor({x} * 1e12 + 0.5)"
-
-
 BASE["sweep"] = (
     "SELECT query_id, alpha, pos, id, score FROM (SELECT m.query_id, g.alpha, m.id, "
     f"{blend('m.lex', 'm.pr', 'g.alpha')} AS score, row_number() OVER (PARTITION BY m.query_id, g.alpha "
@@ -198,6 +218,31 @@ BASE["diffs"] = (
 DEPS["diffs"] = ["apairs", "fo"]
 
 
+# the whole grid: 100 geometric alphas, all pairs, by totals and overlaps
+BASE["sweep_full"] = (
+    "SELECT query_id, alpha, id, score FROM (SELECT m.query_id, g.alpha, m.id, "
+    f"{blend('m.lex', 'm.pr', 'g.alpha')} AS score, row_number() OVER (PARTITION BY m.query_id, g.alpha "
+    f"ORDER BY {skey(blend('m.lex', 'm.pr', 'g.alpha'))} DESC, m.id ASC) AS pos FROM matched m, "
+    f"{alphas_values(BENCH_ALPHAS)}) WHERE pos <= {SWEEP_TOP_N}"
+)
+DEPS["sweep_full"] = ["matched"]
+BASE["totals_full"] = (
+    f"SELECT q.query_id, g.alpha, COALESCE(SUM(s.score), 0.0) AS total FROM (SELECT DISTINCT query_id FROM qdb) q "
+    f"CROSS JOIN {alphas_values(BENCH_ALPHAS)} LEFT JOIN sweep_full s ON s.query_id = q.query_id AND s.alpha = g.alpha "
+    "GROUP BY q.query_id, g.alpha")
+DEPS["totals_full"] = ["qdb", "sweep_full"]
+BASE["overlap_full"] = (
+    "SELECT x.query_id, x.alpha AS alpha1, y.alpha AS alpha2, SUM(least(x.score, y.score)) AS both_sets FROM sweep_full x "
+    "JOIN sweep_full y ON x.query_id = y.query_id AND x.id = y.id AND x.alpha < y.alpha GROUP BY ALL")
+DEPS["overlap_full"] = ["sweep_full"]
+BASE["diffs_full"] = (
+    "SELECT a.query_id, a.alpha AS alpha1, b.alpha AS alpha2, CASE WHEN a.total + b.total = 0 THEN 0.0 ELSE "
+    "(a.total + b.total - 2.0 * COALESCE(o.both_sets, 0.0)) / (a.total + b.total) END AS difference FROM totals_full a "
+    "JOIN totals_full b ON a.query_id = b.query_id AND a.alpha < b.alpha "
+    "LEFT JOIN overlap_full o ON o.query_id = a.query_id AND o.alpha1 = a.alpha AND o.alpha2 = b.alpha")
+DEPS["diffs_full"] = ["totals_full", "overlap_full"]
+
+
 def with_ctes(final: str, *names: str) -> str:
     order: list[str] = []
 
@@ -212,7 +257,7 @@ def with_ctes(final: str, *names: str) -> str:
         visit(n)
     parts = []
     for n in order:
-        mat = " MATERIALIZED" if (n.startswith("pr") or n in {"ranks", "tf", "toks", "matched", "sweep", "qdb", "vocab",
+        mat = " MATERIALIZED" if (n.startswith(("pr", "purchase_", "web_")) or n.endswith("_full") or n in {"ranks", "tf", "toks", "matched", "sweep", "qdb", "vocab",
                                                              "weights", "post_bm25", "post_tfidf", "docs_pr", "diffs",
                                                              "qelig", "bvocab", "dl"}) else ""
         parts.append(f"{n} AS{mat} ({BASE[n]})")
@@ -245,7 +290,7 @@ def _search_sql(queries_cte: str) -> str:
         f"allq AS (SELECT DISTINCT query_id FROM {queries_cte}), "
         f"sc AS (SELECT q.query_id, d.id, {lit(SEARCH_ALPHA)} * COALESCE(c.cosine, 0.0) + {lit(SEARCH_BETA)} * d.pr AS score "
         "FROM allq q CROSS JOIN docs_pr d LEFT JOIN cs c ON c.query_id = q.query_id AND c.id = d.id), "
-        "rk AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e9 + 0.5) DESC, id ASC) AS pos FROM sc) "
+        f"rk AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY {skey('score')} DESC, id ASC) AS pos FROM sc) "
     )
     return qv + f"SELECT query_id, CAST(pos AS BIGINT) AS pos, id, round(score, 9) AS score FROM rk WHERE pos <= {SEARCH_TOP_N}"
 
@@ -307,10 +352,10 @@ def build() -> dict[str, str]:
     Q["dangling_mass"] = with_ctes("SELECT round(COALESCE(SUM(rank), 0.0), 12) AS dangling_mass FROM ranks "
                                    "WHERE id NOT IN (SELECT src FROM edges)", "ranks")
     Q["rank_total"] = with_ctes("SELECT round(COALESCE(SUM(rank), 0.0), 9) AS rank_total FROM ranks", "ranks")
-    Q["top_ranked"] = with_ctes(f"SELECT id, round(rank, 12) AS rank FROM ranks ORDER BY floor(rank * 1e12 + 0.5) DESC, id LIMIT {C.TOP_N_RANKED}", "ranks")
+    Q["top_ranked"] = with_ctes(f"SELECT id, round(rank, 12) AS rank FROM ranks ORDER BY {skey('rank')} DESC, id LIMIT {C.TOP_N_RANKED}", "ranks")
     Q["titled_ranks"] = with_ctes("SELECT id, round(rank, 12) AS rank, title FROM titled", "titled")
     Q["top_decile"] = with_ctes(
-        "SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY floor(rank * 1e12 + 0.5) DESC, id) AS pos, COUNT(*) OVER () AS n "
+        f"SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY {skey('rank')} DESC, id) AS pos, COUNT(*) OVER () AS n "
         f"FROM titled) WHERE pos <= CAST(floor({lit(0.1)} * n) AS BIGINT)", "titled")
     Q["sample_rows"] = with_ctes(f"SELECT id FROM papers ORDER BY {md5key('id')}, id LIMIT {C.SAMPLE_N}", "papers")
     Q["sample_edges"] = with_ctes(f"SELECT src, dst FROM edges ORDER BY {md5key('src', 'dst')}, src, dst LIMIT {C.SAMPLE_EDGES_N}", "edges")
@@ -321,7 +366,7 @@ def build() -> dict[str, str]:
     Q["sample_subgraph"] = with_ctes(lab.format(e=f"(SELECT src, dst FROM edges ORDER BY {md5key('src', 'dst')}, src, dst LIMIT {C.SAMPLE_N})"), "papers", "edges")
     Q["corpus_subset_by_rank"] = with_ctes(
         f"SELECT src, dst FROM edges WHERE src IN (SELECT id FROM keep) AND dst IN (SELECT id FROM keep)".replace(
-            "FROM keep", f"FROM (SELECT id FROM titled ORDER BY floor(rank * 1e12 + 0.5) DESC, id LIMIT {C.SUBSET_N})"), "titled", "edges")
+            "FROM keep", f"FROM (SELECT id FROM titled ORDER BY {skey('rank')} DESC, id LIMIT {C.SUBSET_N})"), "titled", "edges")
     # text
     Q["title_labels"] = with_ctes(f"SELECT id, {label('title')} AS label FROM papers", "papers")
     Q["clean_text"] = with_ctes(f"SELECT id, {clean('title')} AS cleaned FROM papers", "papers")
@@ -335,8 +380,6 @@ def build() -> dict[str, str]:
     Q["common_word_count"] = with_ctes(
         f"SELECT id, CAST(len(list_distinct(list_filter(string_split_regex(lower(title), '[\\s\\v]+'), "
         f"lambda t: list_contains({phrase}, t)))) AS BIGINT) AS common FROM papers", "papers")
-    Q["alpha_geomspace"] = ("SELECT i, round(pow(10.0, " + lit(-6.0) + f" + i * {lit(6.0 / 99)}), 15) AS alpha FROM range(100) t(i)")
-    Q["alpha_linspace"] = (f"SELECT i, round({lit(0.0)} + i * {lit(1.0 / 9)}, 15) AS alpha FROM range(10) t(i)")
     Q["elapsed_seconds"] = (
         "SELECT event_id, round((epoch_us(end_ts) - epoch_us(start_ts)) / 1e6, 6) AS seconds FROM ("
         "SELECT event_id, ts AS start_ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS end_ts FROM events) "
@@ -380,8 +423,18 @@ def build() -> dict[str, str]:
     Q["cosine_scores"] = with_ctes(", " + cos_core + "SELECT query_id, id, round(cosine, 9) AS cosine FROM cs", "qdb", "post_tfidf", "ndocs").replace("\n, ", ",\n", 1)
     Q["hybrid_scores"] = with_ctes(", " + cos_core + f"SELECT query_id, id, round({lit(SEARCH_ALPHA)} * cosine + {lit(SEARCH_BETA)} * pr, 9) AS score FROM cs",
                                    "qdb", "post_tfidf", "ndocs").replace("\n, ", ",\n", 1)
-    Q["score_left_join"] = with_ctes("SELECT id, round(pr, 12) AS pr FROM docs_pr", "docs_pr")
     flag = f"fq AS (SELECT 'flagship' AS query_id, {s(FLAGSHIP_QUERY)} AS query), "
+    one = (cos_core.replace("FROM qdb)", "FROM fq)") + "SELECT d.id, {cols} FROM docs_pr d JOIN papers p ON p.id = d.id "
+           "LEFT JOIN cs c ON c.id = d.id")
+    Q["score_left_join"] = with_ctes(", " + flag + one.format(cols="round(COALESCE(c.cosine, 0.0), 9) AS cosine, round(d.pr, 12) AS pr"),
+                                     "post_tfidf", "ndocs", "papers").replace("\n, ", ",\n", 1)
+    Q["search_full_ranking"] = with_ctes(", " + flag + one.format(
+        cols=f"p.title, round({lit(SEARCH_ALPHA)} * COALESCE(c.cosine, 0.0) + {lit(SEARCH_BETA)} * d.pr, 9) AS score"),
+        "post_tfidf", "ndocs", "papers").replace("\n, ", ",\n", 1)
+    Q["tfidf_new_text"] = with_ctes(
+        f"SELECT q.term, q.tf, round(q.tf * ln(((SELECT n FROM ndocs) + 1.0) / (CAST(COALESCE(v.df, 0) AS DOUBLE) + 1.0)), 9) AS weight FROM "
+        f"(SELECT term, COUNT(*) AS tf FROM (SELECT unnest({analyze(s(FLAGSHIP_QUERY))}) AS term) GROUP BY term) q LEFT JOIN vocab v ON q.term = v.term",
+        "vocab", "ndocs")
     Q["search_topk"] = with_ctes(", " + flag + _search_sql("fq"), "post_tfidf", "ndocs").replace("\n, ", ",\n", 1)
     Q["search_batch_topk"] = with_ctes(", " + _search_sql("qdb"), "qdb", "post_tfidf", "ndocs").replace("\n, ", ",\n", 1)
     Q["index_postings"] = with_ctes("SELECT term, id, tf, doc_len FROM post_bm25", "post_bm25")
@@ -414,4 +467,49 @@ def build() -> dict[str, str]:
                                          "qdb", "matched")
     Q["first_hit_counts"] = with_ctes(f"SELECT size = 1 AS first_hit, COUNT(*) AS count FROM ({_sizes_sql(SIZE_ALPHAS)}) GROUP BY size = 1",
                                       "qdb", "matched")
+    sized = f"(SELECT round(alpha, 2) AS alpha, size FROM ({_sizes_sql(SIZE_ALPHAS)}))"
+    Q["required_size_box"] = with_ctes(
+        f", t AS MATERIALIZED (SELECT * FROM {sized} WHERE size IS NOT NULL), q AS (SELECT alpha, quantile_cont(size, 0.25) AS q1, "
+        "quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.75) AS q3 FROM t GROUP BY alpha) "
+        "SELECT q.alpha, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, "
+        "round(CAST(MIN(CASE WHEN t.size >= q1 - 1.5 * (q3 - q1) THEN t.size END) AS DOUBLE), 6) AS whisker_lo, "
+        "round(CAST(MAX(CASE WHEN t.size <= q3 + 1.5 * (q3 - q1) THEN t.size END) AS DOUBLE), 6) AS whisker_hi "
+        "FROM q JOIN t ON q.alpha = t.alpha GROUP BY q.alpha, q1, median, q3", "qdb", "matched").replace("\n, ", ",\n", 1)
+    # the whole alpha grid
+    Q["alpha_differences_full"] = with_ctes("SELECT query_id, round(alpha1, 9) AS alpha1, round(alpha2, 9) AS alpha2, "
+                                            "round(difference, 6) AS difference FROM diffs_full", "diffs_full")
+    Q["alpha_heatmap_log"] = with_ctes("SELECT round(log10(alpha1), 2) AS log_alpha1, round(log10(alpha2), 2) AS log_alpha2, "
+                                       "round(AVG(difference), 6) AS difference FROM diffs_full GROUP BY 1, 2", "diffs_full")
+    Q["alpha_scatter"] = with_ctes("SELECT query_id, round(log10(alpha1), 2) AS x, round(log10(alpha2), 2) AS y, "
+                                   "round(difference * 100, 4) AS size FROM diffs_full", "diffs_full")
+    # corpus subsets, whole-table graphs
+    best = "(SELECT id FROM titled ORDER BY " + skey("rank") + " DESC, id LIMIT {n})"
+    Q["corpus_subset_papers"] = with_ctes(" UNION ALL ".join(
+        f"SELECT CAST({n} AS BIGINT) AS n, id FROM {best.format(n=n)}" for n in C.SUBSET_SIZES), "titled")
+    Q["corpus_subset_edges"] = with_ctes(" UNION ALL ".join(
+        f"SELECT CAST({n} AS BIGINT) AS n, src, dst FROM edges WHERE src IN {best.format(n=n)} AND dst IN {best.format(n=n)}"
+        for n in C.SUBSET_SIZES), "titled", "edges")
+    for g in ("purchase", "web"):
+        Q[f"{g}_pagerank"] = with_ctes(f"SELECT id, round(rank, 12) AS rank FROM {g}_ranks", f"{g}_ranks")
+    Q["purchase_top_ranked"] = with_ctes(f"SELECT id, round(rank, 12) AS rank FROM purchase_ranks ORDER BY {skey('rank')} DESC, id "
+                                         f"LIMIT {C.TOP_N_RANKED}", "purchase_ranks")
+    Q["purchase_degrees"] = with_ctes("SELECT src AS id, 'out' AS kind, COUNT(*) AS degree FROM purchase_edges GROUP BY src UNION ALL "
+                                      "SELECT dst, 'in', COUNT(*) FROM purchase_edges GROUP BY dst", "purchase_edges")
+    Q["web_in_degree_histogram"] = with_ctes("SELECT in_degree, COUNT(*) AS node_count FROM (SELECT dst, COUNT(*) AS in_degree "
+                                             "FROM web_edges GROUP BY dst) GROUP BY in_degree", "web_edges")
+    # round trips give what was written
+    for name, same in (("src_json_roundtrip", "corpus_project"), ("parquet_roundtrip", "pagerank"),
+                       ("csv_roundtrip", "alpha_differences"), ("pipeline_e2e", "alpha_stats_global")):
+        Q[name] = Q[same]
+    errors = " UNION ALL ".join(
+        f"SELECT {i} AS k, (SELECT SUM(abs(a.rank - b.rank)) FROM pr{i} a JOIN pr{i - 1} b ON a.id = b.id) AS error"
+        for i in range(1, MOST_STEPS + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS k, id, rank FROM pr{i}" for i in range(1, MOST_STEPS + 1))
+    Q["pagerank_converged"] = with_ctes(
+        f", stop AS (SELECT COALESCE(MIN(k) FILTER (WHERE error < {lit(TOLERANCE)}), {MOST_STEPS}) AS k FROM ({errors})), "
+        f"final AS (SELECT id, rank FROM ({every}) e WHERE e.k = (SELECT k FROM stop)) "
+        "SELECT id, round(rank / (SELECT SUM(rank) FROM final), 12) AS rank FROM final", f"pr{MOST_STEPS}").replace("\n, ", ",\n", 1)
+    Q["ml_tfidf_roundtrip"] = with_ctes(
+        "SELECT id, CAST(len(list_filter(string_split_regex(regexp_replace(lower(title), '\\s+$', ''), '\\s'), "
+        f"lambda t: NOT list_contains({STOP}, t))) AS BIGINT) AS total FROM store", "store")
     return Q

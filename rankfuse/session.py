@@ -31,8 +31,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only when the session has none.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only when it
-    is unset (local tests) a fresh local folder is created.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only a local
+    session that has none (tests) gets a fresh local folder; elsewhere executors could not read
+    it, so a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,10 +46,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - conf key absent
             configured = None
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="rankfuse-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system and path object of ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def drop_path(spark: SparkSession, path: str | None) -> None:
+    """Remove a folder of the shared store, if there is one."""
+    if path:
+        fs, where = file_system(spark, path)
+        fs.delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,14 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import PAPER, require_columns
+from ..session import drop_path, ensure_checkpoint_dir, file_system
 
 
-def read_corpus_json(spark: SparkSession, path: str, schema: T.StructType = PAPER, multiline: bool = False) -> DataFrame:
-    """Read papers with an explicit schema (no inference pass). ``multiline`` only for pretty arrays."""
+def read_corpus_json(spark: SparkSession, path: str, schema: T.StructType = PAPER, multiline: bool = False,
+                     validate: bool = True) -> DataFrame:
+    """Read papers with an explicit schema (no inference pass). ``multiline`` only for pretty arrays.
+
+    With a schema given, a field that the file lacks reads as null, so the check is on the values:
+    ValueError if there are records and a required field (one the schema calls non-null, or the
+    title) is null in all of them. ``validate=False`` spares that pass.
+    """
     reader = spark.read.schema(schema)
     if multiline:
         reader = reader.option("multiLine", True)
-    return require_columns(reader.json(path), *schema.fieldNames())
+    df = reader.json(path)
+    if validate:
+        needed = [f.name for f in schema.fields if not f.nullable or f.name == "title"]
+        seen = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in needed]).first()
+        missing = [c for c in needed if not seen[c]]
+        if seen["__n"] and missing:
+            raise ValueError(f"missing required fields: {missing}")
+    return df
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -51,13 +66,19 @@ def corpus_head(raw: DataFrame, n: int = 1000, order_col: str = "id") -> DataFra
     return corpus_project(raw).orderBy(order_col).limit(n)
 
 
+def write_head(raw: DataFrame, path: str, n: int = 1000) -> None:
+    """The first ``n`` records with all their fields as Parquet; an error if the path exists."""
+    raw.orderBy("id").limit(n).write.mode("errorifexists").parquet(path)
+
+
 def _decimals_to_double(dt: T.DataType, c: Column) -> Column:
     if isinstance(dt, T.DecimalType):
         return c.cast("double")
     if isinstance(dt, T.ArrayType):
         return F.transform(c, lambda x: _decimals_to_double(dt.elementType, x))
     if isinstance(dt, T.StructType):
-        return F.struct(*[_decimals_to_double(f.dataType, c[f.name]).alias(f.name) for f in dt.fields])
+        cast = F.struct(*[_decimals_to_double(f.dataType, c[f.name]).alias(f.name) for f in dt.fields])
+        return F.when(c.isNotNull(), cast)
     if isinstance(dt, T.MapType):
         return F.transform_values(c, lambda _, v: _decimals_to_double(dt.valueType, v))
     return c
@@ -69,15 +90,26 @@ def decimal_to_double(df: DataFrame) -> DataFrame:
 
 
 def stage_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet") -> DataFrame:
-    """Read ``path`` if a committed output is there, else build, write and read it back.
+    """Read ``path`` if a finished output is there, else build, write and read it back.
 
-    Output commit is atomic (files move out of ``_temporary`` only on success), so a readable
-    directory is a finished stage.
+    Job commit moves files one by one and writes ``_SUCCESS`` last, so only a folder with that
+    mark is finished; anything else there is a broken attempt and is overwritten.
     """
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
+    fs, mark = file_system(spark, f"{path.rstrip('/')}/_SUCCESS")
+    if not fs.exists(mark):
         build().write.mode("overwrite").format(fmt).save(path)
-        return spark.read.format(fmt).load(path)
+    return spark.read.format(fmt).load(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared folder; ``release`` removes all of them."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this application has put under ``scratch`` paths."""
+    drop_path(spark, _scratch_root(spark))
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/rankfuse-io-{spark.sparkContext.applicationId}"

@@ -49,17 +49,6 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_type").alias("key"), F.col("value").alias("seconds"))
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``spans(event_id, start_ts, end_ts)``: each event and the next event of the same user."""
-    from pyspark.sql import Window
-
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(
-        "event_id", F.col("ts").alias("start_ts"), F.lead("ts").over(w).alias("end_ts")
-    ).where(F.col("end_ts").isNotNull())
-
-
 def web_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of raw pages: page url (no query/fragment) -> site root + each root-relative href."""
     pages = table(spark, sf_dir, "pages").select("url", "html")
@@ -100,10 +89,18 @@ def spans_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def papers_by_id(spark: SparkSession, sf_dir: str, paper_id: str) -> DataFrame:
-    """Point lookup on the papers view with the predicate on the source key, so it reaches the
+    """Point lookup on the papers view (no row if there is none) with the predicate on the source key, so it reaches the
     Parquet scan (``cast(doc_id as string) = '7'`` cannot be pushed; ``doc_id = 7`` can)."""
     view = papers(spark, sf_dir)
     if paper_id.isdigit() and str(int(paper_id)) == paper_id:
         docs = table(spark, sf_dir, "documents").where(F.col("doc_id") == F.lit(int(paper_id)))
         return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"))
     return view.where(F.col("id") == F.lit(paper_id))
+
+
+def paper_or_error(spark: SparkSession, sf_dir: str, paper_id: str) -> DataFrame:
+    """``papers_by_id`` that raises LookupError if no paper has the id."""
+    found = papers_by_id(spark, sf_dir, paper_id)
+    if found.isEmpty():
+        raise LookupError(f"no paper with id {paper_id!r}")
+    return found

@@ -64,8 +64,13 @@ def brute_cosine(docs, ranks, query, alpha, beta):
     return out
 
 
+def leading(x):
+    m, e = math.frexp(x)
+    return math.ldexp(round(m * 2**33), e - 33)
+
+
 def top_ids(scored, n):
-    return [d for d, _ in sorted(scored, key=lambda x: (-math.floor(x[1] * 1e9 + 0.5), x[0]))[:n]]
+    return [d for d, _ in sorted(scored, key=lambda x: (-leading(x[1]), x[0]))[:n]]
 
 
 @pytest.mark.parametrize("alpha,beta", [(1.0, 0.0), (1.0, 5.0), (0.0, 1.0)])
@@ -195,11 +200,11 @@ def test_top_fraction(spark):
     assert [r.id for r in top.orderBy("pos").collect()] == [w[1] for w in want]
 
 
-def test_ml_tfidf_matches_exact_tables(spark):
+def test_ml_tfidf_matches_exact_tables(spark, tmp_path):
     docs = spark.createDataFrame([("a", "red green blue"), ("b", "red red yellow"), ("c", "blue")],
                                  "id string, title string")
     _, vec = fe.ml_tfidf(docs)
-    ml = {r.id: r.norm for r in fe.ml_vector_summary(vec).collect()}
+    ml = {r.id: r.norm for r in fe.ml_vector_summary(vec, str(tmp_path / "v")).collect()}
     idx = fe.build_tfidf(docs)
     exact = {r.id: r.norm for r in idx.norms.collect()}
     assert ml == pytest.approx(exact)

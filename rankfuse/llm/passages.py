@@ -48,7 +48,7 @@ GRAM = 6
 SLICE_BYTES = 2 << 20
 #: Segments that one automaton sees, about; different ones of one anchor, at most.
 SHARD_ROWS = 20_000
-SALT_ROWS = 5_000
+SALT_ROWS = 1_000
 #: Documents whose keys (two longs each) may be broadcast to spare the others' texts a shuffle.
 KEYS_SENT = 1 << 18
 

@@ -1,15 +1,12 @@
-"""Parameter grids (driver-side lists, bounded by their length) and their DataFrame form."""
+"""Parameter grids: driver-side lists, bounded by their length."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import math
 
 
 def geomspace(lo: float, hi: float, num: int) -> list[float]:
     """``num`` points from lo to hi, equal ratios: 10 ** (log10 lo + i * step)."""
-    import math
-
     if num == 1:
         return [float(lo)]
     a, b = math.log10(lo), math.log10(hi)
@@ -22,19 +19,3 @@ def linspace(lo: float, hi: float, num: int) -> list[float]:
         return [float(lo)]
     step = (hi - lo) / (num - 1)
     return [lo + i * step for i in range(num)]
-
-
-def geomspace_df(spark: SparkSession, lo: float, hi: float, num: int) -> DataFrame:
-    """Same points computed by Spark: ``pow(10, log10(lo) + id * step)``."""
-    import math
-
-    a, b = math.log10(lo), math.log10(hi)
-    step = (b - a) / (num - 1) if num > 1 else 0.0
-    return spark.range(num).select(
-        F.col("id").alias("i"), F.pow(F.lit(10.0), F.lit(a) + F.col("id") * F.lit(step)).alias("alpha")
-    )
-
-
-def linspace_df(spark: SparkSession, lo: float, hi: float, num: int) -> DataFrame:
-    step = (hi - lo) / (num - 1) if num > 1 else 0.0
-    return spark.range(num).select(F.col("id").alias("i"), (F.lit(lo) + F.col("id") * F.lit(step)).alias("alpha"))

@@ -25,11 +25,11 @@ def query_database(titled: DataFrame, n_queries: int = 1000, n_words: int = 5, f
     (exact, distributed cut) -> ``n_queries`` chosen by md5 -> words shuffled by md5 -> first
     ``n_words`` joined by a space. ``query_id`` is the paper the words came from.
     """
-    words = titled.select("id", "rank", analyze(F.col("title")).alias("words")).where(
-        F.size("words") >= n_words
-    )
-    top = top_fraction(words, [rank_key().desc(), F.col("id").asc()], fraction)
-    chosen = sample_rows(top.select("id", "words"), n_queries, seed, "id")
+    words = analyze(F.col("title"))
+    eligible = titled.where(F.size(words) >= n_words).select("id", "rank")
+    top = top_fraction(eligible, [rank_key().desc(), F.col("id").asc()], fraction)
+    ids = sample_rows(top.select("id"), n_queries, seed, "id")  # n_queries rows at most
+    chosen = titled.join(F.broadcast(ids), "id").select("id", words.alias("words"))
     picked = F.slice(seeded_shuffle(F.col("words"), seed, F.col("id")), 1, n_words)
     return chosen.select(F.col("id").alias("query_id"), F.array_join(picked, " ").alias("query"))
 

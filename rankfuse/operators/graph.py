@@ -148,15 +148,15 @@ def pagerank_state(edges: DataFrame, vertex_ids: DataFrame | None = None) -> Dat
 
 def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: float = 0.85,
              max_iter: int = 50, tol: float | None = 1e-4, normalize: bool = True,
-             checkpoint_interval: int = 1) -> PageRankResult:
+             checkpoint_interval: int = 3) -> PageRankResult:
     """PageRank with uniform start 1/N, dangling mass spread evenly, stop when L1 change < tol.
 
     Per step exactly one job, which also observes the step's L1 error, total and dangling mass.
-    By default every step's state is checkpointed reliably into the session's checkpoint
-    directory, and the state before it is deleted there: a run keeps one state on the store.
-    ``checkpoint_interval`` (1 to 3, else ValueError) persists the steps in between instead;
-    each step reads the previous state twice, so longer persisted chains inflate plan
-    descriptions exponentially, and a lost executor replays up to that many steps. Edges are
+    Every ``checkpoint_interval`` steps (1 to 3, else ValueError) the state is checkpointed
+    reliably into the session's checkpoint directory, and the one before it is deleted there: a
+    run keeps one state on the store. Steps in between are persisted; each step reads the
+    previous state twice, so longer persisted chains inflate plan descriptions exponentially,
+    and a lost executor replays up to that many steps. Edges are
     persisted once, hash-partitioned by source; sources whose out-degree exceeds
     (edges / partitions) are split off and spread by (src, dst).
     """

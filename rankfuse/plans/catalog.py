@@ -11,6 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats as st
 from ..functions import text as tx
@@ -552,8 +553,8 @@ def q_parquet_roundtrip(spark, d):
 def q_csv_roundtrip(spark, d):
     path = io.scratch(spark, "diff-csv")
     io.write_csv(wl(spark, d).differences(), path)
-    schema = "query_id string, alpha1 double, alpha2 double, difference double"
-    return rounded(spark.read.schema(schema).option("header", True).csv(path), 9)
+    schema = T.StructType.fromDDL("query_id string, alpha1 double, alpha2 double, difference double")
+    return rounded(io.read_csv(spark, path, schema), 9)
 
 
 def q_ml_tfidf_roundtrip(spark, d):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 PAPER = StructType(
     [
@@ -12,18 +12,7 @@ PAPER = StructType(
         StructField("references", ArrayType(StringType()), nullable=True),
     ]
 )
-EDGE = StructType([StructField("src", StringType()), StructField("dst", StringType())])
-RANK = StructType([StructField("id", StringType()), StructField("rank", DoubleType())])
 QUERY = StructType([StructField("query_id", StringType()), StructField("query", StringType())])
-RESULT = StructType(
-    [
-        StructField("query_id", StringType()),
-        StructField("alpha", DoubleType()),
-        StructField("id", StringType()),
-        StructField("score", DoubleType()),
-        StructField("pos", LongType()),
-    ]
-)
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -26,15 +26,19 @@ def read_query_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_
 
 def serve_queries(queries: DataFrame, index: Bm25Index, sink: str, checkpoint_location: str,
                   alpha: float = 0.5, n: int = 200, available_now: bool = True) -> StreamingQuery:
-    """Start the serving stream; returns the running ``StreamingQuery``."""
+    """Start the serving stream; returns the running ``StreamingQuery``. ``index`` should be a stored
+    one (``build_bm25(..., store=...)``): each micro-batch then reads its tables, a lazy index would
+    be built again each time."""
     spark = queries.sparkSession
     out = sink.rstrip("/")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         t0 = time.time()
+        batch = batch.persist()  # read twice
         res = bm25_hybrid_topk(batch, index, alpha, n)
         res.write.mode("overwrite").parquet(f"{out}/results/batch_id={batch_id}")
         n_queries = batch.select("query_id").distinct().count()
+        batch.unpersist()
         seconds = time.time() - t0
         spark.createDataFrame([(batch_id, n_queries, seconds)], "batch_id long, n_queries long, seconds double") \
             .write.mode("overwrite").parquet(f"{out}/latency/batch_id={batch_id}")

@@ -9,8 +9,8 @@ def test_stream_serving_equals_batch(spark):
     papers = spark.createDataFrame([("a", "red green"), ("b", "green blue"), ("c", "blue blue red")],
                                    "id string, title string")
     ranks = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "id string, rank double")
-    idx = fe.build_bm25(papers, ranks)
     root = tempfile.mkdtemp(prefix="rankfuse-stream-")
+    idx = fe.build_bm25(papers, ranks, store=f"{root}/index")
     q1 = spark.createDataFrame([("q1", "red"), ("q2", "blue green")], "query_id string, query string")
     q2 = spark.createDataFrame([("q3", "green")], "query_id string, query string")
     q1.write.parquet(f"{root}/in/part1")

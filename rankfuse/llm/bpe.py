@@ -104,10 +104,30 @@ def decode(df: DataFrame, ids: str, rank_file: str, pattern: str, data: str = "d
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() != data.lower()], raw)
 
 
+def round_trip(df: DataFrame, text: str, rank_file: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """``df`` with ``ids`` as by ``encode`` and ``data``, the bytes that ``decode`` gives for them, in one
+    pass: the ids don't travel to a second Python worker."""
+    with open(rank_file, "rb") as f:
+        ranks = df.sparkSession.sparkContext.broadcast(f.read())
+
+    @F.arrow_udf("struct<ids: array<int>, data: binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoding(ranks.value, pattern)
+        for texts in batches:
+            for lo in range(0, len(texts), SLICE_ROWS):
+                lists = [encode_text(enc, t) for t in texts.slice(lo, SLICE_ROWS).to_pylist()]
+                yield pa.StructArray.from_arrays(
+                    [pa.array(lists, pa.list_(pa.int32())), pa.array([enc.decode_bytes(x) for x in lists], pa.binary())], names=["ids", "data"])
+
+    both = common.fresh(df, "both")[0]
+    out = df.withColumn(both, run(df[f"`{text}`"]))
+    keep = [out[f"`{c}`"] for c in df.columns if c.lower() not in (ids.lower(), data.lower())]
+    return out.select(*keep, out[both]["ids"].alias(ids), out[both]["data"].alias(data))
+
+
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    encoded = encode(docs.select("doc_id", "text"), "text", rank_file, pattern)
-    both = decode(encoded.select("doc_id", "ids"), "ids", rank_file, pattern)
+    both = round_trip(docs.select("doc_id", "text"), "text", rank_file, pattern)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

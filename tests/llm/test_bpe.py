@@ -43,3 +43,10 @@ def test_decode_of_a_part_of_a_character(spark, enc):
     df = spark.createDataFrame([(ids[:1],), (None,), ([],)], "ids array<int>")
     got = [bytes(r.decoded) for r in bpe.decode(df, "ids", RANKS, P.PATTERN).collect()]
     assert got == [enc.decode_bytes(ids[:1]), b"", b""]
+
+
+def test_round_trip_is_encode_then_decode(docs):
+    once = bpe.round_trip(docs, "text", RANKS, P.PATTERN)
+    twice = bpe.decode(bpe.encode(docs, "text", RANKS, P.PATTERN), "ids", RANKS, P.PATTERN)
+    assert once.columns == twice.columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))

@@ -69,6 +69,8 @@ def refine(rows: DataFrame, digest_all: bool = False) -> DataFrame:
         .agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
         .join(again, ["len", "prefix"], "left_semi").where("group_size > 1")
     )
+    # read from a table, so that both sides of the join are plain shuffles that Spark can split
+    groups = common.stage(groups, "dedup-groups")
     joined = narrow.join(groups, ["len", "prefix", "sha"], "left")
     return joined.select(
         "row", "id",

@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from . import common
+
 #: Words remembered by one worker (about 100 bytes each); only the speed depends on it.
 MEMO_WORDS = 400_000
 #: Pre-tokens merged at a time.
@@ -224,6 +226,7 @@ def count_tokens(df: DataFrame, text: str, tokenizer_file: str, out: str = "n_to
     ``tokenizer_file`` is read on the driver and broadcast; its size is the vocabulary's
     (1.7 MB for 49,000 entries), whatever the data.
     """
+    common.ship(df.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -396,3 +396,20 @@ def digests(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_sha256``."""
     out = remove(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i + 1 : i + 35], ' ') AS s
+  FROM (SELECT r, w, unnest(range(len(w) - 34)) AS i FROM d WHERE len(w) >= 35)
+), again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + j AS k FROM windows JOIN again USING (s), range(35) t(j)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS k FROM d),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -75,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_passages": passages.ORACLE,
     "op3_topk": topk.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,

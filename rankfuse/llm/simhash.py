@@ -251,7 +251,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = common.stage(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        old, state = state, common.stage(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        common.unstage(old)
 
 
 def groups(rows: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:

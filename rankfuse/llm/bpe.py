@@ -70,7 +70,7 @@ def encode(df: DataFrame, text: str, rank_file: str, pattern: str, ids: str = "i
     ``rank_file`` is read on the driver and broadcast: its size is that of the vocabulary
     (under 1 MB for 50,000 ranks), whatever the data.
     """
-    common.ship(df.sparkSession)
+    common.prepare(df.sparkSession)
     with open(rank_file, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -91,7 +91,7 @@ def decode(df: DataFrame, ids: str, rank_file: str, pattern: str, data: str = "d
     Bytes and not text, because a slice of ids may end inside a character. An id outside the
     vocabulary is an error.
     """
-    common.ship(df.sparkSession)
+    common.prepare(df.sparkSession)
     with open(rank_file, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -109,7 +109,7 @@ def decode(df: DataFrame, ids: str, rank_file: str, pattern: str, data: str = "d
 def round_trip(df: DataFrame, text: str, rank_file: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``df`` with ``ids`` as by ``encode`` and ``data``, the bytes that ``decode`` gives for them, in one
     pass: the ids don't travel to a second Python worker."""
-    common.ship(df.sparkSession)
+    common.prepare(df.sparkSession)
     with open(rank_file, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -18,13 +18,20 @@ WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application: they need not have it.
+#: Whole texts are long rows: Arrow batches hold this much unless the session says otherwise.
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
-    Called by every operator with a Python function. The archive (some 100 kB) travels through
-    Spark's own file server.
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for Python functions over whole texts, once for each application.
+
+    Sends this package to the Python workers (they need not have it; the archive of some 100 kB
+    travels through Spark's own file server), and lowers the size of Arrow batches, which executors
+    hold outside the heap, unless it was set when the application started.
     """
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.getConf().contains(ARROW_BATCH[0]):
+        spark.conf.set(*ARROW_BATCH)
     if app in _SHIPPED:
         return
     package = pathlib.Path(__file__).resolve().parents[1]

@@ -140,7 +140,7 @@ def page_rows(pages: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFra
 
 def learn(pages: DataFrame, languages: Sequence[str] = LANGUAGES) -> Model:
     """The text model from all pages, whole, by the language they declare."""
-    common.ship(pages.sparkSession)
+    common.prepare(pages.sparkSession)
     tagged = pages.select(markup_language(F.col("html")).alias("tag"), "html")
     place = {lang: k for k, lang in enumerate(languages)}
 
@@ -172,7 +172,7 @@ def learn(pages: DataFrame, languages: Sequence[str] = LANGUAGES) -> Model:
 
 
 def text_scores(df: DataFrame, text: str, model: Model) -> Column:
-    common.ship(df.sparkSession)
+    common.prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")

@@ -310,7 +310,7 @@ def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(rows: DataFrame) -> DataFrame:
     """``file, at, ranges``: for each of ``rows`` (``file, at, text``) with recurring passages, the
     ranges of words that they cover."""
-    common.ship(rows.sparkSession)
+    common.prepare(rows.sparkSession)
     segments = common.stage(rows.select("file", "at", "text").mapInArrow(
         find_segments, "file long, at long, start long, n int, anchor long, content long, chances int"), "segments")
     again = segments.groupBy("anchor").agg(F.sum("chances").alias("times")).where(F.col("times") > 1).select("anchor")

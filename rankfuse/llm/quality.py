@@ -176,7 +176,7 @@ def remainder(id_col: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Chunks and labels of the training sample (its bounds are this module's parameters)."""
-    common.ship(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id")) != 0)
     chosen = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
 
 def score(df: DataFrame, text: str, net: Network) -> Column:
     """The probability of label 1 for each whole text."""
-    common.ship(df.sparkSession)
+    common.prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")

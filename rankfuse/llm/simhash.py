@@ -260,7 +260,7 @@ def groups(rows: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
 
     ``first`` is the (none, id, row) of the component's row with the smallest id, nulls last.
     """
-    common.ship(rows.sparkSession)
+    common.prepare(rows.sparkSession)
     prints = common.stage(rows.select("row", "id", fingerprints(F.col("text"), shingle).alias("fp")), "prints")
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     nodes = common.stage(prints.groupBy("fp").agg(F.min(own).alias("first")), "nodes")

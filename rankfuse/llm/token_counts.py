@@ -226,7 +226,7 @@ def count_tokens(df: DataFrame, text: str, tokenizer_file: str, out: str = "n_to
     ``tokenizer_file`` is read on the driver and broadcast; its size is the vocabulary's
     (1.7 MB for 49,000 entries), whatever the data.
     """
-    common.ship(df.sparkSession)
+    common.prepare(df.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
 

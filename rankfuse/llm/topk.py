@@ -150,7 +150,7 @@ def cell_search(k: int):
 def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` of ``vectors`` (``vec_id, v``: array<long>)
     for each of its rows where ``is_query`` (an expression over ``vec_id``)."""
-    common.ship(vectors.sparkSession)
+    common.prepare(vectors.sparkSession)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     rows = common.stage(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", length.alias("length")), "vectors")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()

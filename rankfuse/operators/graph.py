@@ -148,7 +148,7 @@ def pagerank_state(edges: DataFrame, vertex_ids: DataFrame | None = None) -> Dat
 
 def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: float = 0.85,
              max_iter: int = 50, tol: float | None = 1e-4, normalize: bool = True,
-             checkpoint_interval: int = 3) -> PageRankResult:
+             checkpoint_interval: int = 1) -> PageRankResult:
     """PageRank with uniform start 1/N, dangling mass spread evenly, stop when L1 change < tol.
 
     Per step exactly one job, which also observes the step's L1 error, total and dangling mass.
@@ -159,9 +159,25 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
     and a lost executor replays up to that many steps. Edges are
     persisted once, hash-partitioned by source; sources whose out-degree exceeds
     (edges / partitions) are split off and spread by (src, dst).
+
+    The steps are planned without adaptive execution (the session's setting comes back after
+    them): only then does a checkpointed state keep its partitioning by id, so that a step
+    shuffles nothing but the partial sums of its messages. Hubs, the skew that adaptive plans
+    would split, are split here already.
     """
     if not 1 <= checkpoint_interval <= 3:
         raise ValueError(f"checkpoint_interval must be 1, 2 or 3, not {checkpoint_interval}")
+    adaptive = "spark.sql.adaptive.enabled"
+    before = edges.sparkSession.conf.get(adaptive)
+    edges.sparkSession.conf.set(adaptive, "false")
+    try:
+        return _pagerank(edges, vertex_ids, damping, max_iter, tol, normalize, checkpoint_interval)
+    finally:
+        edges.sparkSession.conf.set(adaptive, before)
+
+
+def _pagerank(edges: DataFrame, vertex_ids: DataFrame | None, damping: float, max_iter: int, tol: float | None,
+              normalize: bool, checkpoint_interval: int) -> PageRankResult:
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     parts = shuffle_partitions(spark)

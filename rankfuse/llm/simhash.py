@@ -236,7 +236,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node that isn't its component's smallest; ``edges``: ``a, b``.
 
     Large-star: a node's larger neighbours go to its smallest neighbour. Small-star: its smaller
-    neighbours do. The graph is a forest of stars when a round changes nothing, after a number
+    neighbours do. The minima are staged, so that both sides of each join are plain shuffles and
+    Spark can split the rows of a hub. The graph is a forest of stars when a round changes nothing, after a number
     of rounds that grows with the logarithm of the nodes.
     """
     state = common.stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -247,12 +248,13 @@ def components(edges: DataFrame) -> DataFrame:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = common.stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = common.stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = common.stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         moved = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, state = state, common.stage(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
-        common.unstage(old)
+        for done in (old, least, large, low):
+            common.unstage(done)
 
 
 def groups(rows: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -266,7 +268,7 @@ def groups(rows: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     nodes = common.stage(prints.groupBy("fp").agg(F.min(own).alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), bits))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("first"))
+    least = common.stage(placed.groupBy("root").agg(F.min("first").alias("first")), "components")
     found = placed.drop("first").join(least, "root").select("fp", "first")
     return prints.join(found, "fp")
 

@@ -193,7 +193,9 @@ def log_priors(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFra
     totals = rows.agg(F.array(*per)).first()[0]  # one number for each language
     out = out.withColumn("n_all", F.array(*[F.lit(float(n or 0)) for n in totals]))
     for level in ("suffix", "domain", "host"):
-        counts = rows.where(F.col(level).isNotNull()).groupBy(level).agg(F.array(*per).alias(f"n_{level}"))
+        # from a table whose size is known: a suffix or host that many pages share is then no
+        # shuffle key, as Spark broadcasts few counts, or one that Spark can split
+        counts = common.stage(rows.where(F.col(level).isNotNull()).groupBy(level).agg(F.array(*per).alias(f"n_{level}")), f"{level}-counts")
         out = out.join(counts, level, "left")
 
     def shares(counts: Column, above: Column | None) -> Column:

@@ -96,7 +96,9 @@ def plan(sized: DataFrame, schedules: Sequence[Schedule] = SCHEDULES, limit: int
     ``sized`` is a stored table as ``sizes`` gives it (it is read several times).
     ``positions``: one training position for each copy, ascending.
     """
-    per = targets(sized, [integral(s) for s in schedules], limit)
+    # one row for each source, from a table whose size is known, so that Spark broadcasts it where
+    # it is small and no source is a shuffle key of all its rows
+    per = common.stage(targets(sized, [integral(s) for s in schedules], limit), "mix-targets")
     digits = max(1, math.ceil(math.log(max(1, sized.count() / BUCKET_ROWS), 16)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     # prefix sums need a non-null group

@@ -97,6 +97,7 @@ class Counter:
         self.plain = regex.compile(r"[\x21-ɏ]+")
         self.space = regex.compile(r"\s")
         specials = [x["content"] for x in spec["added_tokens"]]
+        self.marks = {x[0] for x in specials}
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         letters = byte_letters()
@@ -185,7 +186,7 @@ class Counter:
         split, extra = [], []
         for t in texts:
             n = 0
-            if self.special is not None and "<" in t:
+            if any(m in t for m in self.marks):
                 found = self.special.findall(t)
                 n = len(found)
                 if n:

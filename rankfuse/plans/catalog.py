@@ -57,6 +57,10 @@ R12 = dict(rank=12, error=12, total=12, inflow=12, dangling_mass=12)
 # --- sources / projections ---------------------------------------------------------------------
 
 def q_scan_parquet(spark, d):
+    return td.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "n_chars")
+
+
+def q_filter_pushed(spark, d):
     docs = td.table(spark, d, "documents")
     return docs.where(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("id"), "n_chars")
 
@@ -206,6 +210,11 @@ def q_titled_ranks(spark, d):
     return rounded(wl(spark, d).titled().select("id", "rank", "title"), 12)
 
 
+def q_sorted_positions(spark, d):
+    t = wl(spark, d).titled().select("id", "rank")
+    return od.with_global_position(t, [gr.rank_key().desc(), F.col("id").asc()]).select("id", "pos")
+
+
 def q_top_decile(spark, d):
     t = wl(spark, d).titled().select("id", "rank")
     return od.top_fraction(t, [gr.rank_key().desc(), F.col("id").asc()], 0.1).select("id", "pos")

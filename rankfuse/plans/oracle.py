@@ -312,7 +312,8 @@ def _sizes_sql(alphas) -> str:
 
 def build() -> dict[str, str]:
     Q: dict[str, str] = {}
-    Q["scan_parquet"] = "SELECT CAST(doc_id AS VARCHAR) AS id, n_chars FROM documents WHERE lang = 'en'"
+    Q["scan_parquet"] = "SELECT CAST(doc_id AS VARCHAR) AS id, n_chars FROM documents"
+    Q["filter_pushed"] = "SELECT CAST(doc_id AS VARCHAR) AS id, n_chars FROM documents WHERE lang = 'en'"
     Q["cast_ids"] = "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents"
     Q["drop_nulls"] = with_ctes('SELECT id, CAST(len("references") AS BIGINT) AS n_refs FROM papers_refs WHERE "references" IS NOT NULL', "papers_refs")
     Q["lookup_by_id"] = with_ctes(f"SELECT id, title FROM papers WHERE id = {s(C.LOOKUP_ID)}", "papers")
@@ -354,6 +355,7 @@ def build() -> dict[str, str]:
     Q["rank_total"] = with_ctes("SELECT round(COALESCE(SUM(rank), 0.0), 9) AS rank_total FROM ranks", "ranks")
     Q["top_ranked"] = with_ctes(f"SELECT id, round(rank, 12) AS rank FROM ranks ORDER BY {skey('rank')} DESC, id LIMIT {C.TOP_N_RANKED}", "ranks")
     Q["titled_ranks"] = with_ctes("SELECT id, round(rank, 12) AS rank, title FROM titled", "titled")
+    Q["sorted_positions"] = with_ctes(f"SELECT id, row_number() OVER (ORDER BY {skey('rank')} DESC, id) AS pos FROM titled", "titled")
     Q["top_decile"] = with_ctes(
         f"SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY {skey('rank')} DESC, id) AS pos, COUNT(*) OVER () AS n "
         f"FROM titled) WHERE pos <= CAST(floor({lit(0.1)} * n) AS BIGINT)", "titled")

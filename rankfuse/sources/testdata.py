@@ -35,6 +35,7 @@ def papers_with_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``references`` = cited part keys as strings, ordered numerically, duplicates kept, NULL if none."""
     docs = table(spark, sf_dir, "documents")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    items = items.join(docs.select(F.col("doc_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     refs = items.groupBy("l_orderkey").agg(
         F.transform(F.sort_array(F.collect_list("l_partkey")), lambda k: k.cast("string")).alias("references")
     )

@@ -14,7 +14,7 @@ from rankfuse.operators import graph as gr
 from rankfuse.operators import ordering as od
 from rankfuse.operators import search as se
 from rankfuse.session import ensure_checkpoint_dir
-from rankfuse.sources import io
+from rankfuse.sources import io, testdata
 
 
 @pytest.mark.parametrize("unit", [1e-7, 1e-11, 1e-14])
@@ -169,3 +169,17 @@ def test_subsets_of_several_sizes(spark):
     subs = gr.corpus_subsets_by_rank(papers, edges, ranks, [2, 4])
     got = {n: (sorted(r.id for r in p.collect()), sorted(map(tuple, e.collect()))) for n, (p, e) in subs.items()}
     assert got == {2: (["4", "5"], [("5", "4")] * 2), 4: (["2", "3", "4", "5"], [("4", "3")] + [("5", "4")] * 2)}
+
+
+def test_lookup_of_an_unknown_paper_is_an_error(spark):
+    sf = "/root/testdata/sf0.001"
+    assert testdata.paper_or_error(spark, sf, "7").count() == 1
+    for unknown in ("999999999", "x7", "007"):
+        with pytest.raises(LookupError):
+            testdata.paper_or_error(spark, sf, unknown)
+
+
+def test_titled_ranks_in_order(spark):
+    papers = spark.createDataFrame([(str(k), f"t{k}") for k in range(5)], "id string, title string")
+    ranks = spark.createDataFrame([("0", 0.2), ("1", 0.5), ("2", 0.2), ("x", 0.9), ("4", 1e-9)], "id string, rank double")
+    assert [r.id for r in gr.titled_ranks(ranks, papers, sort=True).collect()] == ["1", "0", "2", "4"]

@@ -218,7 +218,8 @@ def links(prints: DataFrame, bits: int) -> DataFrame:
     rows = prints.select(F.explode(bands).alias("x")).select("x.band", "x.key")
     rows = rows.withColumn("cell", F.shiftrightunsigned("key", 64 - top) if top else F.lit(0).cast("long"))
     large = rows.groupBy("band", "cell").count().where(F.col("count") > 2 * CELL_ROWS).select("band", "cell", F.lit(True).alias("large"))
-    rows = rows.join(large, ["band", "cell"], "left")
+    # few rows (one for every 2 * CELL_ROWS at most), from a table of known size
+    rows = rows.join(common.stage(large, "large-cells"), ["band", "cell"], "left")
     # the node of a key: the bits after its block; its partners differ in no more than the budget
     width = F.element_at(F.array(*[F.lit(w) for _, w in first]), F.col("band") + 1)
     node = F.expr(f"shiftrightunsigned(shiftleft(key, width), {64 - SPLIT_BITS})")

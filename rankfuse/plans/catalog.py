@@ -23,7 +23,7 @@ from ..operators import search as se
 from ..sources import io
 from ..sources import testdata as td
 from .workload import (BENCH_ALPHAS, DAMPING, FLAGSHIP_QUERY, ORACLE_ALPHAS, PR_STEPS, SEARCH_ALPHA, SEARCH_BETA, SEARCH_TOP_N, SEED,
-                       SIZE_ALPHAS, SWEEP_TOP_N, Workload, rounded)
+                       Workload, rounded)
 
 # Query parameters (ours): fixed here so Spark and SQL use the same values.
 LOOKUP_ID = "7"

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from rankfuse.llm import exact_dedup
 
 
@@ -25,7 +27,9 @@ def test_groups(docs, rows, none):
     assert exact_dedup.groups(none).collect() == []
 
 
-def test_dedup_keeps_whole_rows(docs, rows, none):
+@pytest.mark.parametrize("sent", [1 << 18, -1])
+def test_dedup_keeps_whole_rows(docs, rows, none, monkeypatch, sent):
+    monkeypatch.setattr(exact_dedup, "KEYS_SENT", sent)  # beyond it every text is hashed
     out = exact_dedup.dedup(docs)
     assert out.schema == docs.schema
     best = {}

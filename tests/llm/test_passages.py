@@ -43,6 +43,7 @@ def test_planted_passages(spark, monkeypatch, small):
         monkeypatch.setattr(P, "SHARD_ROWS", 10)
         monkeypatch.setattr(P, "SALT_ROWS", 2)
         monkeypatch.setattr(P, "SLICE_BYTES", 500)
+        monkeypatch.setattr(P, "KEYS_SENT", -1)  # texts are shuffled to their keys
     texts = [t for seed in range(3) for t in planted(seed)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in P.digests(df).collect()}

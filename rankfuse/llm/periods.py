@@ -48,6 +48,9 @@ LEAST = 24
 FIRST = 16
 #: Bytes of tiles or texts that a task gathers before it hands them on.
 FLUSH = 4 << 20
+#: Bytes of tiles that one task solves, about; and the most tasks that they are dealt to.
+TASK_BYTES = 8 << 20
+TASKS = 50_000
 
 PIECE = ("file long, at long, doc_id long, n_words long, whole_sha256 string, body binary, "
          "low int, boundary long, begin long, ids binary")
@@ -243,7 +246,9 @@ def find(rows: DataFrame) -> DataFrame:
     common.prepare(rows.sparkSession)
     pieces = common.stage(rows.select("file", "at", "doc_id", "text").mapInArrow(cut_tiles, PIECE), "tiles")
     tiles = pieces.where(F.col("low").isNotNull()).select("file", "at", "n_words", "low", "boundary", "begin", "ids")
-    parts = tiles.repartition("file", "at", "low", "boundary").mapInArrow(solve_tiles, FRAGMENT)
+    held = tiles.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    tasks = min(TASKS, 1 + held // TASK_BYTES)
+    parts = tiles.repartition(tasks, "file", "at", "low", "boundary").mapInArrow(solve_tiles, FRAGMENT)
     runs = stitched(parts).groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("start", "length", "period"))).alias("runs"))
     texts = pieces.where(F.col("low").isNull()).select("file", "at", "doc_id", "n_words", "whole_sha256", "body")
     some = texts.where(F.col("body").isNotNull()).join(runs, ["file", "at"], "left")

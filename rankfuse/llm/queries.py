@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, mixing, passages, periods, quality, sharding, simhash, token_counts, topk
+from . import bpe, exact_dedup, language, mixing, passages, periods, quality, secret_scan, sharding, simhash, token_counts, topk
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,10 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_passages": op1_passages,
     "op2_quality": op2_quality,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periods": op11_periods,
+    "op12_secrets": op12_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {

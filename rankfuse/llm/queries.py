@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, mixing, passages, periods, quality, secret_scan, sharding, simhash, token_counts, topk
+from . import bpe, clustering, exact_dedup, language, mixing, passages, periods, quality, secret_scan, sharding, simhash, token_counts, topk
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,8 @@ QUALITY_FROM = 0.3
 TOPK_EVERY = 100
 TOPK = 10
 SHARDS = 40
+CLUSTERS = 40
+CLUSTER_ROUNDS = 5
 SIMHASH_SHINGLE = 4
 SIMHASH_BITS = 4
 
@@ -69,6 +71,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digests(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_passages": op1_passages,
     "op2_quality": op2_quality,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periods": op11_periods,
     "op12_secrets": op12_secrets,
+    "op13_clustering": op13_clustering,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +96,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_topk": topk.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_clustering": clustering.oracle(CLUSTERS, CLUSTER_ROUNDS),
 }

@@ -6,6 +6,11 @@ not white space. No alternative of a byte-level pre-split pattern such as
 lies in a run of white space, and the one look-ahead concerns such runs), so the parts'
 tokens joined are the tokens of the whole text. A text without such a place stays whole.
 
+Runs of ``BLANK_CHARS`` or more white-space characters (at which the library's regular expression
+runs out of stack) are cut out before: by the pattern's own rule for them a run at the end of a text is
+one piece, any other one less its last character, which belongs to what follows. The library
+encodes that piece.
+
 Both directions are narrow: no shuffle, one Arrow batch in memory at a time, and a lost
 executor costs only its own tasks.
 
@@ -33,6 +38,8 @@ SPLIT_CHARS = 1 << 15
 #: Rows of an Arrow batch held as Python objects at a time.
 SLICE_ROWS = 128
 SAFE = regex.compile(r"(?<=\S) ")
+#: White-space runs of this many characters are pieces of their own.
+BLANK_CHARS = 1 << 15
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,13 +60,26 @@ def safe_parts(text: str, limit: int = SPLIT_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+@functools.lru_cache(maxsize=4)
+def blanks(least: int) -> regex.Pattern:
+    return regex.compile(r"\p{White_Space}{%d,}+" % least)
+
+
 def encode_text(enc: tiktoken.Encoding, text: str | None) -> list[int]:
     if not text:
         return []
-    if len(text) <= SPLIT_CHARS:
+    if len(text) <= min(SPLIT_CHARS, BLANK_CHARS):
         return enc.encode_ordinary(text)
     out: list[int] = []
-    for part in safe_parts(text):
+    start = 0
+    for run in blanks(BLANK_CHARS).finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        for part in safe_parts(text[start : run.start()]):
+            out += enc.encode_ordinary(part)
+        if end > run.start():
+            out += enc._encode_single_piece(text[run.start() : end])
+        start = end
+    for part in safe_parts(text[start:]):
         out += enc.encode_ordinary(part)
     return out
 

@@ -50,3 +50,19 @@ def test_round_trip_is_encode_then_decode(docs):
     twice = bpe.decode(bpe.encode(docs, "text", RANKS, P.PATTERN), "ids", RANKS, P.PATTERN)
     assert once.columns == twice.columns
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u3000", "\x85", " \n\t"])
+def test_runs_of_a_million_blanks(enc, blank):
+    run = blank * (1_000_000 // len(blank))
+    for text in (run, "a" + run, run + "b", "a" + run + "b c", run + "1" + run):
+        ids = bpe.encode_text(enc, text)
+        assert enc.decode_bytes(ids) == text.encode()
+
+
+@pytest.mark.parametrize("least", [1, 2, 5, 40])
+def test_cut_blank_runs_keep_the_tokens(rows, enc, monkeypatch, least):
+    monkeypatch.setattr(bpe, "BLANK_CHARS", least)
+    odd = ["a" + " " * 50 + "b", "\n" * 60, " " * 45 + "'s x", "x\u3000\u3000\x85\x85 \n 1", "a\x1c\x1c\x1cb", "  lead", "trail\t\t", "1  2   3\n\n\n4", "é \xa0 \xa0日"]
+    for text in [*odd, *(r[1] for r in rows if r[1])]:
+        assert bpe.encode_text(enc, text) == enc.encode_ordinary(text)

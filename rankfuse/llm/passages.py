@@ -19,8 +19,9 @@ anywhere else. Every word that a recurring window covers is removed.
 4. *Removal.* Each document's covered ranges meet its text.
 
 So all texts are streamed, but each stretch only past the automaton of its anchor: the work grows
-with the text and not with text times shards. Equal segments are told by two 64-bit hashes; the
-automata compare words themselves.
+with the text and not with text times shards. Words are hashed by 64 bits of BLAKE2b, and so are equal
+segments, over the digests of their words: neither has pairs that collide by construction, as
+polynomial hashes have. The automata compare words themselves.
 
 Nulls: a null text has no words; a null id is an id like others. Texts of fewer words than a
 window are kept whole. Repeated rows are separate texts (so their windows recur). Empty tables
@@ -30,6 +31,7 @@ text at a time, or one text if that is longer.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -69,7 +71,27 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-LETTERS = mixed(np.arange(1, 257, dtype=U) * U(BASES[0]))
+#: Hashes of words that a process remembers.
+REMEMBERED = 1 << 20
+_KNOWN: dict[bytes, int] = {}
+
+
+def digest(data: bytes | memoryview) -> int:
+    """64 bits of a cryptographic hash: unlike sums of powers it has no pairs that collide by construction."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    if len(_KNOWN) > REMEMBERED:
+        _KNOWN.clear()
+    known = _KNOWN
+    for w in words:
+        if w not in known:
+            known[w] = digest(w)
+    out = np.array([known[w] for w in words], U)
+    for w in [w for w in set(words) if len(w) > 256]:
+        del known[w]
+    return out
 
 
 class Words:
@@ -98,20 +120,18 @@ class Words:
         self.word = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        if not self.n:
-            return np.empty(0, U)
-        size = self.end - self.start
-        power = powers(BASES[1], int(size.max()))
         out, lo = np.empty(self.n, U), 0
+        data = self.raw.tobytes()
         while lo < self.n:
-            up = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + SLICE_BYTES, "right")))
-            own = size[lo:up]
-            begin = np.cumsum(own) - own
-            place = np.arange(own.sum()) - np.repeat(begin, own)
-            letters = LETTERS[self.raw[place + np.repeat(self.start[lo:up], own)]]
-            out[lo:up] = np.add.reduceat(letters * power[place], begin)
+            up = min(self.n, lo + (1 << 18))
+            out[lo:up] = word_hashes([data[a:b] for a, b in zip(self.start[lo:up].tolist(), self.end[lo:up].tolist())])
             lo = up
-        return mixed(out + size.astype(U))
+        return out
+
+    def contents(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Digests of the ``size`` words from each of ``at``, over the words' own."""
+        line = memoryview(self.word.tobytes())
+        return np.array([digest(line[8 * a : 8 * b]) for a, b in zip(at.tolist(), (at + size).tolist())], U)
 
     def runs(self, at: np.ndarray, size: np.ndarray | int, which: int) -> np.ndarray:
         """Hashes of the ``size`` words from each of ``at``."""
@@ -153,7 +173,7 @@ class Words:
         return {
             "doc": own, "start": begin - self.first[own], "n": n,
             "anchor": value[lead].view(np.int64),
-            "content": self.runs(begin, n + WINDOW - 1, 1).view(np.int64) ^ n,
+            "content": self.contents(begin, n + WINDOW - 1).view(np.int64),
             "chances": 1 + (anchor[lead] != anchor[lead + n - 1]),
         }
 

@@ -64,6 +64,22 @@ def test_one_text_repeats_itself_and_34_words_do_not_count(spark):
     assert got == {0: 70, 1: 0, 2: 0, 3: 36, 4: 35, 5: 0, 6: 56}
 
 
+def morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(1 << n)]
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    lead = " ".join(f"w{k}" for k in range(34))
+    one, two = ("".join(morse(10, *ab)) for ab in ("ab", "ba"))
+    texts = [f"{lead} {one}", f"{lead} {two}", f"{lead} {one} x", " ".join(morse(11, "left", "right")) + " end", " ".join(morse(11, "right", "left")) + " stop"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in P.digests(df).collect()}
+    assert got == dict(enumerate(brute(texts)))
+    assert (got[0][1], got[1][1]) == (35, 0)
+    hashes = P.word_hashes([one.encode(), two.encode()])
+    assert hashes[0] != hashes[1]
+
+
 def test_remove_keeps_columns(docs, none):
     out = P.remove(docs)
     assert out.columns == [*docs.columns, "n_words", "n_removed"]

@@ -19,8 +19,8 @@ anywhere else. Every word that a recurring window covers is removed.
 4. *Removal.* Each document's covered ranges meet its text.
 
 So all texts are streamed, but each stretch only past the automaton of its anchor: the work grows
-with the text and not with text times shards. Words are hashed by 64 bits of BLAKE2b, and so are equal
-segments, over the digests of their words: neither has pairs that collide by construction, as
+with the text and not with text times shards. Words are told by 64-bit chains of non-linear mixing,
+equal segments by 64-bit XXH3 over those: neither has pairs that collide by construction, as
 polynomial hashes have. The automata compare words themselves.
 
 Nulls: a null text has no words; a null id is an id like others. Texts of fewer words than a
@@ -31,7 +31,6 @@ text at a time, or one text if that is longer.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +39,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,27 +71,27 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-#: Hashes of words that a process remembers.
-REMEMBERED = 1 << 20
-_KNOWN: dict[bytes, int] = {}
+def chained(h: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """One link of a chain of hashes: all bits of both go into all bits of the result, by no linear map,
+    so that (unlike in sums of powers) no pairs of chains collide by construction."""
+    return mixed(h ^ mixed(block + U(BASES[0]))) + U(BASES[1])
 
 
-def digest(data: bytes | memoryview) -> int:
-    """64 bits of a cryptographic hash: unlike sums of powers it has no pairs that collide by construction."""
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+def word_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words at ``start``: chains over their blocks of eight bytes, then their sizes.
 
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_KNOWN) > REMEMBERED:
-        _KNOWN.clear()
-    known = _KNOWN
-    for w in words:
-        if w not in known:
-            known[w] = digest(w)
-    out = np.array([known[w] for w in words], U)
-    for w in [w for w in set(words) if len(w) > 256]:
-        del known[w]
-    return out
+    All words take their k-th link together; only long ones are left for later ones."""
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    blocks = np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(1, 9)], U)
+    out = np.full(len(start), BASES[1], U)
+    left, at, done = np.arange(len(start)), start, 0
+    while len(left):
+        rest = size[left] - done
+        out[left] = chained(out[left], blocks[at] & masks[np.minimum(rest, 8) - 1])
+        more = rest > 8
+        left, at, done = left[more], at[more] + 8, done + 8
+    return mixed(out ^ size.astype(U))
 
 
 class Words:
@@ -120,18 +120,12 @@ class Words:
         self.word = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        out, lo = np.empty(self.n, U), 0
-        data = self.raw.tobytes()
-        while lo < self.n:
-            up = min(self.n, lo + (1 << 18))
-            out[lo:up] = word_hashes([data[a:b] for a, b in zip(self.start[lo:up].tolist(), self.end[lo:up].tolist())])
-            lo = up
-        return out
+        return word_hashes(self.raw, self.start, self.end - self.start) if self.n else np.empty(0, U)
 
     def contents(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Digests of the ``size`` words from each of ``at``, over the words' own."""
+        """XXH3 of the ``size`` words from each of ``at``, over the words' own hashes."""
         line = memoryview(self.word.tobytes())
-        return np.array([digest(line[8 * a : 8 * b]) for a, b in zip(at.tolist(), (at + size).tolist())], U)
+        return np.array([xxhash.xxh3_64_intdigest(line[8 * a : 8 * b]) for a, b in zip(at.tolist(), (at + size).tolist())], U)
 
     def runs(self, at: np.ndarray, size: np.ndarray | int, which: int) -> np.ndarray:
         """Hashes of the ``size`` words from each of ``at``."""

@@ -76,8 +76,15 @@ def test_words_that_collide_under_polynomial_hashes(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in P.digests(df).collect()}
     assert got == dict(enumerate(brute(texts)))
     assert (got[0][1], got[1][1]) == (35, 0)
-    hashes = P.word_hashes([one.encode(), two.encode()])
-    assert hashes[0] != hashes[1]
+    hashes = P.Words(pa.array([f"{one} {two} {one}"])).word
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_word_hashes_tell_bytes_and_sizes_apart():
+    words = ["a", "b", "ab", "a\0", "a\0\0", "\0", "\0\0", "12345678", "123456789", "12345678\0", "x" * 17, "x" * 16, "é", "ab" * 500, "ba" * 500]
+    got = P.Words(pa.array([" ".join(words), " ".join(reversed(words))])).word
+    assert len(set(got.tolist())) == len(words)
+    assert got[: len(words)].tolist() == got[len(words) :][::-1].tolist()
 
 
 def test_remove_keeps_columns(docs, none):

@@ -11,20 +11,19 @@ from pyspark.sql import types as T
 
 from ..schemas import PAPER, require_columns
 from ..session import drop_path, ensure_checkpoint_dir, file_system
+from .json_array import read_json_array
 
 
 def read_corpus_json(spark: SparkSession, path: str, schema: T.StructType = PAPER, multiline: bool = False,
                      validate: bool = True) -> DataFrame:
-    """Read papers with an explicit schema (no inference pass). ``multiline`` only for pretty arrays.
+    """Read papers with an explicit schema (no inference pass). ``multiline``: pretty-printed arrays,
+    each read by as many tasks as it has byte ranges (``json_array``).
 
     With a schema given, a field that the file lacks reads as null, so the check is on the values:
     ValueError if there are records and a required field (one the schema calls non-null, or the
     title) is null in all of them. ``validate=False`` spares that pass.
     """
-    reader = spark.read.schema(schema)
-    if multiline:
-        reader = reader.option("multiLine", True)
-    df = reader.json(path)
+    df = read_json_array(spark, path, schema) if multiline else spark.read.schema(schema).json(path)
     if validate:
         needed = [f.name for f in schema.fields if not f.nullable or f.name == "title"]
         seen = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in needed]).first()

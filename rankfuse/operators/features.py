@@ -7,13 +7,15 @@ count with partial aggregation, so frequent terms never gather their postings in
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ENGLISH_STOP_WORDS, analyze, clean_text, tokenize
-from ..session import shuffle_partitions
+from ..functions.text import CLEAN_PATTERN, ENGLISH_STOP_WORDS, analyze, clean_text, tokenize
+from ..session import read_file, shuffle_partitions, write_file
 from ..sources.io import stage_once
 from .ordering import hot_keys, spread_join
 
@@ -59,6 +61,74 @@ def vocabulary(terms: DataFrame, n_docs: int, idf=idf_smooth) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf(F.col("df"), n_docs))
 
 
+def frequencies(terms: DataFrame) -> DataFrame:
+    """``(term, df)``: how many documents have each term."""
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _kept(df: DataFrame, store: str | None, name: str, *order: str, key: str | None = None) -> DataFrame:
+    """``df``, or with a ``store`` its table there, written once for each ``key`` and sorted by ``order`` so
+    that a lookup on the first of them reads only the row groups that can hold it. Ranges are cut
+    by all of ``order``: one hot term's postings are spread over several files by their ids."""
+    if store is None:
+        return df
+    if order:
+        ready = lambda: df.repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        ready = lambda: df
+    return stage_once(df.sparkSession, _at(store, name), ready, key=key)
+
+
+def _at(store: str, name: str) -> str:
+    return f"{store.rstrip('/')}/{name}"
+
+
+@dataclass
+class Counts:
+    """What both indexes are made of: whole numbers that add up over parts of a corpus."""
+
+    terms: DataFrame  # id, term, tf
+    df: DataFrame  # term, df
+    lengths: DataFrame  # id, doc_len (every stored document; 0 without terms)
+    n_docs: int
+    total_len: int
+    hot: DataFrame | None = None  # term, salts of the terms that many documents have
+
+    def vocabulary(self, idf=idf_smooth) -> DataFrame:
+        return self.df.select("term", "df", idf(F.col("df"), self.n_docs).alias("idf"))
+
+    @property
+    def avg_len(self) -> float:
+        return self.total_len / self.n_docs if self.n_docs else 0.0
+
+
+def document_lengths(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(id, doc_len)``: analyzed tokens of each document, the sum of its term counts."""
+    summed = terms.groupBy("id").agg(F.sum("tf").alias("doc_len"))
+    return texts.select("id").join(summed, "id", "left").select("id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
+
+
+def count_terms(docs: DataFrame, id_col: str = "id", text_col: str = "title", store: str | None = None, key: str | None = None) -> Counts:
+    """Term counts, document frequencies, lengths. With a store they are tables there, which the
+    indexes in that folder share, and the hot terms are known."""
+    terms = _kept(doc_terms(docs, id_col, text_col), store, "terms", key=key)
+    df = _kept(frequencies(terms), store, "frequencies", "term", key=key)
+    lengths = _kept(document_lengths(_store(docs, id_col, text_col), terms), store, "lengths", key=key)
+    n, total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    hot = hot_keys(df, "term", "df", shuffle_partitions(docs.sparkSession)) if store is not None else None
+    return Counts(terms, df, lengths, int(n), int(total), hot)
+
+
+def _with_ranks(docs: DataFrame, ranks: DataFrame | None) -> DataFrame:
+    """``docs`` with the link rank ``pr`` of each id, 0.0 where there is none."""
+    if ranks is None:
+        return docs.withColumn("pr", F.lit(0.0))
+    known = ranks.select("id", F.col("rank").alias("pr"))
+    return docs.join(known, "id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
+
+
+# --- TF-IDF -------------------------------------------------------------------------------------
+
 @dataclass
 class TfidfIndex:
     """Exact TF-IDF store. ``postings`` carry the length-normalised weight ``nw = tf*idf / norm``
@@ -80,57 +150,42 @@ def tfidf_weights(terms: DataFrame, vocab: DataFrame, hot: DataFrame | None = No
     )
 
 
-def _kept(df: DataFrame, store: str | None, name: str, *order: str) -> DataFrame:
-    """``df``, or with a ``store`` its table there, written once and sorted by ``order`` so that a
-    lookup on the first of them reads only the row groups that can hold it."""
-    if store is None:
-        return df
-    if order:
-        ready = lambda: df.repartitionByRange(*order).sortWithinPartitions(*order)
-    else:
-        ready = lambda: df
-    return stage_once(df.sparkSession, f"{store.rstrip('/')}/{name}", ready)
-
-
-def doc_norms(store_ids: DataFrame, weights: DataFrame) -> DataFrame:
-    sq = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return store_ids.join(sq, "id", "left").select("id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
-
-
-def term_tables(docs: DataFrame, idf, id_col: str, text_col: str, store: str | None, name: str, n_docs: int):
-    """Term counts, vocabulary and (with a store) the hot terms; counts are shared by both indexes."""
-    terms = _kept(doc_terms(docs, id_col, text_col), store, "terms")
-    vocab = _kept(vocabulary(terms, n_docs, idf), store, name, "term")
-    hot = hot_keys(vocab, "term", "df", shuffle_partitions(docs.sparkSession)) if store is not None else None
-    return terms, vocab, hot
+def tfidf_from(counts: Counts, ranks: DataFrame | None = None, store: str | None = None, key: str | None = None) -> TfidfIndex:
+    """Weights, norms and postings. All rows of a document meet once, by its id: there its rank is
+    joined and its norm is summed (a window over its terms), and nothing is shuffled by id again."""
+    vocab = counts.vocabulary()
+    own = tfidf_weights(counts.terms, vocab, counts.hot).repartition("id")
+    squares = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id"))
+    weights = _with_ranks(own, ranks).withColumn("norm", F.sqrt(squares))
+    if store is not None:
+        weights = stage_once(weights.sparkSession, _at(store, "weights"), lambda: weights.sortWithinPartitions("id", "term"), key=key)
+    norms = weights.groupBy("id").agg(F.max("norm").alias("norm"))
+    docs = counts.lengths.select("id").join(norms, "id", "left").select("id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    docs = _kept(_with_ranks(docs, ranks).select("id", "pr", "norm"), store, "documents", key=key)
+    postings = weights.select(
+        # every word of a document may be in all documents: all its weights, and its norm, are 0
+        "term", "id", F.when(F.col("norm") > 0, F.col("weight") / F.col("norm")).otherwise(F.lit(0.0)).alias("nw"), "pr"
+    )
+    postings = _kept(postings, store, "postings", "term", "id", key=key)
+    return TfidfIndex(counts.terms, vocab, weights.select("id", "term", "tf", "idf", "weight"), docs.select("id", "norm"), postings,
+                      docs.select("id", "pr"), counts.n_docs, counts.hot)
 
 
 def build_tfidf(docs: DataFrame, ranks: DataFrame | None = None, id_col: str = "id", text_col: str = "title",
-                store: str | None = None) -> TfidfIndex:
+                store: str | None = None, key: str | None = None) -> TfidfIndex:
     """Fit + transform: counts, document frequencies, weights, norms, postings.
 
     Without a ``store`` all tables are one lazy plan (small corpora). With one, each is written
-    once under that folder (finished tables are reused), weights by document and postings by
-    term, so lookups and searches push their predicates into the scan; hot terms are known then
-    and are spread over tasks by plan, not only by Spark's split of skewed joins.
+    once under that folder (finished tables of the same ``key`` are reused; without a key, any), weights
+    by document and postings by term, so lookups and searches push their predicates into the scan;
+    hot terms are known then and are spread over tasks by plan, not only by Spark's split of
+    skewed joins. A manifest is committed last: ``open_tfidf`` needs nothing but the folder.
     """
-    texts = _store(docs, id_col, text_col)
-    n_docs = texts.count()
-    terms, vocab, hot = term_tables(docs, idf_smooth, id_col, text_col, store, "vocabulary", n_docs)
-    weights = _kept(tfidf_weights(terms, vocab, hot), store, "weights", "id")
-    norms = _kept(doc_norms(texts.select("id"), weights), store, "norms")
-    if ranks is not None:
-        doc_pr = norms.join(ranks.select("id", F.col("rank").alias("pr")), "id", "left").select(
-            "id", F.coalesce("pr", F.lit(0.0)).alias("pr"), "norm"
-        )
-    else:
-        doc_pr = norms.select("id", F.lit(0.0).alias("pr"), "norm")
-    postings = weights.join(doc_pr, "id").select(
-        # every word of a document may be in all documents: all its weights, and its norm, are 0
-        "term", "id", F.when(F.col("norm") > 0, F.col("weight") / F.col("norm")).otherwise(F.lit(0.0)).alias("nw"), "pr"
-    )
-    postings = _kept(postings, store, "postings", "term")
-    return TfidfIndex(terms, vocab, weights, norms, postings, _kept(doc_pr.select("id", "pr"), store, "documents"), n_docs, hot)
+    counts = count_terms(docs, id_col, text_col, store, key)
+    index = tfidf_from(counts, ranks, store, key)
+    if store is not None:
+        commit_manifest(docs.sparkSession, store, "tfidf", counts, key)
+    return index
 
 
 def tfidf_lookup(index: TfidfIndex, paper_id: str, required: bool = False) -> DataFrame:
@@ -168,44 +223,126 @@ def query_weights(queries: DataFrame, index: TfidfIndex) -> DataFrame:
     )
 
 
+# --- BM25 ---------------------------------------------------------------------------------------
+
+#: Documents of a block, about (see ``with_blocks``).
+BLOCK_DOCS = 32
+
+
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # term, id, tf, doc_len, w, pr
+    postings: DataFrame  # term, id, tf, doc_len, w, pr[, block]
     vocab: DataFrame  # term, df, idf
     doc_len: DataFrame  # id, doc_len
     n_docs: int
     avg_len: float
     terms: DataFrame | None = None  # id, term, tf
     hot: DataFrame | None = None  # term, salts
+    blocks: DataFrame | None = None  # term, block, n, top_w, top_pr
+
+
+def with_blocks(lengths: DataFrame) -> DataFrame:
+    """``lengths`` with ``block``: documents of like length, some ``BLOCK_DOCS`` of them, share one.
+
+    Length moves a term's weight, so a block's largest weight is close to most of its weights.
+    Steps of a quarter octave give 200 groups at most, whose sizes are a small table."""
+    step = F.floor(4 * F.log2(F.col("doc_len") + 1.0)).cast("long")
+    own = lengths.withColumn("step", step)
+    sizes = own.groupBy("step").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_DOCS))).alias("blocks"))
+    block = F.shiftleft(F.col("step"), 48) + F.pmod(F.xxhash64("id"), F.col("blocks"))
+    return own.join(F.broadcast(sizes), "step").withColumn("block", block).drop("step", "blocks")
+
+
+def block_bounds(postings: DataFrame) -> DataFrame:
+    """``(term, block, n, top_w, top_pr)``: postings of a term in a block, their largest weight and rank."""
+    return postings.groupBy("term", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("w").alias("top_w"), F.max("pr").alias("top_pr"))
+
+
+def bm25_weight(tf: Column, idf: Column, doc_len: Column, avg_len: float, k1: float = BM25_K1, b: float = BM25_B) -> Column:
+    norm_len = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * doc_len / F.lit(avg_len if avg_len else 1.0))
+    return idf * (tf.cast("double") * F.lit(k1 + 1.0)) / (tf.cast("double") + norm_len)
+
+
+def bm25_from(counts: Counts, ranks: DataFrame | None = None, k1: float = BM25_K1, b: float = BM25_B, store: str | None = None,
+              key: str | None = None) -> Bm25Index:
+    vocab = counts.vocabulary(idf_bm25)
+    lens = _with_ranks(counts.lengths, ranks)
+    columns = ["term", "id", "tf", "doc_len", "w", "pr"]
+    if store is not None:
+        lens, columns = with_blocks(lens), [*columns, "block"]
+    w = bm25_weight(F.col("tf"), F.col("idf"), F.col("doc_len"), counts.avg_len, k1, b)
+    known = spread_join(counts.terms, vocab.select("term", "idf"), "term", counts.hot, "id")
+    postings = _kept(known.join(lens, "id").withColumn("w", w).select(*columns), store, "postings-bm25", "term", "id", key=key)
+    blocks = None
+    if store is not None:
+        blocks = _kept(block_bounds(postings), store, "blocks-bm25", "term", "block", key=key)
+    return Bm25Index(postings, vocab, counts.lengths, counts.n_docs, counts.avg_len, counts.terms, counts.hot, blocks)
 
 
 def build_bm25(docs: DataFrame, ranks: DataFrame | None = None, id_col: str = "id", text_col: str = "title",
-               k1: float = BM25_K1, b: float = BM25_B, store: str | None = None) -> Bm25Index:
+               k1: float = BM25_K1, b: float = BM25_B, store: str | None = None, key: str | None = None) -> Bm25Index:
     """Inverted index for lexical matching: per (term, doc) the BM25 term weight and the rank.
-    ``store`` as in ``build_tfidf`` (the two may share a folder)."""
-    texts = _store(docs, id_col, text_col)
-    terms = _kept(doc_terms(docs, id_col, text_col), store, "terms")
-    # document length = analyzed tokens = sum of its term counts (0 for documents without terms)
-    summed = terms.groupBy("id").agg(F.sum("tf").alias("doc_len"))
-    lens = texts.select("id").join(summed, "id", "left").select(
-        "id", F.coalesce("doc_len", F.lit(0)).cast("long").alias("doc_len"))
-    stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")).first()
-    n_docs, avg_len = int(stats["n"]), float(stats["avg"] or 0.0)
-    terms, vocab, hot = term_tables(docs, idf_bm25, id_col, text_col, store, "vocabulary-bm25", n_docs)
-    if ranks is not None:
-        lens = lens.join(ranks.select("id", F.col("rank").alias("pr")), "id", "left").select(
-            "id", "doc_len", F.coalesce("pr", F.lit(0.0)).alias("pr")
-        )
-    else:
-        lens = lens.withColumn("pr", F.lit(0.0))
-    tf = F.col("tf").cast("double")
-    norm_len = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(avg_len if avg_len else 1.0))
-    w = F.col("idf") * (tf * F.lit(k1 + 1.0)) / (tf + norm_len)
-    postings = spread_join(terms, vocab.select("term", "idf"), "term", hot, "id").join(lens, "id").select(
-        "term", "id", "tf", "doc_len", w.alias("w"), "pr"
-    )
-    postings = _kept(postings, store, "postings-bm25", "term")
-    return Bm25Index(postings, vocab, lens.select("id", "doc_len"), n_docs, avg_len, terms, hot)
+
+    ``store`` and ``key`` as in ``build_tfidf`` (the two may share a folder, and then share their counts).
+    A stored index also has block bounds, by which searches skip postings."""
+    counts = count_terms(docs, id_col, text_col, store, key)
+    index = bm25_from(counts, ranks, k1, b, store, key)
+    if store is not None:
+        commit_manifest(docs.sparkSession, store, "bm25", counts, key)
+    return index
+
+
+# --- stored indexes -----------------------------------------------------------------------------
+
+FORMAT = 2
+
+
+def analyzer_id() -> str:
+    """Changes whenever the analyzer would give other terms."""
+    return hashlib.sha256("\n".join([CLEAN_PATTERN, *ENGLISH_STOP_WORDS]).encode()).hexdigest()[:16]
+
+
+def commit_manifest(spark, store: str, kind: str, counts: Counts, key: str | None) -> None:
+    """The last thing written of an index: what its tables don't say themselves."""
+    facts = {"kind": kind, "format": FORMAT, "analyzer": analyzer_id(), "key": key, "n_docs": counts.n_docs, "total_len": counts.total_len}
+    write_file(spark, _at(store, f"manifest-{kind}.json"), json.dumps(facts, indent=1).encode())
+
+
+def read_manifest(spark, store: str, kind: str) -> dict:
+    """The manifest, or FileNotFoundError if no index of this kind was finished there; ValueError if it
+    was written by another format or analyzer, under which its terms mean something else."""
+    raw = read_file(spark, _at(store, f"manifest-{kind}.json"))
+    if raw is None:
+        raise FileNotFoundError(f"no finished {kind} index in {store}")
+    facts = json.loads(raw)
+    for name, now in (("format", FORMAT), ("analyzer", analyzer_id())):
+        if facts[name] != now:
+            raise ValueError(f"the {kind} index in {store} has {name} {facts[name]}, this library has {now}: build it again")
+    return facts
+
+
+def _stored_counts(spark, store: str, kind: str) -> Counts:
+    facts = read_manifest(spark, store, kind)
+    table = lambda name: spark.read.parquet(_at(store, name))
+    df = table("frequencies")
+    return Counts(table("terms"), df, table("lengths"), facts["n_docs"], facts["total_len"],
+                  hot_keys(df, "term", "df", shuffle_partitions(spark)))
+
+
+def open_tfidf(spark, store: str) -> TfidfIndex:
+    """The TF-IDF index that ``build_tfidf`` wrote to ``store``: lookups and searches without the corpus."""
+    counts = _stored_counts(spark, store, "tfidf")
+    weights, docs = spark.read.parquet(_at(store, "weights")), spark.read.parquet(_at(store, "documents"))
+    return TfidfIndex(counts.terms, counts.vocabulary(), weights.select("id", "term", "tf", "idf", "weight"), docs.select("id", "norm"),
+                      spark.read.parquet(_at(store, "postings")), docs.select("id", "pr"), counts.n_docs, counts.hot)
+
+
+def open_bm25(spark, store: str) -> Bm25Index:
+    """The BM25 index that ``build_bm25`` wrote to ``store``."""
+    counts = _stored_counts(spark, store, "bm25")
+    return Bm25Index(spark.read.parquet(_at(store, "postings-bm25")), counts.vocabulary(idf_bm25), counts.lengths, counts.n_docs, counts.avg_len,
+                     counts.terms, counts.hot, spark.read.parquet(_at(store, "blocks-bm25")))
 
 
 # --- Spark ML variant (hashed features, VectorUDT) --------------------------------------------

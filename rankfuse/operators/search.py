@@ -15,12 +15,14 @@ scores of any magnitude keep their order.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import Bm25Index, TfidfIndex, query_terms, query_weights
+from ..sources.io import stage
+from .features import BLOCK_DOCS, Bm25Index, TfidfIndex, query_terms, query_weights
 from .ordering import significant, spread_join, topn_per_group
 
 
@@ -133,8 +135,67 @@ def blend(lex: Column, pr: Column, alpha: float | Column) -> Column:
     return a * lex + (F.lit(1.0) - a) * pr
 
 
+#: Blocks of a query that are scored first, to learn what a document needs for its top-n: as many as
+#: hold this many times ``n`` documents, and a few more.
+FIRST_BLOCKS = 2
+#: Bounds are sums in another order than scores: they are trusted up to this share.
+BOUND_SLACK = 1e-8
+
+
+def cell_bounds(queries: DataFrame, index: Bm25Index, alpha: float) -> DataFrame:
+    """``(query_id, block, bound, n)``: no document of the block scores above ``bound``; ``n`` postings match."""
+    held = spread_join(index.blocks, query_terms(queries), "term", index.hot, "block")
+    cells = held.groupBy("query_id", "block").agg(
+        F.sum(F.col("qtf") * F.col("top_w")).alias("lex"), F.max("top_pr").alias("pr"), F.sum("n").alias("n"))
+    return cells.select("query_id", "block", blend(F.col("lex"), F.col("pr"), alpha).alias("bound"), "n")
+
+
+def _cell_scores(queries: DataFrame, index: Bm25Index, cells: DataFrame, alpha: float) -> DataFrame:
+    """``(query_id, id, lex, pr, score)`` of the documents in these (query, block) cells."""
+    wanted = query_terms(queries).join(cells.select("query_id", "block"), "query_id")
+    found = index.postings.join(wanted, ["term", "block"])
+    scored = found.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("lex"), F.max("pr").alias("pr"))
+    return scored.withColumn("score", blend(F.col("lex"), F.col("pr"), alpha))
+
+
+@dataclass
+class PrunedSearch:
+    """``top`` as by ``bm25_hybrid_topk``; ``cells`` (``query_id, block, n, scored``) tells what was skipped."""
+
+    top: DataFrame
+    cells: DataFrame
+
+
+def pruned_topk(queries: DataFrame, index: Bm25Index, alpha: float = 0.5, n: int = 200) -> PrunedSearch:
+    """Top-n matching documents per query, scoring only blocks that can hold one (block-max).
+
+    A block's bound for a query is what a document would score that had the block's largest weight
+    of every query term and its largest rank. The blocks with the highest bounds are scored first;
+    the n-th best score found there is what any other document needs, so of the other blocks only
+    those are scored whose bound reaches it. Exact; ``alpha`` must be in 0 to 1.
+    """
+    if index.blocks is None:
+        raise ValueError("this index has no block bounds: build it with a store")
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha must be in 0 to 1")
+    first = 4 + FIRST_BLOCKS * -(-n // BLOCK_DOCS)
+    cells = stage(cell_bounds(queries, index, alpha), "cells")
+    order = [F.col("bound").desc(), F.col("block").asc()]
+    leading = topn_per_group(cells, ["query_id"], order, first).select("query_id", "block", F.lit(True).alias("leads"))
+    cells = stage(cells.join(leading, ["query_id", "block"], "left"), "ordered-cells")
+    early = stage(_cell_scores(queries, index, cells.where("leads"), alpha), "early-scores")
+    needed = topn_per_group(early, ["query_id"], result_order(), n).where(F.col("pos") == n).select("query_id", F.col("score").alias("needed"))
+    reaches = F.col("needed").isNull() | (F.col("bound") >= F.col("needed") - F.abs("needed") * BOUND_SLACK)
+    told = cells.join(needed, "query_id", "left").select("query_id", "block", "n", "leads", (F.col("leads").isNotNull() | reaches).alias("scored"))
+    late = told.where(F.col("scored") & F.col("leads").isNull())
+    both = early.unionByName(_cell_scores(queries, index, late, alpha))
+    top = topn_per_group(both, ["query_id"], result_order(), n)
+    return PrunedSearch(top.select("query_id", F.col("pos").cast("long").alias("pos"), "id", "score", "lex", "pr"), told.drop("leads"))
+
+
 def bm25_hybrid_topk(queries: DataFrame, index: Bm25Index, alpha: float = 0.5, n: int = 200) -> DataFrame:
-    """Top-n matching documents per query by ``alpha * bm25 + (1 - alpha) * pr``."""
+    """Top-n matching documents per query by ``alpha * bm25 + (1 - alpha) * pr``. Scores every match, in one
+    lazy plan; ``pruned_topk`` gives the same rows of a stored index and skips blocks."""
     s = bm25_scores(queries, index).withColumn("score", blend(F.col("lex"), F.col("pr"), alpha))
     top = topn_per_group(s, ["query_id"], result_order(), n)
     return top.select("query_id", F.col("pos").cast("long").alias("pos"), "id", "score", "lex", "pr")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,5 +67,36 @@ def drop_path(spark: SparkSession, path: str | None) -> None:
         fs.delete(where, True)
 
 
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """A small file of the shared store, or None if there is none."""
+    fs, where = file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_file(spark: SparkSession, path: str, data: bytes, new: bool = False) -> None:
+    """Write a small file whole: it appears under its name when it is complete. With ``new`` an existing
+    one is an error (FileExistsError), which lets one of several writers win."""
+    fs, where = file_system(spark, path)
+    _, part = file_system(spark, f"{path}.{uuid.uuid4().hex}.part")
+    if new and fs.exists(where):
+        raise FileExistsError(path)
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    if not new:
+        fs.delete(where, False)
+    if not fs.rename(part, where):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

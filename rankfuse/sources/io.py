@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import PAPER, require_columns
-from ..session import drop_path, ensure_checkpoint_dir, file_system
+from ..session import drop_path, ensure_checkpoint_dir, file_system, read_file, write_file
 from .json_array import read_json_array
 
 
@@ -88,15 +88,21 @@ def decimal_to_double(df: DataFrame) -> DataFrame:
     return df.select(*[_decimals_to_double(f.dataType, F.col(f.name)).alias(f.name) for f in df.schema.fields])
 
 
-def stage_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet") -> DataFrame:
+def stage_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet", key: str | None = None) -> DataFrame:
     """Read ``path`` if a finished output is there, else build, write and read it back.
 
     Job commit moves files one by one and writes ``_SUCCESS`` last, so only a folder with that
-    mark is finished; anything else there is a broken attempt and is overwritten.
+    mark is finished; anything else there is a broken attempt and is overwritten. With a ``key`` (see
+    ``stages.fingerprint``) an output counts only if it was written under the same one, which
+    stands in the folder as ``_KEY``.
     """
-    fs, mark = file_system(spark, f"{path.rstrip('/')}/_SUCCESS")
-    if not fs.exists(mark):
+    root = path.rstrip("/")
+    fs, mark = file_system(spark, f"{root}/_SUCCESS")
+    known = read_file(spark, f"{root}/_KEY") if key is not None else None
+    if not fs.exists(mark) or (key is not None and known != key.encode()):
         build().write.mode("overwrite").format(fmt).save(path)
+        if key is not None:
+            write_file(spark, f"{root}/_KEY", key.encode())
     return spark.read.format(fmt).load(path)
 
 
@@ -105,6 +111,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a ``scratch`` path and read back: what follows doesn't compute it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Remove everything this application has put under ``scratch`` paths."""
     drop_path(spark, _scratch_root(spark))

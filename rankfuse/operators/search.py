@@ -206,17 +206,29 @@ def with_alphas(df: DataFrame, alphas: Sequence[float]) -> DataFrame:
     return df.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
 
 
+#: Rows of a query table (an id or two and a few numbers each) that may be broadcast: some 50 MB.
+SMALL_ROWS = 500_000
+
+
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``SMALL_ROWS`` rows (they are counted), else ``df``."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def position_of(scored: DataFrame, targets: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """1-based position of each query's target document in its full ordering, per alpha.
 
     ``scored(query_id, id, lex, pr)``; ``targets(query_id, target_id)``. Counts documents ordered
     before the target (``score > t`` or equal and smaller id) for every alpha in one grouped pass,
-    no sort. NULL when the target is not a candidate.
+    no sort. The targets, one row for each query, are counted and broadcast if they are few, so the
+    candidates are not shuffled to them; their counts are (partial sums). NULL when the target is
+    not a candidate.
     """
-    t = scored.join(targets, "query_id").where(F.col("id") == F.col("target_id")).select(
+    own = broadcast_small(targets)
+    t = scored.join(own, "query_id").where(F.col("id") == F.col("target_id")).select(
         "query_id", F.col("lex").alias("t_lex"), F.col("pr").alias("t_pr"), "target_id"
     )
-    j = scored.join(t, "query_id")
+    j = scored.join(F.broadcast(t) if own is not targets else t, "query_id")
     aggs = []
     for i, a in enumerate(alphas):
         s = score_key(blend(F.col("lex"), F.col("pr"), a))

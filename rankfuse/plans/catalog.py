@@ -20,7 +20,8 @@ from ..operators import features as fe
 from ..operators import graph as gr
 from ..operators import ordering as od
 from ..operators import search as se
-from ..sources import io
+from ..operators.segments import SegmentedIndex
+from ..sources import io, json_array
 from ..sources import testdata as td
 from .workload import (BENCH_ALPHAS, DAMPING, FLAGSHIP_QUERY, ORACLE_ALPHAS, PR_STEPS, SEARCH_ALPHA, SEARCH_BETA, SEARCH_TOP_N, SEED,
                        Workload, rounded)
@@ -39,6 +40,10 @@ HIST_LO, HIST_HI, HIST_BINS = 0.0, 500.0, 20
 TOPN_ALPHA, TOPN_N = 0.9, 5
 HYBRID_ALPHA, HYBRID_N = 0.5, 200
 DIFF_A1, DIFF_A2 = 0.1, 0.9
+#: Byte ranges of the JSON array: the file of one array is several tasks from 256 kB on.
+SPLIT_BYTES = 1 << 18
+#: The growing index: documents of one language get a new version, those of another one go.
+REVISED_LANG, REVISION, DELETED_LANG, SEGMENT_TOP_N = "de", " zzrevised", "fr", 10
 
 _WL: list = []  # at most one memoised workload: (session, sf_dir, workload)
 
@@ -106,6 +111,18 @@ def q_corpus_head(spark, d):
     return _refs_text(io.corpus_head(wl(spark, d).papers_with_refs(), HEAD_N))
 
 
+def q_head_parquet(spark, d):
+    path = io.scratch(spark, "head")
+    io.write_head(wl(spark, d).papers_with_refs(), path, HEAD_N)
+    return _refs_text(spark.read.parquet(path))
+
+
+def q_json_array_roundtrip(spark, d):
+    path = io.scratch(spark, "corpus-array")
+    json_array.write_json_array(io.corpus_project(wl(spark, d).papers_with_refs()).coalesce(1), path)
+    return _refs_text(json_array.read_json_array(spark, path, io.PAPER, SPLIT_BYTES))
+
+
 def q_decimal_to_double(spark, d):
     li = td.table(spark, d, "lineitem")
     nested = li.select(
@@ -454,6 +471,56 @@ def q_topn_per_query(spark, d):
         "query_id", "pos", "id", "score"), 9)
 
 
+def q_bm25_pruned_topk(spark, d):
+    w = wl(spark, d)
+    return rounded(se.pruned_topk(w.qdb(), w.bm25(), HYBRID_ALPHA, HYBRID_N).top.select("query_id", "pos", "id", "score"), 9)
+
+
+def q_index_reopened_topk(spark, d):
+    w = wl(spark, d)
+    w.tfidf()
+    r = se.search_topk(w.qdb(), fe.open_tfidf(spark, w.store()), SEARCH_TOP_N, SEARCH_ALPHA, SEARCH_BETA)
+    return rounded(r.select("query_id", "pos", "id", "score"), 9)
+
+
+def q_index_reopened_bm25(spark, d):
+    w = wl(spark, d)
+    w.bm25()
+    return rounded(se.bm25_scores(w.qdb(), fe.open_bm25(spark, w.store())).select("query_id", "id", "lex"), 9)
+
+
+def _grown_index(spark, d):
+    """All documents, then a new version of some, then others deleted: three commits."""
+    def build():
+        docs = td.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"), "lang")
+        index = SegmentedIndex(spark, io.scratch(spark, "segments"))
+        index.upsert(docs)
+        twice = F.concat("title", F.lit(" "), "title", F.lit(REVISION))
+        index.upsert(docs.where(F.col("lang") == REVISED_LANG).withColumn("title", twice))
+        index.delete(docs.where(F.col("lang") == DELETED_LANG).select("id"))
+        return index
+
+    return wl(spark, d)._get("segments", build)
+
+
+def q_index_segments_df(spark, d):
+    return _grown_index(spark, d).frequencies()
+
+
+def q_index_segments_topk(spark, d):
+    r = se.bm25_hybrid_topk(wl(spark, d).qdb(), _grown_index(spark, d).bm25(), 1.0, SEGMENT_TOP_N)
+    return rounded(r.select("query_id", "pos", "id", "score"), 9)
+
+
+def q_index_merged_topk(spark, d):
+    grown = _grown_index(spark, d)
+    merged = SegmentedIndex(spark, grown.path)
+    if len(merged.facts["segments"]) > 1:
+        merged.merge()
+    r = se.bm25_hybrid_topk(wl(spark, d).qdb(), merged.bm25(), 1.0, SEGMENT_TOP_N)
+    return rounded(r.select("query_id", "pos", "id", "score"), 9)
+
+
 # --- evaluation ------------------------------------------------------------------------------------
 
 def q_query_database(spark, d):
@@ -510,6 +577,21 @@ def _log_axis(alpha: str):
     return F.round(F.log10(alpha), 2)
 
 
+def q_alpha_stats_full(spark, d):
+    return rounded(st.stats_global(wl(spark, d).differences(BENCH_ALPHAS), "difference"), 6)
+
+
+def q_alpha_stats_by_query_full(spark, d):
+    return rounded(st.stats_by_key(wl(spark, d).differences(BENCH_ALPHAS), "difference", ["query_id"]), 6)
+
+
+def q_csv_roundtrip_full(spark, d):
+    path = io.scratch(spark, "diff-csv-full")
+    io.write_csv(wl(spark, d).differences(BENCH_ALPHAS), path)
+    schema = T.StructType.fromDDL("query_id string, alpha1 double, alpha2 double, difference double")
+    return rounded(io.read_csv(spark, path, schema), 6, alpha1=9, alpha2=9)
+
+
 def q_alpha_heatmap_log(spark, d):
     diffs = wl(spark, d).differences(BENCH_ALPHAS)
     cells = diffs.groupBy(_log_axis("alpha1").alias("log_alpha1"), _log_axis("alpha2").alias("log_alpha2"))

@@ -484,6 +484,23 @@ def build() -> dict[str, str]:
                                        "round(AVG(difference), 6) AS difference FROM diffs_full GROUP BY 1, 2", "diffs_full")
     Q["alpha_scatter"] = with_ctes("SELECT query_id, round(log10(alpha1), 2) AS x, round(log10(alpha2), 2) AS y, "
                                    "round(difference * 100, 4) AS size FROM diffs_full", "diffs_full")
+    Q["alpha_stats_full"] = with_ctes(stats_sql("diffs_full", "difference"), "diffs_full")
+    Q["alpha_stats_by_query_full"] = with_ctes(stats_sql("diffs_full", "difference", "query_id"), "diffs_full")
+    # an index after an upsert and a deletion: the same over the documents as they are then
+    grown = (
+        f", sst AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = {s(C.REVISED_LANG)} THEN text || ' ' || text || {s(C.REVISION)} ELSE text END AS title "
+        f"FROM documents WHERE text IS NOT NULL AND lang IS DISTINCT FROM {s(C.DELETED_LANG)}), "
+        f"stoks AS MATERIALIZED (SELECT id, {analyze('title')} AS words FROM sst), "
+        "stf AS MATERIALIZED (SELECT id, term, COUNT(*) AS tf FROM (SELECT id, unnest(words) AS term FROM stoks) GROUP BY id, term), "
+        "sdf AS MATERIALIZED (SELECT term, COUNT(*) AS df FROM stf GROUP BY term) ")
+    Q["index_segments_df"] = with_ctes(grown + "SELECT term, df FROM sdf", "papers").replace("\n, ", ",\n", 1)
+    one = (grown + ", sdl AS (SELECT id, CAST(len(words) AS DOUBLE) AS doc_len FROM stoks), sstat AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, AVG(doc_len) AS avgdl FROM sdl), "
+           "sv AS (SELECT term, ln(1.0 + ((SELECT n FROM sstat) - df + 0.5) / (df + 0.5)) AS idf FROM sdf), "
+           f"ssc AS (SELECT q.query_id, f.id, SUM(q.qtf * v.idf * f.tf * {lit(BM25_K1 + 1.0)} / (f.tf + {lit(BM25_K1)} * ({lit(1.0 - BM25_B)} + {lit(BM25_B)} * "
+           "l.doc_len / (SELECT avgdl FROM sstat)))) AS score FROM qterms q JOIN stf f ON q.term = f.term JOIN sv v ON f.term = v.term JOIN sdl l ON f.id = l.id GROUP BY q.query_id, f.id) "
+           f"SELECT query_id, CAST(pos AS BIGINT) AS pos, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {skey('score')} DESC, id) AS pos "
+           f"FROM ssc) WHERE pos <= {C.SEGMENT_TOP_N}")
+    Q["index_segments_topk"] = Q["index_merged_topk"] = with_ctes(one, "qterms").replace("\n, ", ",\n", 1)
     # corpus subsets, whole-table graphs
     best = "(SELECT id FROM titled ORDER BY " + skey("rank") + " DESC, id LIMIT {n})"
     Q["corpus_subset_papers"] = with_ctes(" UNION ALL ".join(
@@ -501,7 +518,9 @@ def build() -> dict[str, str]:
                                              "FROM web_edges GROUP BY dst) GROUP BY in_degree", "web_edges")
     # round trips give what was written
     for name, same in (("src_json_roundtrip", "corpus_project"), ("parquet_roundtrip", "pagerank"),
-                       ("csv_roundtrip", "alpha_differences"), ("pipeline_e2e", "alpha_stats_global")):
+                       ("csv_roundtrip", "alpha_differences"), ("csv_roundtrip_full", "alpha_differences_full"),
+                       ("pipeline_e2e", "alpha_stats_full"), ("head_parquet", "corpus_head"), ("json_array_roundtrip", "corpus_project"),
+                       ("bm25_pruned_topk", "bm25_hybrid_topk"), ("index_reopened_topk", "search_batch_topk"), ("index_reopened_bm25", "bm25_scores")):
         Q[name] = Q[same]
     errors = " UNION ALL ".join(
         f"SELECT {i} AS k, (SELECT SUM(abs(a.rank - b.rank)) FROM pr{i} a JOIN pr{i - 1} b ON a.id = b.id) AS error"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
+from ..operators import envelope as en
 from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import graph as gr
@@ -44,8 +45,9 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, alphas=BENCH_AL
     results = stages.table("results", lambda: se.search_topk(queries, tfidf, SEARCH_TOP_N, SEARCH_ALPHA, SEARCH_BETA), ["queries", "index"],
                            n=SEARCH_TOP_N, alpha=SEARCH_ALPHA, beta=SEARCH_BETA)
     matched = stages.table("matched", lambda: se.bm25_scores(queries, bm25), ["queries", "index"])
-    sweep = stages.table("alpha_sweep", lambda: ev.alpha_sweep(matched, alphas, SWEEP_TOP_N), ["matched"], alphas=alphas, n=SWEEP_TOP_N)
-    diffs = stages.table("alpha_differences", lambda: ev.alpha_differences(sweep, queries, alphas), ["alpha_sweep", "queries"])
+    sweep = stages.table("alpha_sweep", lambda: en.top_for_all_alphas(matched, alphas, SWEEP_TOP_N), ["matched"], alphas=alphas, n=SWEEP_TOP_N)
+    diffs = stages.table("alpha_differences", lambda: en.differences_for_all_alphas(matched, queries, alphas, SWEEP_TOP_N), ["matched", "queries"],
+                         alphas=alphas, n=SWEEP_TOP_N)
     diff_stats = stages.table("alpha_stats", lambda: st.stats_global(diffs, "difference"), ["alpha_differences"])
     sizes = stages.table("required_size", lambda: ev.required_size(matched, queries, SIZE_ALPHAS), ["matched", "queries"], alphas=SIZE_ALPHAS)
     size_stats = stages.table("required_size_stats", lambda: st.stats_by_key(sizes, "size", ["alpha"]), ["required_size"])

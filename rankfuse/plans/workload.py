@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grids import geomspace, linspace
-from ..operators import evaluate, features, graph, search
+from ..operators import envelope, evaluate, features, graph, search
 from ..session import drop_path, ensure_checkpoint_dir
 from ..sources import io, testdata
 
@@ -28,8 +28,6 @@ SEED = "42"
 SWEEP_TOP_N = 100
 ORACLE_ALPHAS = linspace(0.0, 1.0, 11)
 BENCH_ALPHAS = geomspace(1e-6, 1.0, 100)
-#: Grids longer than this pay for the sweep's pre-filter (results are the same).
-PREFILTER_FROM = 50
 SIZE_ALPHAS = linspace(0.0, 1.0, 10)
 SEARCH_TOP_N = 10
 SEARCH_ALPHA = 1.0
@@ -104,11 +102,11 @@ class Workload:
 
     def sweep(self, alphas=None) -> DataFrame:
         alphas = alphas or self.alphas
-        return evaluate.alpha_sweep(self.matched(), alphas, SWEEP_TOP_N, prefilter=len(alphas) > PREFILTER_FROM)
+        return envelope.top_for_all_alphas(self.matched(), alphas, SWEEP_TOP_N)
 
     def differences(self, alphas=None) -> DataFrame:
         alphas = alphas or self.alphas
-        return evaluate.alpha_differences(self.sweep(alphas), self.qdb(), alphas)
+        return envelope.differences_for_all_alphas(self.matched(), self.qdb(), alphas, SWEEP_TOP_N)
 
     def sizes(self, alphas=None) -> DataFrame:
         return evaluate.required_size(self.matched(), self.qdb(), alphas or SIZE_ALPHAS)

@@ -41,8 +41,11 @@ def _analyzed_rows(df: DataFrame, key: str, text: str, analyzer) -> DataFrame:
 
 
 def doc_terms(docs: DataFrame, id_col: str = "id", text_col: str = "title", analyzer=analyze) -> DataFrame:
-    """``(id, term, tf)``: raw term counts per document."""
-    store = _store(docs, id_col, text_col)
+    """``(id, term, tf)``: raw term counts per document.
+
+    The texts are dealt by id, which is less to move than their counts, and all tasks tokenise
+    whatever the files' cut; counting needs no further shuffle, as a document's rows are together."""
+    store = _store(docs, id_col, text_col).repartition(shuffle_partitions(docs.sparkSession), "id")
     return _analyzed_rows(store, "id", "text", analyzer).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

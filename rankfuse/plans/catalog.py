@@ -84,9 +84,8 @@ def q_lookup_by_id(spark, d):
 
 
 def q_min_word_filter(spark, d):
-    p = tx.parse_for_matching(wl(spark, d).papers(), "title", "words")
-    p = p.withColumn("word_count", F.size("words").cast("long")).where(F.col("word_count") >= 5)
-    return p.select("id", "word_count")
+    p = wl(spark, d).papers().select("id", F.size(tx.analyze("title")).cast("long").alias("word_count"))
+    return p.where(F.col("word_count") >= 5)
 
 
 def q_word_or_filter(spark, d):
@@ -343,7 +342,7 @@ def q_remove_stopwords(spark, d):
 
 
 def q_parse_for_matching(spark, d):
-    return tx.parse_for_matching(wl(spark, d).papers(), "title", "parsed", keep_array=False).select("id", "parsed")
+    return wl(spark, d).papers().select("id", tx.analyzed_text("title").alias("parsed"))
 
 
 def q_title_word_count(spark, d):
@@ -351,9 +350,7 @@ def q_title_word_count(spark, d):
 
 
 def q_common_word_count(spark, d):
-    return tx.common_word_count(wl(spark, d).papers(), "title", COMMON_PHRASE, "common").select(
-        "id", F.col("common").cast("long").alias("common")
-    )
+    return wl(spark, d).papers().select("id", tx.shared_words("title", COMMON_PHRASE).alias("common"))
 
 
 def q_elapsed_seconds(spark, d):

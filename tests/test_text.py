@@ -53,7 +53,7 @@ def test_word_or_filter(spark):
 
 def test_common_word_count_is_distinct(spark):
     df = rows(spark, ["a a b c", "x"])
-    got = [r[0] for r in tx.common_word_count(df, "t", "A b z", "n").select("n").collect()]
+    got = [r[0] for r in df.select(tx.shared_words("t", "A b z")).collect()]
     assert got == [2, 0]
 
 
@@ -68,3 +68,11 @@ def test_seeded_shuffle_is_repeatable_permutation(spark):
     a = df.select(tx.seeded_shuffle("w", 42, F.col("id"))).first()[0]
     b = df.select(tx.seeded_shuffle("w", 42, F.col("id"))).first()[0]
     assert a == b and sorted(a) == ["a", "b", "c", "d", "e"]
+
+
+def test_the_named_characters_are_the_pattern(spark):
+    every = "".join(chr(k) for k in [*range(1, 0x250), 0x3000, 0xFF21, 0x1D400])
+    df = spark.createDataFrame([(every,)], "t string")
+    got, want = df.select(tx.clean_text("t"), F.regexp_replace("t", tx.CLEAN_PATTERN, "")).first()
+    assert got == want and len(got) == 64
+    assert [r[0] for r in df.select(tx.shared_words("t", " ")).collect()] == [0]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import analyze, seeded_shuffle
 from .graph import rank_key
-from .ordering import sample_rows, top_fraction, topn_per_group
+from .ordering import sample_rows, top_fraction_by, topn_per_group
 from .search import blend, position_of, result_order, score_key, with_alphas
 
 DEFAULT_SEED = "42"
@@ -27,7 +27,7 @@ def query_database(titled: DataFrame, n_queries: int = 1000, n_words: int = 5, f
     """
     words = analyze(F.col("title"))
     eligible = titled.where(F.size(words) >= n_words).select("id", "rank")
-    top = top_fraction(eligible, [rank_key().desc(), F.col("id").asc()], fraction)
+    top = top_fraction_by(eligible, rank_key(), [F.col("id").asc()], fraction)
     ids = sample_rows(top.select("id"), n_queries, seed, "id")  # n_queries rows at most
     chosen = titled.join(F.broadcast(ids), "id").select("id", words.alias("words"))
     picked = F.slice(seeded_shuffle(F.col("words"), seed, F.col("id")), 1, n_words)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import md5_key, truncate_label
-from ..session import drop_path, ensure_checkpoint_dir, shuffle_partitions
+from ..session import child_session, drop_path, ensure_checkpoint_dir, shuffle_partitions
+from ..sources.io import scratch, stage
+from .membership import bloom_words, maybe_members
 from .ordering import significant
 
 
@@ -93,6 +95,7 @@ class PageRankResult:
     ranks: DataFrame
     history: list = field(default_factory=list)  # dicts: iteration, error, total, dangling
     converged: bool = False
+    stored: str | None = None  # the checkpoint that holds the last state
 
     @property
     def iterations(self) -> int:
@@ -156,33 +159,42 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
     reliably into the session's checkpoint directory, and the one before it is deleted there: a
     run keeps one state on the store. Steps in between are persisted; each step reads the
     previous state twice, so longer persisted chains inflate plan descriptions exponentially,
-    and a lost executor replays up to that many steps. Edges are
+    and a lost executor replays up to that many steps. The result is a table (``io.release``
+    removes it). Edges are
     persisted once, hash-partitioned by source; sources whose out-degree exceeds
     (edges / partitions) are split off and spread by (src, dst).
 
-    The steps are planned without adaptive execution (the session's setting comes back after
-    them): only then does a checkpointed state keep its partitioning by id, so that a step
+    The steps are planned without adaptive execution, in a session of their own (the caller's
+    settings stay): only then does a checkpointed state keep its partitioning by id, so that a step
     shuffles nothing but the partial sums of its messages. Hubs, the skew that adaptive plans
-    would split, are split here already.
+    would split, are split here already. Edges and ids are handed over as tables, which go at the end.
     """
     if not 1 <= checkpoint_interval <= 3:
         raise ValueError(f"checkpoint_interval must be 1, 2 or 3, not {checkpoint_interval}")
-    adaptive = "spark.sql.adaptive.enabled"
-    before = edges.sparkSession.conf.get(adaptive)
-    edges.sparkSession.conf.set(adaptive, "false")
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    own = child_session(spark, {"spark.sql.adaptive.enabled": "false"})
+    given = {"edges": edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())}
+    if vertex_ids is not None:
+        given["ids"] = vertex_ids.select("id")
+    tables = {name: stage(df, f"pagerank-{name}") for name, df in given.items()}
     try:
-        return _pagerank(edges, vertex_ids, damping, max_iter, tol, normalize, checkpoint_interval)
+        e, ids = (own.read.schema(t.schema).parquet(t.staged_at) if t is not None else None for t in (tables["edges"], tables.get("ids")))
+        res = _pagerank(e, ids, damping, max_iter, tol, normalize, checkpoint_interval)
+        path = scratch(spark, "ranks")  # a table of the caller's session, in place of the last checkpoint
+        res.ranks.write.parquet(path)
+        res.ranks = spark.read.schema(res.ranks.schema).parquet(path)
+        drop_path(spark, res.stored)
+        return res
     finally:
-        edges.sparkSession.conf.set(adaptive, before)
+        for t in tables.values():
+            drop_path(spark, t.staged_at)
 
 
-def _pagerank(edges: DataFrame, vertex_ids: DataFrame | None, damping: float, max_iter: int, tol: float | None,
+def _pagerank(e: DataFrame, vertex_ids: DataFrame | None, damping: float, max_iter: int, tol: float | None,
               normalize: bool, checkpoint_interval: int) -> PageRankResult:
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    spark = e.sparkSession
     parts = shuffle_partitions(spark)
-    e = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-
     obs0 = Observation("pagerank_init")
     state0 = pagerank_state(e, vertex_ids).observe(
         obs0,
@@ -196,10 +208,9 @@ def _pagerank(edges: DataFrame, vertex_ids: DataFrame | None, damping: float, ma
         return PageRankResult(spark.createDataFrame([], "id string, rank double"), [], True)
 
     threshold = max(1, n_edges // max(parts, 1))
-    hot_src = state0.where(F.col("out_degree") > threshold).select(F.col("id").alias("src"))
-    n_hot = hot_src.count()  # < parts by construction
+    hubs = state0.where(F.col("out_degree") > threshold).select(F.col("id").alias("src")).collect()  # < parts by construction
+    n_hot, hot_src = len(hubs), spark.createDataFrame(hubs, "src string")
     if n_hot:
-        hot_src = hot_src.checkpoint(eager=True)
         cold = e.join(F.broadcast(hot_src), "src", "left_anti")
         hot = e.join(F.broadcast(hot_src), "src", "left_semi").repartition(parts, "src", "dst")
         hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
@@ -253,7 +264,7 @@ def _pagerank(edges: DataFrame, vertex_ids: DataFrame | None, damping: float, ma
         if hot is not None:
             hot.unpersist()
     rank = F.col("rank") / F.lit(total) if normalize else F.col("rank")
-    return PageRankResult(state.select("id", rank.alias("rank")), history, converged)
+    return PageRankResult(state.select("id", rank.alias("rank")), history, converged, checkpoint_path(state))
 
 
 # --- reports over ranks -----------------------------------------------------------------------
@@ -288,13 +299,17 @@ def sample_subgraph(papers: DataFrame, edges: DataFrame, n: int, seed: str | int
     return sampled.join(s, "src").join(d, "dst").select("src", "dst", "src_label", "dst_label")
 
 
-def edges_in_corpus(edges: DataFrame, papers: DataFrame) -> DataFrame:
+def edges_in_corpus(edges: DataFrame, papers: DataFrame, prefilter: bool = True) -> DataFrame:
     """Edges whose both endpoints are corpus papers (two semi-joins).
 
+    ``prefilter`` tests both ends against a Bloom filter of the ids while the edges are scanned, so only
+    a few per cent of those that lead out of the corpus are shuffled; the result is the same.
     Parallel edges are counted first and repeated afterwards, so the semi-joins shuffle each
     pair of ends once; a hub's pairs are left to Spark's split of skewed joins.
     """
     ids = papers.select("id")
+    if prefilter:
+        edges = maybe_members(edges, bloom_words(ids, "id"), "src", "dst")
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
     kept = pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi"

@@ -59,12 +59,32 @@ def with_global_position(df: DataFrame, order: Sequence[Column], pos_col: str =
 
 
 def top_fraction(df: DataFrame, order: Sequence[Column], fraction: float, pos_col: str = "pos") -> DataFrame:
-    """Best ``int(fraction * count)`` rows by ``order`` (exact; count and cut both distributed)."""
+    """Best ``int(fraction * count)`` rows by ``order`` (exact; count and cut both distributed). Sorts all
+    rows; where the first key is a number ``top_fraction_by`` need not."""
     ranked = with_global_position(df, order, pos_col)
     total = ranked.agg(F.max(pos_col)).first()[0] or 0
     return ranked.where(F.col(pos_col) <= int(fraction * total))
 
 
+def top_fraction_by(df: DataFrame, key: Column, ties: Sequence[Column], fraction: float, pos_col: str = "pos") -> DataFrame:
+    """Best ``int(fraction * count)`` rows by the number ``key``, highest first, then ``ties``.
+
+    The key at the cut is selected by counting; only the rows that reach it are sorted and numbered."""
+    keyed = df.withColumn("__key", key.cast("double"))
+    total = keyed.count()
+    n = int(fraction * total)
+    if not n:
+        return df.withColumn(pos_col, F.lit(0).cast("long")).where(F.lit(False))
+    known = keyed.select("__key").where(F.col("__key").isNotNull())
+    place = known.count() - n  # from the lowest; keys that are null come last, as in a descending sort
+    if place >= 0:
+        wanted = df.sparkSession.createDataFrame([(place,)], "__k long")
+        cut = select_ranks(known, [], "__key", wanted).first()["value"]
+        keyed = keyed.where(F.col("__key") >= F.lit(cut))
+    ranked = with_global_position(keyed, [F.col("__key").desc(), *ties], pos_col)
+    return ranked.where(F.col(pos_col) <= n).drop("__key")
+
+
 def sample_rows(df: DataFrame, n: int, seed: str | int, *key: str) -> DataFrame:
     """``n`` rows chosen repeatably at random: smallest md5(seed|key). Top-k plan, bounded by n."""
     return df.orderBy(md5_key(seed, *key), *key).limit(n)
@@ -115,30 +135,64 @@ def null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], plain:
     return left.join(renamed, on, how).drop(*[f"__r_{c}" for c in [*by, *plain]])
 
 
+#: Leading bits of a value that one pass of a selection looks at, then all of them.
+SELECT_BITS = (11, 27)
+
+
+def leading(value: Column, bits: int) -> Column:
+    """``value`` rounded to its leading ``bits``: a cell number that never falls as the value grows.
+
+    Values so large that the rounding would overflow are cells of their own."""
+    wide = value * F.lit(float((1 << (53 - bits)) + 1))
+    return F.when(F.abs(value) < 1e280, wide - (wide - value)).otherwise(value)
+
+
+def select_ranks(vals: DataFrame, by: Sequence[str], value: str, wanted: DataFrame) -> DataFrame:
+    """The values at given places of each group's order, found by counting instead of sorting.
+
+    ``wanted`` has ``by``, ``__k`` (places from 0) and what else its caller wants back. Each pass counts a
+    group's values by cell, partially before the shuffle, and follows the running sums to the
+    cell that a place lies in; the next pass looks at the values of those cells only, with more
+    bits, the last one with all. No value is sorted and nothing is written. A group has some
+    thousand cells in a pass whatever its size, so a hot group is no single task's work.
+    """
+    if not by:  # one group: a key of its own, so that the same equi-joins serve
+        vals, wanted = (d.withColumn("__all", F.pmod(F.hash(c), F.lit(1))) for d, c in ((vals, value), (wanted, "__k")))
+        return select_ranks(vals, ["__all"], value, wanted).drop("__all")
+    by, extra = list(by), [c for c in wanted.columns if c not in by]
+    at = wanted.withColumn("__base", F.lit(0).cast("long"))
+    v, cell = F.col(value), None
+    for level, new in enumerate([*[leading(v, b) for b in SELECT_BITS], v]):
+        rows = vals.select(*by, v.alias("__value"), new.alias("__cell"), *([leading(v, SELECT_BITS[level - 1]).alias("__outer")] if level else []))
+        keys = [*by, *(["__outer"] if level else [])]
+        if level:
+            inside = at.select(*by, F.col("__found").alias("__outer")).distinct()
+            rows = null_safe_join(rows, inside, by, ["__outer"])
+        counted = rows.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        if level:
+            at = at.withColumnRenamed("__found", "__outer")
+        both = null_safe_join(at, counted, by, ["__outer"] if level else [])
+        place = F.col("__k") - F.col("__base")
+        hit = both.where((place >= F.col("__before")) & (place < F.col("__before") + F.col("__n")))
+        at = hit.select(*by, *extra, (F.col("__base") + F.col("__before")).alias("__base"), F.col("__cell").alias("__found"))
+    return at.select(*by, *extra, F.col("__found").alias("value"))
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / R-7 rule), per group of ``by``.
 
-    Returns ``by..., p, value``. Values are globally sorted by (by, value), so one group's rows are
-    spread over many tasks; only the <= 2 rows per (group, p) that define the answer are gathered.
+    Returns ``by..., p, value``: lazily, by counting cells (``select_ranks``), without a sort.
     """
     by = list(by)
     vals = df.select(*by, F.col(value_col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    order = [F.col(c).asc_nulls_first() for c in by] + [F.col("__v").asc()]
-    # positions need a unique total order; ties in value are interchangeable for quantiles
-    ranked = with_global_position(vals.withColumn("__u", F.monotonically_increasing_id()), order + [F.col("__u")], "__pos")
-    bounds = ranked.groupBy(*by).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__cnt"))
+    counts = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt")).where(F.col("__cnt") > 0)
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    wanted = bounds.select(*by, "__first", "__cnt", F.explode(probs_arr).alias("p")).select(
-        *by, "p", "__first", ((F.col("__cnt") - 1) * F.col("p")).alias("__h")
-    ).select(
-        *by, "p", "__h",
-        (F.col("__first") + F.floor("__h")).alias("__lo"),
-        (F.col("__first") + F.ceil("__h")).alias("__hi"),
-    )
-    at = ranked.select(*by, "__pos", "__v")
-    lo = at.withColumnRenamed("__pos", "__lo").withColumnRenamed("__v", "__vlo")
-    hi = at.withColumnRenamed("__pos", "__hi").withColumnRenamed("__v", "__vhi")
-    j = null_safe_join(null_safe_join(wanted, lo, by, ["__lo"]), hi, by, ["__hi"])
+    ends = F.explode(F.array(F.floor("__h").cast("long"), F.ceil("__h").cast("long")))
+    wanted = counts.select(*by, "__cnt", F.explode(probs_arr).alias("p")).select(
+        *by, "p", ((F.col("__cnt") - 1) * F.col("p")).alias("__h")).select(*by, "p", "__h", ends.alias("__k")).distinct()
+    found = select_ranks(vals, by, "__v", wanted)
     frac = F.col("__h") - F.floor("__h")
-    value = F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * frac
-    return j.select(*by, "p", value.alias("value"))
+    low, high = F.min("value"), F.max("value")
+    return found.groupBy(*by, "p").agg((low + (high - low) * F.first(frac)).alias("value"))

@@ -233,7 +233,7 @@ def q_sorted_positions(spark, d):
 
 def q_top_decile(spark, d):
     t = wl(spark, d).titled().select("id", "rank")
-    return od.top_fraction(t, [gr.rank_key().desc(), F.col("id").asc()], 0.1).select("id", "pos")
+    return od.top_fraction_by(t, gr.rank_key(), [F.col("id").asc()], 0.1).select("id", "pos")
 
 
 def q_sample_rows(spark, d):

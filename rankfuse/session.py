@@ -54,6 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def child_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session of the same application with this one's settings but for ``settings``: for work that needs
+    other ones, while the caller's session (and whoever else uses it) keeps its own."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    for name, value in settings.items():
+        own.conf.set(name, value)
+    return own
+
+
 def file_system(spark: SparkSession, path: str):
     """The Hadoop file system and path object of ``path``."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -115,7 +115,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a ``scratch`` path and read back: what follows doesn't compute it again."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def release(spark: SparkSession) -> None:

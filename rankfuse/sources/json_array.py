@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import child_session
+
 ESCAPE = re.compile(rb"\\.", re.DOTALL)
 SIGN = re.compile(rb'\\.|["{}\[\]]', re.DOTALL)
 SUMMARY = "file long, start long, quotes int, depth_out long, low_out long, depth_in long, low_in long, first int"
@@ -183,16 +185,10 @@ def cut(known: dict[tuple[int, int], Entry]):
 
 
 def with_fixed_ranges(spark: SparkSession, split_bytes: int | None) -> SparkSession:
-    """A session of its own with this one's settings whose file ranges don't depend on how many executors
-    there are at the moment: both passes must see the same ones. The caller's settings stay."""
-    own = spark.newSession()
-    for name, value in spark.conf.getAll.items():
-        if name.startswith("spark.sql.") and own.conf.isModifiable(name):
-            own.conf.set(name, value)
-    own.conf.set("spark.sql.files.minPartitionNum", "1")
-    if split_bytes:
-        own.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
-    return own
+    """A session whose file ranges don't depend on how many executors there are at the moment: both
+    passes must see the same ones."""
+    size = {"spark.sql.files.maxPartitionBytes": str(split_bytes)} if split_bytes else {}
+    return child_session(spark, {"spark.sql.files.minPartitionNum": "1", **size})
 
 
 def json_objects(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:

@@ -153,6 +153,13 @@ def test_pagerank_leaves_one_state(spark):
         assert res.ranks.agg(F.sum("rank")).first()[0] == pytest.approx(1.0)
     with pytest.raises(ValueError):
         gr.pagerank(edges, checkpoint_interval=4)
+    before = set(glob.glob(f"{root}/rdd-*")), set(glob.glob(f"{root}/rankfuse-io-*/pagerank-*"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    hub = spark.createDataFrame([("hub", f"n{k}") for k in range(60)] + [(f"n{k}", "hub") for k in range(5)], "src string, dst string")
+    assert gr.pagerank(hub, hub.select(F.col("dst").alias("id")), max_iter=4, tol=None).ranks.count() == 61
+    assert set(glob.glob(f"{root}/rdd-*")) == before[0]
+    assert set(glob.glob(f"{root}/rankfuse-io-*/pagerank-*")) == before[1]
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
 
 
 def test_scratch_is_released(spark):

@@ -56,7 +56,49 @@ MIN_POSTERIOR = 0.5
 SMOOTHING = 5.0
 PART_CHARS = 1 << 20
 
-MARKUP = regex.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
+#: Where markup may begin, what opens a block whose content is no text, what closes it, and entities.
+SIGN = regex.compile(r"[<&]")
+BLOCK = regex.compile(r"(?i)<(script|style)\b")
+CLOSES = {name: regex.compile(rf"(?i)</{name}\s*+>") for name in ("script", "style")}
+ENTITY = regex.compile(r"&#?\w++;")
+
+
+def visible(html: str) -> str:
+    """``html`` with each script or style block, comment, tag and entity as one space.
+
+    One pass: an end that isn't found once (of a block, a comment, a tag) is not looked for again,
+    so pages of unclosed tags take no longer than others. What is never closed is text.
+    """
+    out, lo, gone = [], 0, set()
+    sign = SIGN.search(html)
+    while sign:
+        at, end = sign.start(), -1
+        if sign.group() == "&":
+            entity = ENTITY.match(html, at)
+            end = entity.end() if entity else -1
+        else:
+            block = BLOCK.match(html, at)
+            name = block.group(1).lower() if block else None
+            if name and name not in gone:
+                close = CLOSES[name].search(html, block.end())
+                end = close.end() if close else -1
+                if not close:
+                    gone.add(name)
+            if end < 0 and html.startswith("<!--", at) and "-->" not in gone:
+                close = html.find("-->", at + 4)
+                end = close + 3 if close >= 0 else -1
+                if close < 0:
+                    gone.add("-->")
+            if end < 0 and ">" not in gone:
+                end = html.find(">", at + 1) + 1 or -1
+                if end < 0:
+                    gone.add(">")
+        if end >= 0:
+            out += [html[lo:at], " "]
+            lo = end
+        sign = SIGN.search(html, end if end >= 0 else at + 1)
+    return "".join([*out, html[lo:]])
+
 
 
 def _classes() -> np.ndarray:
@@ -148,7 +190,7 @@ def learn(pages: DataFrame, languages: Sequence[str] = LANGUAGES) -> Model:
         grams, singles = np.zeros((len(place), BUCKETS), np.int64), np.zeros(155, np.int64)
         for batch in batches:
             for tag, html in zip(batch.column(0), batch.column(1)):
-                text = MARKUP.sub(" ", html.as_py() or "")
+                text = visible(html.as_py() or "")
                 for part in parts(text):
                     at, cls = trigrams(part)
                     grams[place[tag.as_py()]] += np.bincount(at, minlength=BUCKETS)

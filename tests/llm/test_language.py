@@ -89,3 +89,21 @@ def test_accuracy_on_the_tables(spark):
     got = language.digests(docs, spark.read.parquet(f"{sf}/pages.parquet"))
     right = got.join(docs, "doc_id").selectExpr("avg(CAST(language = lang AS DOUBLE)) AS share").first().share
     assert right >= 0.99
+
+
+def test_visible_text_equals_the_pattern_and_is_linear():
+    import random
+    import time
+
+    import regex
+
+    pattern = regex.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
+    bits = ["<", ">", "<script>", "<SCRIPT a='b'>", "</script >", "</script", "<style>", "</Style>", "<!--", "-->", "<!-->", "<p>", "&amp;", "&#39;", "&x", ";", "é", " ", "text", "<scripty>", "\n", "İ"]
+    rnd = random.Random(4)
+    for _ in range(3000):
+        html = "".join(rnd.choice(bits) for _ in range(rnd.randrange(14)))
+        assert language.visible(html) == pattern.sub(" ", html), html
+    for bad in ("<", "<script ", "<!--", "&a", "</script", "<style><!--", "<script></style>"):
+        t0 = time.time()
+        language.visible(bad * (1_000_000 // len(bad)))
+        assert time.time() - t0 < 5, bad

@@ -34,9 +34,10 @@ CHUNK = 256
 WIDTH = 8
 EMBED = 4
 FILTERS = 16
-#: Bounds of the training sample.
+#: Bounds of the training sample: labelled rows, and chunks of a text (32 KiB). Those in it are read whole;
+#: labelled rows with longer texts are not in it. Scores are of whole texts of any length.
 SAMPLE_ROWS = 4000
-SAMPLE_CHUNKS = 64
+SAMPLE_CHUNKS = 128
 #: Mini-batches, whatever the size of the sample.
 STEPS = 500
 BATCH = 64
@@ -179,14 +180,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nda
     common.prepare(docs.sparkSession)
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id")) != 0)
     chosen = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_CHUNKS * CHUNK
+    rows = docs.select("doc_id", "text").where(short).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = chunked((batch.column(2)[i].as_py() or "").encode())
-                if len(rows) > SAMPLE_CHUNKS:
-                    rows = rows[np.arange(SAMPLE_CHUNKS) * len(rows) // SAMPLE_CHUNKS]
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([one.column(0), one.column(1).cast(pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["doc_id", "quality", "chunks"])
 

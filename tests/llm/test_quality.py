@@ -94,3 +94,40 @@ def test_edges(docs, rows, none, spark):
     one = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
     assert all(r.score > 0.5 for r in Q.digests(docs, one, 0.3).collect())
     assert Q.digests(none, labels, 0.3).collect() == []
+
+
+def plain_score(net, data):
+    """The network by plain loops over chunks, filters, places, bytes and embedding numbers."""
+    p = net.p
+    n = max(1, -(-len(data) // Q.CHUNK))
+    padded = data + bytes(n * Q.CHUNK + Q.WIDTH - 1 - len(data))
+    total, most = [0.0] * Q.FILTERS, [0.0] * Q.FILTERS
+    for c in range(n):
+        for f in range(Q.FILTERS):
+            best = -1e9
+            for at in range(c * Q.CHUNK, (c + 1) * Q.CHUNK):
+                z = 0.0
+                for j in range(Q.WIDTH):
+                    for e in range(Q.EMBED):
+                        z += float(p["embed"][padded[at + j]][e]) * float(p["filters"][j * Q.EMBED + e][f])
+                best = max(best, z)
+            pooled = max(0.0, best + float(p["bias"][f]))
+            total[f] += pooled
+            most[f] = max(most[f], pooled)
+    logit = float(p["base"][0]) + sum(t / n * float(a) + m * float(b) for t, m, a, b in zip(total, most, p["mean"], p["max"]))
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_equal_plain_loops():
+    net = Q.Network(0.6)
+    data = [b"", b"one two", "é日 long ".encode() * 40]
+    assert np.allclose(net.scores(data), [plain_score(net, d) for d in data], atol=1e-5)
+
+
+def test_texts_of_the_sample_are_whole_and_long_ones_are_not_in_it(spark):
+    rows = [(1, "a" * 20_000), (2, "b" * (Q.SAMPLE_CHUNKS * Q.CHUNK + 1)), (3, None), (4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, quality int")
+    in_it = {k for k, t in rows if zlib.crc32(str(k).encode()) % 5 and len(t or "") <= Q.SAMPLE_CHUNKS * Q.CHUNK}
+    chunks, _ = Q.sample(docs, labels)
+    assert sorted(map(len, chunks)) == sorted(max(1, -(-len(t or "") // Q.CHUNK)) for k, t in rows if k in in_it)

@@ -11,7 +11,10 @@ anywhere else. Every word that a recurring window covers is removed.
    and the windows of an anchor are counted word by word; runs of windows that are there twice
    are the *passages*. An anchor with more than ``SALT_ROWS`` different segments (the edge of a
    passage that many documents share) is not gathered: its windows are counted by 128-bit hash,
-   all over the cluster, and its segments are dealt to several tasks, its passages to each.
+   all over the cluster, and its segments are dealt to several tasks, its passages to each. Most
+   of its windows need no counting: segments are aligned at the anchor and sorted by the words
+   before it, and by those after it. Among its neighbours there a segment has the one with which it
+   shares most words on that side; a window that reaches further on either side is there once.
 3. *Automata.* Each task compiles its passages, some ``SHARD_ROWS`` segments at a time, into
    Aho-Corasick automata over word sequences (pyahocorasick), streams the segments' words through
    them, and locates every occurrence. A stretch that many documents repeat is streamed once, and
@@ -32,6 +35,7 @@ text at a time, or one text if that is longer.
 from __future__ import annotations
 
 import itertools
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -227,10 +231,73 @@ def fetch_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.arange(some.sum()) - np.repeat(ends - some, some) + np.repeat(lo, some)
             edges = pa.array(np.append(0, ends), pa.int32())
             hashes = [pa.ListArray.from_arrays(edges, pa.array(words.runs(at, WINDOW, k).view(np.int64))) for k in (0, 1)]
+            anchor = np.asarray(got["anchor"]).view(U)
+            spots = [np.flatnonzero(words.runs(np.arange(a, a + k + WINDOW - GRAM), GRAM, 0) == v).tolist() if h else []
+                     for a, k, v, h in zip(lo.tolist(), n.tolist(), anchor, hot.tolist())]
             yield pa.RecordBatch.from_arrays([
                 got["anchor"], got["content"], got["weight"], got["hot"],
-                pa.array(words.bodies(lo, n + WINDOW - 1), pa.binary()), *hashes,
-            ], names=["anchor", "content", "weight", "hot", "body", "one", "two"])
+                pa.array(words.bodies(lo, n + WINDOW - 1), pa.binary()), *hashes, pa.array(spots, pa.list_(pa.int32())),
+            ], names=["anchor", "content", "weight", "hot", "body", "one", "two", "spots"])
+
+
+#: Words of a window beside its anchor.
+BESIDE = WINDOW - GRAM
+
+
+def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each segment and place of its anchor in it the words before (side 0, backwards) and after."""
+    for batch in batches:
+        rows = []
+        for anchor, content, body, spots in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            words = body.split(b" ")
+            for p in spots:
+                before, after = words[max(0, p - BESIDE) : p][::-1], words[p + GRAM : p + GRAM + BESIDE]
+                rows += [(anchor, content, side, b"".join(w + b" " for w in key)) for side, key in enumerate((before, after))]
+        columns = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                                         names=["anchor", "content", "side", "key"])
+
+
+def shared_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor, side and key: how many words each shares with a neighbour. The first and
+    last of a task have neighbours elsewhere: they may share all."""
+    last: tuple | None = None
+    shared = BESIDE
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            common_words = 0
+            if last is not None:
+                if row[0] == last[0] and row[2] == last[2]:
+                    common_words = os.path.commonprefix([row[3], last[3]]).count(b" ")
+                out.append((*last[:3], max(shared, common_words)))
+                shared = common_words
+            last = row
+        columns = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                                         names=["anchor", "content", "side", "shared"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*last[:3], BESIDE), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                                         names=["anchor", "content", "side", "shared"])
+
+
+def possible_windows(hot: DataFrame) -> DataFrame:
+    """``anchor, content, weight, i, one, two``: the windows of hot segments that can be there twice."""
+    sides = hot.select("anchor", "content", "body", "spots").mapInArrow(aligned, "anchor long, content long, side int, key binary")
+    sides = sides.repartitionByRange("anchor", "side", "key").sortWithinPartitions("anchor", "side", "key")
+    beside = sides.mapInArrow(shared_beside, "anchor long, content long, side int, shared int").groupBy("anchor", "content").agg(
+        F.max(F.when(F.col("side") == 0, F.col("shared"))).alias("before"), F.max(F.when(F.col("side") == 1, F.col("shared"))).alias("after"))
+    rows = hot.join(beside, ["anchor", "content"])
+    # a segment that is there twice, or in which the anchor is, keeps all its windows
+    free = (F.col("weight") > 1) | (F.size("spots") != 1)
+    last, spot = F.size("one") - 1, F.try_element_at("spots", F.lit(1))
+    lo = F.when(free, F.lit(0)).otherwise(F.greatest(F.lit(0), spot - F.col("before")))
+    up = F.when(free, last).otherwise(F.least(last, spot + F.col("after") - F.lit(BESIDE)))
+    cut = rows.select("anchor", "content", "weight", lo.alias("lo"), F.greatest(F.lit(0), up - lo + 1).alias("n"), "one", "two")
+    some = cut.where("n > 0").select("anchor", "content", "weight", "lo", F.arrays_zip(
+        F.slice("one", F.col("lo") + 1, F.col("n")).alias("one"), F.slice("two", F.col("lo") + 1, F.col("n")).alias("two")).alias("w"))
+    return some.select("anchor", "content", "weight", "lo", F.posexplode("w").alias("i", "w")).select(
+        "anchor", "content", "weight", (F.col("lo") + F.col("i")).alias("i"), "w.one", "w.two")
 
 
 def runs_of(places: list[int]) -> Iterator[tuple[int, int]]:
@@ -343,13 +410,12 @@ def covered(rows: DataFrame) -> DataFrame:
     if keys.count() <= KEYS_SENT:
         texts = rows.join(F.broadcast(keys), ["file", "at"], "left_semi")
     bodies = texts.join(asked, ["file", "at"]).select("text", "wanted").mapInArrow(
-        fetch_bodies, "anchor long, content long, weight int, hot boolean, body binary, one array<long>, two array<long>")
+        fetch_bodies, "anchor long, content long, weight int, hot boolean, body binary, one array<long>, two array<long>, spots array<int>")
     bodies = common.stage(bodies, "bodies")
 
     # hot anchors: their windows are counted by hash, their passages go to all their salts
     hot = bodies.where("hot")
-    windows = hot.select("anchor", "content", "weight", F.posexplode(F.arrays_zip("one", "two")).alias("i", "w"))
-    windows = windows.select("anchor", "content", "weight", "i", "w.one", "w.two")
+    windows = common.stage(possible_windows(hot), "hot-windows")
     twice = windows.groupBy("one", "two").agg(F.sum("weight").alias("times")).where(F.col("times") > 1).select("one", "two")
     places = windows.join(twice, ["one", "two"], "left_semi").groupBy("anchor", "content").agg(F.collect_list("i").alias("places"))
     described = hot.select("anchor", "content", "body").join(places, ["anchor", "content"])

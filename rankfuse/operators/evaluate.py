@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze, seeded_shuffle
+from ..sources.io import stage
 from .graph import rank_key
 from .ordering import sample_rows, top_fraction_by, topn_per_group
 from .search import blend, position_of, result_order, score_key, with_alphas
@@ -26,7 +27,7 @@ def query_database(titled: DataFrame, n_queries: int = 1000, n_words: int = 5, f
     ``n_words`` joined by a space. ``query_id`` is the paper the words came from.
     """
     words = analyze(F.col("title"))
-    eligible = titled.where(F.size(words) >= n_words).select("id", "rank")
+    eligible = stage(titled.where(F.size(words) >= n_words).select("id", "rank"), "eligible")  # the texts are analysed once
     top = top_fraction_by(eligible, rank_key(), [F.col("id").asc()], fraction)
     ids = sample_rows(top.select("id"), n_queries, seed, "id")  # n_queries rows at most
     chosen = titled.join(F.broadcast(ids), "id").select("id", words.alias("words"))

@@ -69,14 +69,15 @@ def top_fraction(df: DataFrame, order: Sequence[Column], fraction: float, pos_co
 def top_fraction_by(df: DataFrame, key: Column, ties: Sequence[Column], fraction: float, pos_col: str = "pos") -> DataFrame:
     """Best ``int(fraction * count)`` rows by the number ``key``, highest first, then ``ties``.
 
-    The key at the cut is selected by counting; only the rows that reach it are sorted and numbered."""
+    The key at the cut is selected by counting; only the rows that reach it are sorted and numbered.
+    ``df`` is read several times: hand over a table where it is costly."""
     keyed = df.withColumn("__key", key.cast("double"))
-    total = keyed.count()
+    total, valued = keyed.agg(F.count(F.lit(1)), F.count("__key")).first()
     n = int(fraction * total)
     if not n:
         return df.withColumn(pos_col, F.lit(0).cast("long")).where(F.lit(False))
     known = keyed.select("__key").where(F.col("__key").isNotNull())
-    place = known.count() - n  # from the lowest; keys that are null come last, as in a descending sort
+    place = valued - n  # from the lowest; keys that are null come last, as in a descending sort
     if place >= 0:
         wanted = df.sparkSession.createDataFrame([(place,)], "__k long")
         cut = select_ranks(known, [], "__key", wanted).first()["value"]

@@ -50,6 +50,29 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_edge_rows_through_all_stages(spark, docs, rows, none, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing column names; then no rows."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for name, table, html in (("some", docs, pages), ("none", none, pages.limit(0))):
+        root = str(tmp_path / name)
+        table.write.parquet(f"{root}/documents.parquet")
+        html.write.parquet(f"{root}/pages.parquet")
+        held = spark.read.parquet(f"{root}/documents.parquet")
+        for k, (_, step) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = step(spark, held, root)
+            assert out.columns == docs.columns
+            out.write.parquet(f"{root}/{k}")
+            held = spark.read.parquet(f"{root}/{k}")
+        got = corpus_pipeline.run(spark, root).collect()
+        assert len(got) == held.count()
+        assert {r.doc_id for r in got} <= {r[0] for r in rows}
+        if name == "none":
+            assert got == []
+        else:
+            texts = [r.text for r in held.collect()]
+            assert texts and all(t and t.strip() for t in texts)  # what has no letters goes
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.language_id(spark, docs, SF)
@@ -58,7 +81,7 @@ def test_clean_documents_stay(spark):
 
 def test_registered():
     queries = entry.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in queries)] == []
     assert "pipeline" in queries
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -130,6 +131,24 @@ def pagerank_inflow(state: DataFrame, cold_edges: DataFrame, hot_edges: DataFram
     return msgs.groupBy("dst").agg(F.sum("share").alias("inflow"))
 
 
+def hub_split(e: DataFrame, state: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The edges by source, persisted: ``cold`` ones hash-partitioned and sorted by source, ``hot`` ones (of
+    sources with more than a partition's share of all edges) spread by both ends, and the hot sources,
+    fewer than there are partitions by construction. ``hot`` and its sources are None if there are none."""
+    spark = e.sparkSession
+    parts = shuffle_partitions(spark)
+    threshold = max(1, n_edges // max(parts, 1))
+    hubs = state.where(F.col("out_degree") > threshold).select(F.col("id").alias("src")).collect()
+    cold, hot, hot_src = e, None, None
+    if hubs:
+        hot_src = spark.createDataFrame(hubs, "src string")
+        cold = e.join(F.broadcast(hot_src), "src", "left_anti")
+        hot = e.join(F.broadcast(hot_src), "src", "left_semi").repartition(parts, "src", "dst")
+        hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
+    cold = cold.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    return cold, hot, hot_src
+
+
 def pagerank_step(state: DataFrame, inflow: DataFrame, n_nodes: int, dangling: float, damping: float = 0.85) -> DataFrame:
     """One step: ``(1-d)/N + d * (inflow + dangling/N)`` for every node; keeps the old rank as ``prev``."""
     base = (1.0 - damping) / n_nodes
@@ -171,30 +190,45 @@ def pagerank(edges: DataFrame, vertex_ids: DataFrame | None = None, damping: flo
     """
     if not 1 <= checkpoint_interval <= 3:
         raise ValueError(f"checkpoint_interval must be 1, 2 or 3, not {checkpoint_interval}")
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    own = child_session(spark, {"spark.sql.adaptive.enabled": "false"})
-    given = {"edges": edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())}
+    given = {"edges": known_edges(edges)}
     if vertex_ids is not None:
         given["ids"] = vertex_ids.select("id")
-    tables = {name: stage(df, f"pagerank-{name}") for name, df in given.items()}
+    with in_own_session(edges.sparkSession, given) as tables:
+        res = _pagerank(tables["edges"], tables.get("ids"), damping, max_iter, tol, normalize, checkpoint_interval)
+        return handed_back(edges.sparkSession, res)
+
+
+def known_edges(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+
+
+@contextmanager
+def in_own_session(spark, given: dict[str, DataFrame]):
+    """The frames as tables of a session without adaptive execution; the tables go at the end."""
+    ensure_checkpoint_dir(spark)
+    own = child_session(spark, {"spark.sql.adaptive.enabled": "false"})
+    tables: dict[str, DataFrame] = {}
     try:
-        e, ids = (own.read.schema(t.schema).parquet(t.staged_at) if t is not None else None for t in (tables["edges"], tables.get("ids")))
-        res = _pagerank(e, ids, damping, max_iter, tol, normalize, checkpoint_interval)
-        path = scratch(spark, "ranks")  # a table of the caller's session, in place of the last checkpoint
-        res.ranks.write.parquet(path)
-        res.ranks = spark.read.schema(res.ranks.schema).parquet(path)
-        drop_path(spark, res.stored)
-        return res
+        for name, df in given.items():
+            tables[name] = stage(df, f"pagerank-{name}")
+        yield {name: own.read.schema(t.schema).parquet(t.staged_at) for name, t in tables.items()}
     finally:
         for t in tables.values():
             drop_path(spark, t.staged_at)
 
 
+def handed_back(spark, res: PageRankResult) -> PageRankResult:
+    """``res`` with its ranks as a table of the caller's session, in place of the last checkpoint."""
+    path = scratch(spark, "ranks")
+    res.ranks.write.parquet(path)
+    res.ranks = spark.read.schema(res.ranks.schema).parquet(path)
+    drop_path(spark, res.stored)
+    return res
+
+
 def _pagerank(e: DataFrame, vertex_ids: DataFrame | None, damping: float, max_iter: int, tol: float | None,
               normalize: bool, checkpoint_interval: int) -> PageRankResult:
     spark = e.sparkSession
-    parts = shuffle_partitions(spark)
     obs0 = Observation("pagerank_init")
     state0 = pagerank_state(e, vertex_ids).observe(
         obs0,
@@ -207,16 +241,7 @@ def _pagerank(e: DataFrame, vertex_ids: DataFrame | None, damping: float, max_it
     if n_nodes == 0:
         return PageRankResult(spark.createDataFrame([], "id string, rank double"), [], True)
 
-    threshold = max(1, n_edges // max(parts, 1))
-    hubs = state0.where(F.col("out_degree") > threshold).select(F.col("id").alias("src")).collect()  # < parts by construction
-    n_hot, hot_src = len(hubs), spark.createDataFrame(hubs, "src string")
-    if n_hot:
-        cold = e.join(F.broadcast(hot_src), "src", "left_anti")
-        hot = e.join(F.broadcast(hot_src), "src", "left_semi").repartition(parts, "src", "dst")
-        hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
-    else:
-        cold, hot = e, None
-    cold = cold.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    cold, hot, hot_src = hub_split(e, state0, n_edges)
 
     state = state0.withColumn("rank", F.lit(1.0 / n_nodes))
     dangling = n_dangling * (1.0 / n_nodes)
@@ -227,7 +252,7 @@ def _pagerank(e: DataFrame, vertex_ids: DataFrame | None, damping: float, max_it
     stored = checkpoint_path(state0)  # what the store holds of the run
     try:
         for i in range(max_iter):
-            inflow = pagerank_inflow(state, cold, hot, hot_src if n_hot else None)
+            inflow = pagerank_inflow(state, cold, hot, hot_src)
             step = pagerank_step(state, inflow, n_nodes, dangling, damping)
             obs = Observation(f"pagerank_{i + 1}")
             observed = step.observe(

@@ -530,6 +530,8 @@ def build() -> dict[str, str]:
         f", stop AS (SELECT COALESCE(MIN(k) FILTER (WHERE error < {lit(TOLERANCE)}), {MOST_STEPS}) AS k FROM ({errors})), "
         f"final AS (SELECT id, rank FROM ({every}) e WHERE e.k = (SELECT k FROM stop)) "
         "SELECT id, round(rank / (SELECT SUM(rank) FROM final), 12) AS rank FROM final", f"pr{MOST_STEPS}").replace("\n, ", ",\n", 1)
+    # plain iteration, far past what is left of the first step's error
+    Q["pagerank_residual"] = with_ctes(f"SELECT id, round(rank / (SELECT SUM(rank) FROM pr{MOST_STEPS}), 9) AS rank FROM pr{MOST_STEPS}", f"pr{MOST_STEPS}")
     Q["ml_tfidf_roundtrip"] = with_ctes(
         "SELECT id, CAST(len(list_filter(string_split_regex(regexp_replace(lower(title), '\\s+$', ''), '\\s'), "
         f"lambda t: NOT list_contains({STOP}, t))) AS BIGINT) AS total FROM store", "store")

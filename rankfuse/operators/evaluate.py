@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import analyze, seeded_shuffle
 from ..sources.io import stage
+from .features import Bm25Index
 from .graph import rank_key
 from .ordering import sample_rows, top_fraction_by, topn_per_group
-from .search import blend, position_of, result_order, score_key, with_alphas
+from .search import CountedPositions, blend, position_of, positions_by_blocks, result_order, score_key, with_alphas
 
 DEFAULT_SEED = "42"
 
@@ -200,6 +201,12 @@ def required_size(scored: DataFrame, queries: DataFrame, alphas: Sequence[float]
     return position_of(scored, targets, alphas)
 
 
+def required_size_by_blocks(queries: DataFrame, index: Bm25Index, alphas: Sequence[float]) -> CountedPositions:
+    """``required_size`` of a stored index, without its matches: most blocks are counted by their bounds."""
+    targets = queries.select("query_id", F.col("query_id").alias("target_id"))
+    return positions_by_blocks(queries, targets, index, alphas)
+
+
 def first_hit_counts(sizes: DataFrame) -> DataFrame:
     """How many (query, alpha) rows have the source paper first."""
     return sizes.groupBy((F.col("size") == 1).alias("first_hit")).agg(F.count(F.lit(1)).alias("count"))

@@ -150,12 +150,16 @@ def cell_bounds(queries: DataFrame, index: Bm25Index, alpha: float) -> DataFrame
     return cells.select("query_id", "block", blend(F.col("lex"), F.col("pr"), alpha).alias("bound"), "n")
 
 
-def _cell_scores(queries: DataFrame, index: Bm25Index, cells: DataFrame, alpha: float) -> DataFrame:
-    """``(query_id, id, lex, pr, score)`` of the documents in these (query, block) cells."""
+def _cell_parts(queries: DataFrame, index: Bm25Index, cells: DataFrame) -> DataFrame:
+    """``(query_id, id, lex, pr)`` of the documents in these (query, block) cells."""
     wanted = query_terms(queries).join(cells.select("query_id", "block"), "query_id")
     found = index.postings.join(wanted, ["term", "block"])
-    scored = found.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("lex"), F.max("pr").alias("pr"))
-    return scored.withColumn("score", blend(F.col("lex"), F.col("pr"), alpha))
+    return found.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("lex"), F.max("pr").alias("pr"))
+
+
+def _cell_scores(queries: DataFrame, index: Bm25Index, cells: DataFrame, alpha: float) -> DataFrame:
+    """``_cell_parts`` with their ``score``."""
+    return _cell_parts(queries, index, cells).withColumn("score", blend(F.col("lex"), F.col("pr"), alpha))
 
 
 @dataclass
@@ -242,3 +246,64 @@ def position_of(scored: DataFrame, targets: DataFrame, alphas: Sequence[float])
     )
     base = with_alphas(targets.select("query_id"), alphas)
     return base.join(per_alpha, ["query_id", "alpha"], "left")
+
+
+@dataclass
+class CountedPositions:
+    """``sizes`` as by ``position_of``; ``cells`` (``query_id, block, n, opened``) tells what was skipped."""
+
+    sizes: DataFrame
+    cells: DataFrame
+
+
+def positions_by_blocks(queries: DataFrame, targets: DataFrame, index: Bm25Index, alphas: Sequence[float]) -> CountedPositions:
+    """1-based positions of the targets, per alpha, opening only blocks that can go either way.
+
+    The targets' own scores come first, from their own postings. A (query, block) cell none of whose
+    matches can come before the target at any alpha counts nothing. One whose matches all do counts its
+    postings, if one word of the query matches there, so that these are different documents; a cell
+    that is one or the other at every alpha stays closed. The rest are opened and their documents
+    counted. Rows as by ``position_of`` over all matches (``targets(query_id, target_id)``, one row a
+    query at most); NULL when the target doesn't match. Needs a stored index and alphas in 0 to 1.
+
+    The targets are counted and broadcast if they are few: neither cells nor documents are shuffled to them.
+    """
+    if index.blocks is None:
+        raise ValueError("this index has no block bounds: build it with a store")
+    if not all(0 <= a <= 1 for a in alphas):
+        raise ValueError("alphas must be in 0 to 1")
+    terms = query_terms(queries)
+    sought = terms.join(targets, "query_id").select("query_id", "term", "qtf", F.col("target_id").alias("id"))
+    own = index.postings.join(broadcast_small(sought), ["term", "id"]).groupBy("query_id", F.col("id").alias("target_id")).agg(
+        F.sum(F.col("qtf") * F.col("w")).alias("lex"), F.max("pr").alias("pr"))
+    keys = [score_key(blend(F.col("lex"), F.col("pr"), a)).alias(f"t{i}") for i, a in enumerate(alphas)]
+    own = broadcast_small(stage(own.select("query_id", "target_id", *keys), "targets"))
+
+    held = spread_join(index.blocks, terms, "term", index.hot, "block")
+    cells = held.groupBy("query_id", "block").agg(
+        F.sum(F.col("qtf") * F.col("top_w")).alias("top_lex"), F.max("top_pr").alias("top_pr"),
+        F.min(F.col("qtf") * F.col("low_w")).alias("low_lex"), F.min("low_pr").alias("low_pr"),
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).join(own, "query_id")
+    opened, surely = F.lit(False), []
+    for i, a in enumerate(alphas):
+        most, least = blend(F.col("top_lex"), F.col("top_pr"), a), blend(F.col("low_lex"), F.col("low_pr"), a)
+        after = score_key(most + F.abs(most) * BOUND_SLACK) < F.col(f"t{i}")
+        before = (score_key(least - F.abs(least) * BOUND_SLACK) > F.col(f"t{i}")) & (F.col("words") == 1)
+        opened = opened | ~(after | before)
+        surely.append(F.when(before, F.col("n")).otherwise(F.lit(0)).alias(f"a{i}"))
+    cells = stage(cells.select("query_id", "block", "n", opened.alias("opened"), *surely), "position-cells")
+
+    docs = _cell_parts(queries, index, cells.where("opened")).join(own, "query_id")
+    counted = []
+    for i, a in enumerate(alphas):
+        s = score_key(blend(F.col("lex"), F.col("pr"), a))
+        smaller = (s == F.col(f"t{i}")) & (F.col("id") < F.col("target_id"))
+        counted.append(((F.col("id") != F.col("target_id")) & ((s > F.col(f"t{i}")) | smaller)).cast("long").alias(f"a{i}"))
+    names = [f"a{i}" for i in range(len(alphas))]
+    found = own.select("query_id", *[F.lit(0).cast("long").alias(c) for c in names])  # a target that nothing comes before
+    parts = found.unionByName(cells.where("not opened").select("query_id", *names)).unionByName(docs.select("query_id", *counted))
+    sums = parts.groupBy("query_id").agg(*[(F.sum(c) + 1).alias(c) for c in names])
+    pairs = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(c).alias("size")) for a, c in zip(alphas, names)])
+    per_alpha = sums.select("query_id", F.explode(pairs).alias("x")).select("query_id", "x.alpha", "x.size")
+    base = with_alphas(targets.select("query_id"), alphas)
+    return CountedPositions(base.join(per_alpha, ["query_id", "alpha"], "left"), cells.select("query_id", "block", "n", "opened"))

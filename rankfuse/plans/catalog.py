@@ -25,7 +25,7 @@ from ..operators.segments import SegmentedIndex
 from ..sources import io, json_array
 from ..sources import testdata as td
 from .workload import (BENCH_ALPHAS, DAMPING, FLAGSHIP_QUERY, ORACLE_ALPHAS, PR_STEPS, SEARCH_ALPHA, SEARCH_BETA, SEARCH_TOP_N, SEED,
-                       Workload, rounded)
+                       SIZE_ALPHAS, Workload, rounded)
 
 # Query parameters (ours): fixed here so Spark and SQL use the same values.
 LOOKUP_ID = "7"
@@ -623,6 +623,11 @@ def q_required_size_by_alpha(spark, d):
     return rounded(wl(spark, d).sizes(), 12)
 
 
+def q_required_size_by_blocks(spark, d):
+    w = wl(spark, d)
+    return rounded(ev.required_size_by_blocks(w.qdb(), w.bm25(), SIZE_ALPHAS).sizes, 12)
+
+
 def q_required_size_stats(spark, d):
     s = wl(spark, d).sizes().withColumn("alpha", F.round("alpha", 2))
     return rounded(st.stats_by_key(s, "size", ["alpha"]), 6)

@@ -520,7 +520,7 @@ def build() -> dict[str, str]:
     for name, same in (("src_json_roundtrip", "corpus_project"), ("parquet_roundtrip", "pagerank"),
                        ("csv_roundtrip", "alpha_differences"), ("csv_roundtrip_full", "alpha_differences_full"),
                        ("pipeline_e2e", "alpha_stats_full"), ("head_parquet", "corpus_head"), ("json_array_roundtrip", "corpus_project"),
-                       ("bm25_pruned_topk", "bm25_hybrid_topk"), ("index_reopened_topk", "search_batch_topk"), ("index_reopened_bm25", "bm25_scores")):
+                       ("bm25_pruned_topk", "bm25_hybrid_topk"), ("required_size_by_blocks", "required_size_by_alpha"), ("index_reopened_topk", "search_batch_topk"), ("index_reopened_bm25", "bm25_scores")):
         Q[name] = Q[same]
     errors = " UNION ALL ".join(
         f"SELECT {i} AS k, (SELECT SUM(abs(a.rank - b.rank)) FROM pr{i} a JOIN pr{i - 1} b ON a.id = b.id) AS error"

@@ -121,6 +121,50 @@ def test_pruned_search_skips_postings(spark, tmp_path):
     assert rows_of(got.top) == rows_of(se.bm25_hybrid_topk(queries, bm, 1.0, 5))
 
 
+def pinned(scored, pick):
+    """One target a query by score, as given rows: of ties, another run could pick another one."""
+    rows = scored.groupBy("query_id").agg(pick("id", "lex").alias("target_id")).collect()
+    return scored.sparkSession.createDataFrame(rows, "query_id string, target_id string")
+
+
+@pytest.mark.parametrize("alphas", [[0.0, 0.3, 1.0], [0.7]])
+def test_positions_by_blocks_equal_those_of_all_matches(spark, papers, queries, store, alphas):
+    bm = fe.open_bm25(spark, store)
+    scored = se.bm25_scores(queries, bm)
+    some = scored.groupBy("query_id").agg(F.max_by("id", F.xxhash64("id")).alias("target_id"))  # any match
+    best = pinned(scored, F.max_by)
+    absent = queries.select("query_id", F.lit("p0001").alias("target_id"))  # matches some, not others
+    for targets in (some, best, absent, absent.where(F.lit(False))):
+        got = se.positions_by_blocks(queries, targets, bm, alphas)
+        want = rows_of(se.position_of(scored, targets, alphas).fillna(-1), "query_id", "alpha", "size")
+        assert rows_of(got.sizes.fillna(-1), "query_id", "alpha", "size") == want
+        assert got.sizes.columns == ["query_id", "alpha", "size"]
+
+
+def test_positions_by_blocks_leave_blocks_closed(spark, tmp_path):
+    path = str(tmp_path / "i")
+    fe.build_bm25(frame(spark, corpus(6000, 3)), store=path)
+    bm = fe.open_bm25(spark, path)
+    queries = spark.createDataFrame([("a", "w0"), ("b", "w120 w3 w160"), ("c", "w90 w1")], "query_id string, query string")
+    scored = se.bm25_scores(queries, bm)
+    best, worst = pinned(scored, F.max_by), pinned(scored, F.min_by)
+    for targets, query in ((best, "a"), (best, "b"), (worst, "a")):  # counted as below, as below, and as above
+        got = se.positions_by_blocks(queries, targets, bm, [1.0])
+        assert rows_of(got.sizes) == rows_of(se.position_of(scored, targets, [1.0]))
+        work = got.cells.where(F.col("query_id") == query).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("opened"), F.col("n"))).alias("opened")).first()
+        assert (work["opened"] or 0) < 0.5 * work["all"], (query, work)
+
+
+def test_positions_by_blocks_shuffle_no_matches_by_query(spark, queries, store):
+    bm = fe.open_bm25(spark, store)
+    targets = queries.select("query_id", F.lit("p0001").alias("target_id"))
+    got = se.positions_by_blocks(queries, targets, bm, [0.5])
+    plan = got.sizes._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [query_id" in plan
+    with pytest.raises(ValueError, match="alphas"):
+        se.positions_by_blocks(queries, targets, bm, [0.5, 1.5])
+
+
 def test_pruned_search_needs_bounds_and_a_blend(spark, papers, queries, store):
     with pytest.raises(ValueError, match="store"):
         se.pruned_topk(queries, fe.build_bm25(papers))

@@ -12,8 +12,9 @@
 4. Products of the survivors are computed in integers and the best k of each cell are kept; a
    window over at most k rows for each query and bucket ranks them.
 
-A cell is one bucket and one block of ``QUERY_BLOCK`` queries: what a task holds is bounded, and
-vectors travel once for each block of queries. Bounds keep a slack of ``SLACK`` for rounding, so
+A cell is one bucket and one block of ``QUERY_BLOCK`` queries. A task holds the vectors of one cell;
+its queries stream past them by Arrow batches, so a block can be large: vectors travel once for
+each block of queries, a query once for each bucket it can reach. Bounds keep a slack of ``SLACK`` for rounding, so
 pruning never loses a candidate that ties with the bound.
 
 Nulls: vectors that are null, hold a null or non-finite component, or have a null id take no part.
@@ -25,6 +26,7 @@ earlier row. A product beyond a long is an error, not a wrong score. Empty table
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKET_ROWS = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 1 << 16
 COORDINATE_FROM = 0.2
 FOCUS = 4
 SLACK = 1e-9
@@ -126,34 +128,61 @@ class Bucket:
         return found[order], score[order]
 
 
-def cell_search(k: int):
-    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+def cell_search(k: int, width: int):
+    """Over batches ordered by (block, bucket, asks): the vectors of a cell, then its queries, which pass one
+    batch at a time."""
+
+    def answers(bucket: Bucket, asked: pa.Table) -> pa.RecordBatch:
         out: dict[str, list] = {n: [] for n in ("query_row", "query_id", "row", "vec_id", "score")}
-        if queries.num_rows and candidates.num_rows:
-            v = matrix(candidates.column("v"))
-            q = matrix(queries.column("v"), v.shape[1])
-            if q.shape[1] > v.shape[1]:
-                v = matrix(candidates.column("v"), q.shape[1])
-            bucket = Bucket(v, candidates.column("vec_id").to_numpy(), candidates.column("row").to_numpy())
-            for i, (row, vec, bound) in enumerate(zip(*(queries.column(c).to_pylist() for c in ("row", "vec_id", "bound")))):
-                at, score = bucket.best(q[i], row, bound, k)
-                out["query_row"] += [row] * len(at)
-                out["query_id"] += [vec] * len(at)
-                out["row"] += bucket.rows[at].tolist()
-                out["vec_id"] += bucket.ids[at].tolist()
-                out["score"] += score.tolist()
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in out.items()})
+        q = matrix(asked.column("v"), width)
+        for i, (row, vec, bound) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("row", "vec_id", "bound")))):
+            at, score = bucket.best(q[i], row, bound, k)
+            out["query_row"] += [row] * len(at)
+            out["query_id"] += [vec] * len(at)
+            out["row"] += bucket.rows[at].tolist()
+            out["vec_id"] += bucket.ids[at].tolist()
+            out["score"] += score.tolist()
+        return pa.record_batch({n: pa.array(x, pa.int64()) for n, x in out.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, bucket = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "bucket", "asks")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                some = pa.Table.from_batches([batch.slice(start, end - start)])
+                if cell != tuple(keys[start, :2]):
+                    cell, parts, bucket = tuple(keys[start, :2]), [], None
+                if not keys[start, 2]:
+                    parts.append(some)
+                    continue
+                if bucket is None and parts:
+                    held = pa.concat_tables(parts)
+                    bucket = Bucket(matrix(held.column("v"), width), held.column("vec_id").to_numpy(), held.column("row").to_numpy())
+                    parts = []
+                if bucket is not None:
+                    yield answers(bucket, some)
 
     return run
 
 
+def in_cells(queries: DataFrame, candidates: DataFrame, k: int, width: int) -> DataFrame:
+    """The best ``k`` of each query (``block, bucket, row, vec_id, v, bound``) among the candidates of its cell."""
+    held = candidates.select("block", "bucket", F.lit(False).alias("asks"), "row", "vec_id", "v", F.lit(None).cast("double").alias("bound"))
+    asked = queries.select("block", "bucket", F.lit(True).alias("asks"), "row", "vec_id", "v", "bound")
+    both = held.unionByName(asked).repartition("block", "bucket").sortWithinPartitions("block", "bucket", "asks")
+    return both.mapInArrow(cell_search(k, width), HIT)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` of ``vectors`` (``vec_id, v``: array<long>)
     for each of its rows where ``is_query`` (an expression over ``vec_id``)."""
     common.prepare(vectors.sparkSession)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     rows = common.stage(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", length.alias("length")), "vectors")
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    n, n_queries, width = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     buckets, blocks = max(1, -(-n // BUCKET_ROWS)), max(1, -(-n_queries // QUERY_BLOCK))
     dealt = rows.repartitionByRange(buckets, F.col("length").desc(), F.xxhash64("vec_id", "row"))
     dealt = common.stage(dealt.withColumn("bucket", F.spark_partition_id()), "buckets")
@@ -165,10 +194,9 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
     # the first bucket against every block of queries
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    front = dealt.where(F.col("bucket") == first).select("row", "vec_id", "v", every_block)
-    asked = queries.select("row", "vec_id", "v", "block", F.lit(None).cast("double").alias("bound"))
-    seeds = asked.groupBy("block").cogroup(front.groupBy("block")).applyInArrow(cell_search(k), HIT)
-    seeds = common.stage(seeds, "seeds")
+    front = dealt.where(F.col("bucket") == first).select("bucket", "row", "vec_id", "v", every_block)
+    asked = queries.withColumn("bucket", F.lit(first)).withColumn("bound", F.lit(None).cast("double"))
+    seeds = common.stage(in_cells(asked, front, k, width), "seeds")
     bounds = seeds.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("bound"))
 
     # the other buckets against the queries that can reach their bound there; the buckets' largest
@@ -178,9 +206,7 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     reach = F.col("bound").isNull() | (F.col("bound") <= 0) | (F.col("length") * F.col("most") >= F.col("bound") * (1 - SLACK))
     sent = bounded.join(others, "block").where(reach).select("block", "bucket", "row", "vec_id", "v", "bound")
     cells = sent.select("block", "bucket").distinct()
-    # new names for the same columns: both sides of the cogroup stem from one table
-    held = dealt.join(cells, "bucket").select(*[F.col(c).alias(c) for c in ("block", "bucket", "row", "vec_id", "v")])
-    hits = sent.groupBy("block", "bucket").cogroup(held.groupBy("block", "bucket")).applyInArrow(cell_search(k), HIT)
+    hits = in_cells(sent, dealt.join(cells, "bucket"), k, width)
     order = W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
     ranked = seeds.unionByName(hits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -132,7 +132,7 @@ def pagerank_inflow(state: DataFrame, cold_edges: DataFrame, hot_edges: DataFram
 
 
 def hub_split(e: DataFrame, state: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """The edges by source, persisted: ``cold`` ones hash-partitioned and sorted by source, ``hot`` ones (of
+    """The edges by source, persisted: ``cold`` ones hash-partitioned by source, ``hot`` ones (of
     sources with more than a partition's share of all edges) spread by both ends, and the hot sources,
     fewer than there are partitions by construction. ``hot`` and its sources are None if there are none."""
     spark = e.sparkSession
@@ -145,7 +145,7 @@ def hub_split(e: DataFrame, state: DataFrame, n_edges: int) -> tuple[DataFrame,
         cold = e.join(F.broadcast(hot_src), "src", "left_anti")
         hot = e.join(F.broadcast(hot_src), "src", "left_semi").repartition(parts, "src", "dst")
         hot = hot.persist(StorageLevel.MEMORY_AND_DISK)
-    cold = cold.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    cold = cold.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     return cold, hot, hot_src
 
 

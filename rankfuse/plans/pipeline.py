@@ -16,6 +16,7 @@ from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import graph as gr
 from ..operators import search as se
+from ..operators.matches import Matches
 from ..sources import io
 from ..sources import testdata as td
 from ..sources.stages import Stages
@@ -44,7 +45,8 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, alphas=BENCH_AL
                            n=N_QUERIES, words=N_WORDS, fraction=TOP_FRACTION, seed=SEED)
     results = stages.table("results", lambda: se.search_topk(queries, tfidf, SEARCH_TOP_N, SEARCH_ALPHA, SEARCH_BETA), ["queries", "index"],
                            n=SEARCH_TOP_N, alpha=SEARCH_ALPHA, beta=SEARCH_BETA)
-    matched = stages.table("matched", lambda: se.bm25_scores(queries, bm25), ["queries", "index"])
+    stages.key("matched", ["queries", "index"])  # a row for each query and document: never stored, scored where it is used
+    matched = Matches(queries, bm25)
     sweep = stages.table("alpha_sweep", lambda: en.top_for_all_alphas(matched, alphas, SWEEP_TOP_N), ["matched"], alphas=alphas, n=SWEEP_TOP_N)
     diffs = stages.table("alpha_differences", lambda: en.differences_for_all_alphas(matched, queries, alphas, SWEEP_TOP_N), ["matched", "queries"],
                          alphas=alphas, n=SWEEP_TOP_N)
@@ -54,6 +56,6 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, alphas=BENCH_AL
     built = spark.createDataFrame([(n,) for n in stages.built], "stage string").orderBy(F.col("stage"))
     return {
         "corpus": corpus, "edges": edges, "ranks": ranks, "titled_ranks": titled, "postings": bm25.postings, "tfidf_weights": tfidf.weights,
-        "queries": queries, "results": results, "matched": matched, "alpha_sweep": sweep, "alpha_differences": diffs, "difference_stats": diff_stats,
+        "queries": queries, "results": results, "matched": matched.frame(), "alpha_sweep": sweep, "alpha_differences": diffs, "difference_stats": diff_stats,
         "required_size": sizes, "required_size_stats": size_stats, "stages_built": built,
     }

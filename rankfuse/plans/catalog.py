@@ -121,7 +121,7 @@ def q_head_parquet(spark, d):
 
 def q_json_array_roundtrip(spark, d):
     path = io.scratch(spark, "corpus-array")
-    json_array.write_json_array(io.corpus_project(wl(spark, d).papers_with_refs()).coalesce(1), path)
+    json_array.write_json_array(io.corpus_project(wl(spark, d).papers_with_refs()), path)
     return _refs_text(json_array.read_json_array(spark, path, io.PAPER, SPLIT_BYTES))
 
 

@@ -88,3 +88,20 @@ def test_the_corpus_reader_takes_arrays(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"id": 1, "title": "a } b", "references": ["2"]}, {"id": 2, "title": "c"}], indent=4))
     got = io.read_corpus_json(spark, str(tmp_path / "c.json"), multiline=True)
     assert sorted(map(tuple, got.collect())) == [("1", "a } b", ["2"]), ("2", "c", None)]
+
+
+def test_the_registered_round_trip_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from rankfuse.plans import catalog
+
+    spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(60).selectExpr("id as l_orderkey", "id % 7 as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(catalog.io, "scratch", lambda _, name: str(tmp_path / name))
+    monkeypatch.setitem(catalog.__dict__, "_WL", [])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalog.q_json_array_roundtrip(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got)) == sorted((str(k), f"text {k}", str(k % 7)) for k in range(40))
+    files = [f for f in (tmp_path / "corpus-array").glob("part-*") if f.read_text().strip()]
+    assert len(files) > 1 and all(f.read_text().startswith("[") and f.read_text().strip().endswith("]") for f in files)

@@ -8,7 +8,7 @@
 3. An old shard is a line of bytes in its stored order. Each document goes with the block that
    its middle lies in, so blocks are contiguous runs and a shard misses its capacity by half a
    document for each of its blocks at most.
-4. ``rewrite`` writes only the shards that changed.
+4. ``rewrite`` writes only the shards that changed. ``digests`` describes the rows as they lie in the shards then.
 
 An old shard that holds a third of all rows is summed in runs of ``RUN_ROWS`` rows
 (``common.prefix_sums``): no window sees a whole shard.
@@ -20,7 +20,9 @@ empty results. Extra columns are kept by ``rewrite``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, flow
@@ -65,16 +67,15 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def digests(docs: DataFrame, shards: int) -> DataFrame:
-    """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; ``docs`` is read from files."""
+    """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; ``docs`` is read from files.
+
+    The shards are written, and what is told of a document is read from the shard that it lies in now."""
+    path = f"{common.scratch_root(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    _, rows = reshard(docs.select("doc_id", "text"), path, shards)
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = layout(docs).select(
-        "doc_id", "old", "at", (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-    )
-    out = assign(common.stage(rows, "shard-rows"), shards)
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    return rows.select(
+        "doc_id", (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
@@ -82,14 +83,32 @@ def rewrite(docs: DataFrame, path: str, shards: int, text: str = "text") -> list
     """Write the shards whose rows differ from the old file of the same number, as
     ``path/shard=N``; returns their numbers. A file none of whose rows leave and that none
     enter keeps its place and is not written again."""
+    return reshard(docs, path, shards, text)[0]
+
+
+def reshard(docs: DataFrame, path: str, shards: int, text: str = "text") -> tuple[list[int], DataFrame]:
+    """``rewrite``, and the rows of all shards with ``shard`` and ``slot``: those of written shards from ``path``, those
+    of the others from the old files."""
     old, at, size = common.fresh(docs, "old", "at", "size")
     rows = docs.select("*", F.col("_metadata.file_path").alias(old), F.col("_metadata.row_index").alias(at))
     sized = rows.select(F.col(old).alias("old"), F.col(at).alias("at"), (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + ROW_BYTES).cast("long").alias("size"))
     plan = common.stage(assign(common.stage(sized, "shard-rows"), shards), "shard-plan")
     moved = plan.where("moved").select(F.explode(F.array("shard", "old_index")).alias("shard")).where(F.col("shard") < shards).distinct()
     affected = sorted(r.shard for r in moved.collect())
-    to = plan.where(F.col("shard").isin(affected)).select(F.col("old").alias(old), F.col("at").alias(at), F.col("shard").alias("shard"), "slot")
+    runs = plan.groupBy("old", "shard").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("slot").alias("from"))
     keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    out = rows.select(*keep, old, at).join(to, [old, at]).drop(old, at)
+
+    def placed(of: Column) -> DataFrame:
+        """The rows of some shards: a file's block for a shard is a run of its rows, so blocks are sent and not rows."""
+        r = F.broadcast(runs.where(of)).alias("r")
+        within = (F.col(f"d.{old}") == F.col("r.old")) & F.col(f"d.{at}").between(F.col("r.first"), F.col("r.last"))
+        slot = (F.col("r.from") + F.col(f"d.{at}") - F.col("r.first")).alias("slot")
+        return rows.select(*keep, old, at).alias("d").join(r, within).select(*[F.col(f"d.`{c}`") for c in keep], F.col("r.shard").alias("shard"), slot)
+
+    written = F.col("shard").isin(affected)
+    out = placed(written)
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return affected
+    back = docs.sparkSession.read.schema(out.schema).parquet(path).select(*keep, "shard", "slot")
+    if set(affected) == set(range(shards)):
+        return affected, back
+    return affected, back.unionByName(placed(~written))

@@ -102,3 +102,23 @@ def test_rewrite_writes_changed_shards_only(spark, tmp_path):
     assert back.count() == 60 and {r["count"] for r in back.groupBy("shard").count().collect()} == {15}
     same = spark.read.parquet(*[str(old / f"part={k}") for k in (0, 1, 3)])
     assert sharding.rewrite(same, str(tmp_path / "none"), 3) == []
+
+
+def test_digests_are_of_written_shards(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, "x" * (k % 50)) for k in range(500)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(sharding.common, "scratch_root", lambda _: str(tmp_path / "scratch"))
+    got = sharding.digests(spark.read.parquet(str(tmp_path / "d")), 6).collect()
+    (path,) = (tmp_path / "scratch").glob("shards-*")
+    files = spark.read.parquet(str(path)).collect()
+    assert sorted((r.doc_id, len(r.text) + 16, r.shard, r.slot) for r in files) == sorted((r.doc_id, r["size"], r.shard, r.slot) for r in got)
+    assert len({r.shard for r in files}) == 6
+
+
+def test_shards_that_stay_are_read_where_they_are(spark, tmp_path):
+    for k, n in enumerate((10, 10, 12, 8)):
+        spark.createDataFrame([(100 * k + i, "abcd") for i in range(n)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / f"old/part={k}"))
+    docs = spark.read.parquet(*[str(tmp_path / f"old/part={k}") for k in range(4)])
+    affected, rows = sharding.reshard(docs, str(tmp_path / "new"), 4)
+    assert affected == [2, 3] and {r.shard for r in spark.read.parquet(str(tmp_path / "new")).collect()} == {2, 3}
+    assert sorted(r.doc_id for r in rows.collect()) == sorted(r.doc_id for r in docs.collect())
+    assert {(r.shard, r["count"]) for r in rows.groupBy("shard").count().collect()} == {(k, 10) for k in range(4)}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,12 +41,25 @@ def _analyzed_rows(df: DataFrame, key: str, text: str, analyzer) -> DataFrame:
     return df.select(key, F.explode(analyzer(F.col(text))).alias("term"))
 
 
-def doc_terms(docs: DataFrame, id_col: str = "id", text_col: str = "title", analyzer=analyze) -> DataFrame:
+#: Text of one task of a count, and index rows of one task, about: what is counted or sorted stays in memory.
+TASK_TEXT, TASK_ROWS = 16 << 20, 2_000_000
+#: Terms that may be broadcast (a word and two numbers each): some 50 MB.
+SMALL_TERMS = 500_000
+
+
+def text_parts(docs: DataFrame, text_col: str = "title") -> int:
+    """How many tasks the texts of ``docs`` are worth."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // TASK_TEXT))
+
+
+def doc_terms(docs: DataFrame, id_col: str = "id", text_col: str = "title", analyzer=analyze, parts: int | None = None) -> DataFrame:
     """``(id, term, tf)``: raw term counts per document.
 
     The texts are dealt by id, which is less to move than their counts, and all tasks tokenise
-    whatever the files' cut; counting needs no further shuffle, as a document's rows are together."""
-    store = _store(docs, id_col, text_col).repartition(shuffle_partitions(docs.sparkSession), "id")
+    whatever the files' cut; counting needs no further shuffle, as a document's rows are together.
+    ``parts``: the number of tasks (``text_parts``, so that none counts more the larger the corpus is)."""
+    store = _store(docs, id_col, text_col).repartition(parts or shuffle_partitions(docs.sparkSession), "id")
     return _analyzed_rows(store, "id", "text", analyzer).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -69,16 +83,18 @@ def frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _kept(df: DataFrame, store: str | None, name: str, *order: str, key: str | None = None) -> DataFrame:
+def _kept(df: DataFrame, store: str | None, name: str, *order: str, key: str | None = None, parts: tuple[int, ...] = (),
+          then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``df``, or with a ``store`` its table there, written once for each ``key`` and sorted by ``order`` so
     that a lookup on the first of them reads only the row groups that can hold it. Ranges are cut
-    by all of ``order``: one hot term's postings are spread over several files by their ids."""
+    by all of ``order``: one hot term's postings are spread over several files by their ids. ``parts``: the
+    number of ranges. ``then``: what is done to the rows after they have moved."""
     if store is None:
-        return df
+        return then(df)
     if order:
-        ready = lambda: df.repartitionByRange(*order).sortWithinPartitions(*order)
+        ready = lambda: then(df.repartitionByRange(*parts, *order).sortWithinPartitions(*order))
     else:
-        ready = lambda: df
+        ready = lambda: then(df)
     return stage_once(df.sparkSession, _at(store, name), ready, key=key)
 
 
@@ -100,6 +116,17 @@ class Counts:
     def vocabulary(self, idf=idf_smooth) -> DataFrame:
         return self.df.select("term", "df", idf(F.col("df"), self.n_docs).alias("idf"))
 
+    @property
+    def parts(self) -> tuple[int, ...]:
+        """The number of tasks for all postings, if there are so many that the session's own would be too few."""
+        n = -(-self.total_len // TASK_ROWS)
+        return (n,) if n > shuffle_partitions(self.df.sparkSession) else ()
+
+    @property
+    def few_terms(self) -> bool:
+        """Whether the vocabulary of a stored index may be broadcast: postings needn't move to meet it then."""
+        return self.hot is not None and self.df.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS
+
     @property
     def avg_len(self) -> float:
         return self.total_len / self.n_docs if self.n_docs else 0.0
@@ -114,7 +141,8 @@ def document_lengths(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def count_terms(docs: DataFrame, id_col: str = "id", text_col: str = "title", store: str | None = None, key: str | None = None) -> Counts:
     """Term counts, document frequencies, lengths. With a store they are tables there, which the
     indexes in that folder share, and the hot terms are known."""
-    terms = _kept(doc_terms(docs, id_col, text_col), store, "terms", key=key)
+    parts = text_parts(docs, text_col) if store is not None else None
+    terms = _kept(doc_terms(docs, id_col, text_col, parts=parts), store, "terms", key=key)
     df = _kept(frequencies(terms), store, "frequencies", "term", key=key)
     lengths = _kept(document_lengths(_store(docs, id_col, text_col), terms), store, "lengths", key=key)
     n, total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
@@ -147,17 +175,25 @@ class TfidfIndex:
     hot: DataFrame | None = None  # term, salts of the terms that many documents have
 
 
-def tfidf_weights(terms: DataFrame, vocab: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    return spread_join(terms, vocab.select("term", "idf"), "term", hot, "id").select(
-        "id", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("weight")
-    )
+def with_idf(rows: DataFrame, vocab: DataFrame, hot: DataFrame | None = None, few: bool = False) -> DataFrame:
+    known = vocab.select("term", "idf")
+    return rows.join(F.broadcast(known), "term") if few else spread_join(rows, known, "term", hot, "id")
+
+
+def tfidf_weights(terms: DataFrame, vocab: DataFrame, hot: DataFrame | None = None, few: bool = False) -> DataFrame:
+    return with_idf(terms, vocab, hot, few).select("id", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def tfidf_from(counts: Counts, ranks: DataFrame | None = None, store: str | None = None, key: str | None = None) -> TfidfIndex:
     """Weights, norms and postings. All rows of a document meet once, by its id: there its rank is
     joined and its norm is summed (a window over its terms), and nothing is shuffled by id again."""
-    vocab = counts.vocabulary()
-    own = tfidf_weights(counts.terms, vocab, counts.hot).repartition("id")
+    vocab, few, parts = counts.vocabulary(), counts.few_terms, counts.parts
+    if few:  # only the counts move, by document
+        own = tfidf_weights(counts.terms.select("id", "term", "tf").repartition(*parts, "id"), vocab, few=True)
+    else:
+        own = tfidf_weights(counts.terms, vocab, counts.hot).repartition(*parts, "id")
+    if parts and ranks is not None:
+        ranks = ranks.repartition(*parts, "id")
     squares = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id"))
     weights = _with_ranks(own, ranks).withColumn("norm", F.sqrt(squares))
     if store is not None:
@@ -169,7 +205,7 @@ def tfidf_from(counts: Counts, ranks: DataFrame | None = None, store: str | None
         # every word of a document may be in all documents: all its weights, and its norm, are 0
         "term", "id", F.when(F.col("norm") > 0, F.col("weight") / F.col("norm")).otherwise(F.lit(0.0)).alias("nw"), "pr"
     )
-    postings = _kept(postings, store, "postings", "term", "id", key=key)
+    postings = _kept(postings, store, "postings", "term", "id", key=key, parts=parts)
     return TfidfIndex(counts.terms, vocab, weights.select("id", "term", "tf", "idf", "weight"), docs.select("id", "norm"), postings,
                       docs.select("id", "pr"), counts.n_docs, counts.hot)
 
@@ -277,11 +313,16 @@ def bm25_from(counts: Counts, ranks: DataFrame | None = None, k1: float = BM25_K
     if store is not None:
         lens, columns = with_blocks(lens), [*columns, "block"]
     w = bm25_weight(F.col("tf"), F.col("idf"), F.col("doc_len"), counts.avg_len, k1, b)
-    known = spread_join(counts.terms, vocab.select("term", "idf"), "term", counts.hot, "id")
-    postings = _kept(known.join(lens, "id").withColumn("w", w).select(*columns), store, "postings-bm25", "term", "id", key=key)
+    parts, few = counts.parts, counts.few_terms
+    known = counts.terms.select("id", "term", "tf") if few else with_idf(counts.terms, vocab, counts.hot)
+    if parts:
+        known, lens = known.repartition(*parts, "id"), lens.repartition(*parts, "id")
+    postings = _kept(known.join(lens, "id"), store, "postings-bm25", "term", "id", key=key, parts=parts, then=lambda df: (
+        with_idf(df, vocab, few=True) if few else df).withColumn("w", w).select(*columns))
     blocks = None
     if store is not None:
-        blocks = _kept(block_bounds(postings), store, "blocks-bm25", "term", "block", key=key)
+        together = postings.select("term", "block", "w", "pr").repartitionByRange(*parts, "term", "block")  # groups meet where they are written
+        blocks = _kept(block_bounds(together).sortWithinPartitions("term", "block"), store, "blocks-bm25", key=key)
     return Bm25Index(postings, vocab, counts.lengths, counts.n_docs, counts.avg_len, counts.terms, counts.hot, blocks)
 
 

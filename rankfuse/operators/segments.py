@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_path, file_system, read_file, shuffle_partitions, write_file
-from .features import (Bm25Index, Counts, TfidfIndex, _store, analyzer_id, bm25_from, doc_terms, document_lengths, frequencies, tfidf_from)
+from .features import (TASK_ROWS, Bm25Index, Counts, TfidfIndex, _store, analyzer_id, bm25_from, doc_terms, document_lengths, frequencies, text_parts,
+                       tfidf_from)
 from .ordering import hot_keys
 
 EMPTY = {"version": 0, "segments": [], "dead": [], "changes": [], "n_docs": 0, "total_len": 0}
@@ -76,7 +77,13 @@ class SegmentedIndex:
         return self._all("dead", self.facts["dead"], DEAD)
 
     def _living(self, kind: str, schema: str) -> DataFrame:
-        return self._all(kind, self.facts["segments"], schema).join(self._dead(), ["segment", "id"], "left_anti")
+        both = ["segment", "id"]
+        return self._dealt(self._all(kind, self.facts["segments"], schema), both).join(self._dealt(self._dead(), both), both, "left_anti")
+
+    def _dealt(self, df: DataFrame, by: list[str]) -> DataFrame:
+        """``df`` in as many tasks as the index is worth, if the session's own would be too few."""
+        parts = -(-self.facts["total_len"] // TASK_ROWS)
+        return df.repartition(parts, *by) if parts > shuffle_partitions(self.spark) else df
 
     def terms(self) -> DataFrame:
         """``(id, term, tf)`` of the living documents."""
@@ -98,7 +105,9 @@ class SegmentedIndex:
         return self._living("lengths", LENGTHS).join(ids.select("id"), "id", "left_semi").select("segment", "id", "doc_len")
 
     def _change(self, dead: DataFrame, new_terms: DataFrame | None) -> DataFrame:
-        gone = self._all("terms", self.facts["segments"], TERMS).join(dead.select("segment", "id"), ["segment", "id"], "left_semi")
+        both = ["segment", "id"]
+        terms, killed = self._dealt(self._all("terms", self.facts["segments"], TERMS), both), self._dealt(dead.select(*both), both)
+        gone = terms.join(killed, both, "left_semi")
         parts = [frequencies(gone).select("term", (-F.col("df")).alias("ddf"))]
         if new_terms is not None:
             parts.append(frequencies(new_terms).select("term", F.col("df").alias("ddf")))
@@ -108,9 +117,10 @@ class SegmentedIndex:
     def upsert(self, docs: DataFrame, id_col: str = "id", text_col: str = "title") -> None:
         """Add documents; those whose ids are there already replace them. Rows without id or text are
         ignored; of several texts of one id in a batch the last in their own order counts."""
-        batch = _store(docs, id_col, text_col).groupBy("id").agg(F.max("text").alias("text"))
+        parts = text_parts(docs, text_col)
+        batch = _store(docs, id_col, text_col).repartition(parts, "id").groupBy("id").agg(F.max("text").alias("text"))
         name = uuid.uuid4().hex
-        counted = doc_terms(batch, "id", "text")
+        counted = doc_terms(batch, "id", "text", parts=parts)
         counted.select(F.lit(name).alias("segment"), "id", "term", "tf").write.parquet(f"{self.path}/terms/{name}")
         terms = self._all("terms", [name], TERMS)
         lengths = document_lengths(batch, terms)

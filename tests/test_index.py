@@ -219,3 +219,20 @@ def test_of_two_writers_one_fails(spark, tmp_path):
     again = SegmentedIndex(spark, path)
     again.upsert(frame(spark, [("b", "blue")]))
     assert rows_of(again.terms()) == [("a", "red", 1), ("b", "blue", 1)]
+
+
+def test_large_corpora_get_more_tasks_and_equal_tables(spark, papers, ranks, tmp_path, monkeypatch):
+    """Work per task is bounded by counted rows and text, whatever the session's number of partitions."""
+    docs, pr = papers, ranks
+    plain = fe.build_bm25(docs, pr, store=str(tmp_path / "a")), fe.build_tfidf(docs, pr, store=str(tmp_path / "a"))
+    monkeypatch.setattr(fe, "TASK_TEXT", 3000)
+    monkeypatch.setattr(fe, "TASK_ROWS", 1000)
+    for small in (True, False):
+        monkeypatch.setattr(fe, "SMALL_TERMS", 500_000 if small else 0)
+        path = str(tmp_path / f"b{small}")
+        bm, tf = fe.build_bm25(docs, pr, store=path), fe.build_tfidf(docs, pr, store=path)
+        assert fe.text_parts(docs) > 8 and len(glob.glob(f"{path}/terms/*.parquet")) > 8
+        for name in ("postings", "blocks", "vocab", "doc_len", "terms"):
+            assert rows_of(getattr(bm, name)) == rows_of(getattr(plain[0], name))
+        for name in ("weights", "norms", "postings", "docs"):
+            assert rows_of(getattr(tf, name)) == rows_of(getattr(plain[1], name))

@@ -172,3 +172,59 @@ def test_held_out_recall_on_the_given_table(spark):
     for net in S.learn(found):
         assert net.report["recall"] >= 0.95 and net.report["false_alarms"] <= 0.01
         assert set(net.thresholds) == {"assign", "access", "hex"}
+
+
+def labelled_texts():
+    """Texts with more candidates of each label than the learner once drew."""
+    rnd = random.Random(11)
+    draw = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    out = [(k, f"see {draw(string.ascii_lowercase, 6)}-{draw(string.digits, 9)} and user{k}@mail{k % 7}.example.org") for k in range(2600)]
+    return out + [(9000 + k, f"x token = '{draw('0123456789abcdef', 40)}' y") for k in range(1300)] + [(99000, "see a1" + "x7" * 1000)]
+
+
+def test_learns_from_every_candidate(spark, monkeypatch):
+    """All different candidates of any length are learned from, in parts or as a whole."""
+    found = S.candidates(spark.createDataFrame(labelled_texts(), "doc_id long, text string")).cache()
+    rows = S.labelled(found)
+    assert {r["secret"]: r["count"] for r in rows.groupBy("secret").count().collect()} == {True: 1300, False: 5201}
+    monkeypatch.setattr(S, "PART_ROWS", 1500)
+    parts, counts = S.dealt(rows.where("fold > 1"))
+    got = {(r["net"], r["value"]) for r in parts.collect()}
+    assert got == {(r["net"], r["value"]) for r in rows.where("fold > 1").collect()} and min(counts.values()) > 1
+    own = parts.groupBy("net", "part").agg({"part": "count"}).collect()
+    assert len(own) == sum(counts.values())
+    nets = S.learn(found)
+    for net in nets:
+        assert net.report["recall"] >= 0.9 and net.report["false_alarms"] <= 0.05
+    again = S.learn(found)
+    assert all(np.array_equal(a, b) for x, y in zip(nets, again) for a, b in zip(x.weights(), y.weights()))
+    found.unpersist()
+
+
+def test_every_row_of_a_part_is_taught():
+    labels = np.array([0.0] * 700 + [1.0] * 9)
+    seen = np.concatenate(list(S.batches_of(labels, 3, np.random.default_rng(1))))
+    assert set(seen) == set(range(709))
+
+
+def test_calibration_of_a_table_equals_that_of_rows(spark):
+    net = S.Net.fresh()
+    secrets = [("token = ", f"{k * 7919:040x}", "") for k in range(300)] + [("", f"AKIA{k:016d}", "") for k in range(60)]
+    others = [("see ", f"house{k}-garden", "") for k in range(500)]
+    S.taught(net, [r for r in secrets + others], np.array([1.0] * 360 + [0.0] * 500), 0)
+    plain = S.Net(*[w.copy() for w in net.weights()])
+    S.calibrate(plain, [(r, 1, 0) for s in secrets for r in S.shown(True, s)] + [(r, 0, 0) for r in others])
+    table = spark.createDataFrame([(0, 0, y, *r) for y, rows in ((True, secrets), (False, others)) for r in rows],
+                                  "net int, fold int, secret boolean, left string, value string, right string")
+    S.calibrated({0: net}, S.logits(table, {0: net}))
+    assert net.slope != 1 and np.allclose([net.slope, net.offset], [plain.slope, plain.offset], rtol=1e-3, atol=1e-3)
+    assert set(net.thresholds) == set(plain.thresholds)
+    assert all(abs(net.thresholds[k] - plain.thresholds[k]) < 1e-3 for k in net.thresholds)
+
+
+def test_gradients_read_long_rows_in_blocks(monkeypatch):
+    net, labels = S.Net.fresh(), np.array([1.0, 0.0, 1.0, 0.0])
+    whole = net.gradients(ROWS, labels)
+    monkeypatch.setattr(S, "BLOCK", 7)
+    blocks = net.gradients(ROWS, labels)
+    assert np.isclose(whole[0], blocks[0]) and all(np.allclose(a, b) for a, b in zip(whole[1], blocks[1]))

@@ -48,6 +48,7 @@ class Scores:
     pr: np.ndarray
     lex: np.ndarray
     hit: np.ndarray
+    held: np.ndarray  # words times documents
 
 
 def asked(rows: list[tuple[str, str, int]]) -> Asked:
@@ -74,23 +75,21 @@ def score(ask: Asked, ids: pa.Array, doc: np.ndarray, word: np.ndarray, w: np.nd
     for queries, words, times in ask.slots:
         lex[queries] += weight[words] * times[:, None]
         hit[queries] |= held[words]
-    return Scores(ids, rank, lex, hit)
+    return Scores(ids, rank, lex, hit, held)
 
 
-def scored_parts(batches: Iterator[pa.RecordBatch], ask: Asked) -> Iterator[Scores]:
-    """The documents of postings that are sorted by id, some at a time."""
-    docs = max(1, min(DOCS, CELLS // max(1, len(ask.words), len(ask.names))))
+def tables_by(batches: Iterator[pa.RecordBatch], key: str, many: int) -> Iterator[pa.Table]:
+    """Rows that are sorted by ``key``, ``many`` keys at a time (the last: fewer), each with all its rows."""
 
-    def parts(table: pa.Table, last: bool) -> Iterator[Scores | pa.Table]:
-        coded = pc.dictionary_encode(table.column("id").combine_chunks())
-        code, ids = coded.indices.to_numpy(), coded.dictionary
-        word, w, pr = (table.column(c).to_numpy() for c in ("word", "w", "pr"))
-        whole = len(ids) if last else len(ids) - 1  # the last document may go on in the next batch
+    def cut(table: pa.Table, last: bool) -> Iterator[pa.Table]:
+        coded = pc.dictionary_encode(table.column(key).combine_chunks())
+        code, n = coded.indices.to_numpy(), len(coded.dictionary)
+        whole = n if last else n - 1  # the last key may go on in the next batch
         lo = 0
-        while lo < whole and (last or whole - lo >= docs):
-            up = min(lo + docs, whole)
+        while lo < whole and (last or whole - lo >= many):
+            up = min(lo + many, whole)
             a, b = np.searchsorted(code, [lo, up])
-            yield score(ask, ids.slice(lo, up - lo), code[a:b] - lo, word[a:b], w[a:b], pr[a:b])
+            yield table.slice(a, b - a)
             lo = up
         yield table.slice(int(np.searchsorted(code, lo)))
 
@@ -98,12 +97,20 @@ def scored_parts(batches: Iterator[pa.RecordBatch], ask: Asked) -> Iterator[Scor
     for batch in batches:
         rest.append(pa.Table.from_batches([batch]))
         rows += batch.num_rows
-        if rows >= docs:
-            *done, left = parts(pa.concat_tables(rest), False)
+        if rows >= many:
+            *done, left = cut(pa.concat_tables(rest), False)
             yield from done
             rest, rows = [left], 0
     if rest:
-        yield from list(parts(pa.concat_tables(rest), True))[:-1]
+        yield from list(cut(pa.concat_tables(rest), True))[:-1]
+
+
+def scored_parts(batches: Iterator[pa.RecordBatch], ask: Asked) -> Iterator[Scores]:
+    """The documents of postings that are sorted by id, some at a time."""
+    for table in tables_by(batches, "id", max(1, min(DOCS, CELLS // max(1, len(ask.words), len(ask.names))))):
+        coded = pc.dictionary_encode(table.column("id").combine_chunks())
+        word, w, pr = (table.column(c).to_numpy() for c in ("word", "w", "pr"))
+        yield score(ask, coded.dictionary, coded.indices.to_numpy(), word, w, pr)
 
 
 class Matches:
@@ -122,12 +129,78 @@ class Matches:
     def frame(self) -> DataFrame:
         return bm25_scores(self.queries, self.index)
 
-    def run(self, kernel: Callable[[Iterator[Scores], Asked], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-        """``kernel`` in each task, on the scores of all its documents."""
-        spark, ask = self.queries.sparkSession, self.ask
-        words = F.broadcast(spark.createDataFrame([(t, i) for i, t in enumerate(ask.words)], "term string, word int"))
-        total = self.index.vocab.join(words, "term").agg(F.sum("df")).first()[0] or 0
-        n = max(shuffle_partitions(spark), -(-int(total) // TASK_ROWS))
-        rows = self.index.postings.join(words, "term").select("id", "word", "w", "pr").repartition(n, "id").sortWithinPartitions("id")
-        sent = spark.sparkContext.broadcast(ask)
+    def words(self) -> DataFrame:
+        words = self.queries.sparkSession.createDataFrame([(t, i) for i, t in enumerate(self.ask.words)], "term string, word int")
+        return F.broadcast(words)
+
+    def tasks(self) -> int:
+        """How many tasks all postings of the queries' words are worth."""
+        total = self.index.vocab.join(self.words(), "term").agg(F.sum("df")).first()[0] or 0
+        return max(shuffle_partitions(self.queries.sparkSession), -(-int(total) // TASK_ROWS))
+
+    def run(self, kernel: Callable[[Iterator[Scores], Asked], Iterator[pa.RecordBatch]], schema: str, postings: DataFrame | None = None) -> DataFrame:
+        """``kernel`` in each task, on the scores of all its documents. ``postings`` (``term, id, w, pr``) stand for
+        the index's own; their ids may be blocks."""
+        rows = (self.index.postings if postings is None else postings).join(self.words(), "term").select("id", "word", "w", "pr")
+        rows = rows.repartition(self.tasks(), "id").sortWithinPartitions("id")
+        sent = self.queries.sparkSession.sparkContext.broadcast(self.ask)
         return rows.mapInArrow(lambda batches: kernel(scored_parts(batches, sent.value), sent.value), schema)
+
+
+# --- kernels of searches by block bounds ------------------------------------------------------------
+
+def leading(alpha: float, first: int) -> Callable[[Iterator[Scores], Asked], Iterator[pa.RecordBatch]]:
+    """``query_id, block, bound``: a task's ``first`` blocks of each query by their bounds."""
+
+    def kernel(parts: Iterator[Scores], ask: Asked) -> Iterator[pa.RecordBatch]:
+        best, block = np.full((len(ask.names), first), -np.inf), np.zeros((len(ask.names), first), np.int64)
+        for part in parts:
+            ids = np.asarray(part.ids)
+            bound = np.where(part.hit, alpha * part.lex + (1.0 - alpha) * part.pr, -np.inf)
+            best = np.concatenate([best, bound], 1)
+            block = np.concatenate([block, np.broadcast_to(ids, bound.shape)], 1)
+            take = np.argpartition(-best, first - 1, axis=1)[:, :first]
+            best, block = np.take_along_axis(best, take, 1), np.take_along_axis(block, take, 1)
+        q, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array([ask.names[i] for i in q], pa.string()), pa.array(block[q, at]), pa.array(best[q, at])], names=["query_id", "block", "bound"])
+
+    return kernel
+
+
+def reaching(alpha: float, needed: np.ndarray) -> Callable[[Iterator[Scores], Asked], Iterator[pa.RecordBatch]]:
+    """``term, block``: words of queries in the blocks whose bound reaches what the query needs."""
+
+    def kernel(parts: Iterator[Scores], ask: Asked) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids = np.asarray(part.ids)
+            open_ = part.hit & (alpha * part.lex + (1.0 - alpha) * part.pr >= needed[:, None])
+            alive = np.zeros(part.held.shape, bool)
+            for queries, words, _ in ask.slots:
+                np.logical_or.at(alive, words, open_[queries])
+            w, b = np.nonzero(alive & part.held)
+            yield pa.RecordBatch.from_arrays([pa.array([ask.words[i] for i in w], pa.string()), pa.array(ids[b])], names=["term", "block"])
+
+    return kernel
+
+
+def topmost(alpha: float, needed: np.ndarray, n: int, slack: float) -> Callable[[Iterator[Scores], Asked], Iterator[pa.RecordBatch]]:
+    """``query_id, id, lex, pr``: documents that score what the query needs, and what the task's ``n`` best so far do."""
+
+    def kernel(parts: Iterator[Scores], ask: Asked) -> Iterator[pa.RecordBatch]:
+        best, limit = np.full((len(ask.names), n), -np.inf), needed.copy()
+        for part in parts:
+            score_ = np.where(part.hit, alpha * part.lex + (1.0 - alpha) * part.pr, -np.inf)
+            stay = part.hit & (score_ >= limit[:, None])
+            some = np.flatnonzero(stay.any(1))
+            if len(some):
+                both = np.concatenate([best[some], score_[some]], 1)
+                best[some] = -np.partition(-both, n - 1, axis=1)[:, :n]
+                least = best[some].min(1)
+                known = np.isfinite(least)
+                limit[some[known]] = np.maximum(limit[some[known]], least[known] - np.abs(least[known]) * slack)
+                stay &= score_ >= limit[:, None]
+            q, d = np.nonzero(stay)
+            yield pa.RecordBatch.from_arrays([pa.array([ask.names[i] for i in q], pa.string()), part.ids.take(pa.array(d)), pa.array(part.lex[q, d]), pa.array(part.pr[d])],
+                                             names=["query_id", "id", "lex", "pr"])
+
+    return kernel

@@ -16,7 +16,7 @@ scores of any magnitude keep their order.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import TYPE_CHECKING, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,9 @@ from ..sources.io import stage
 from .features import BLOCK_DOCS, Bm25Index, TfidfIndex, query_terms, query_weights
 from .ordering import significant, spread_join, topn_per_group
 
+if TYPE_CHECKING:
+    from .matches import Matches
+
 
 def score_key(col: str | Column = "score") -> Column:
     """Order key of a score, relative to its own magnitude (see ``ordering.significant``)."""
@@ -44,9 +47,9 @@ def hybrid_score(lex: Column, pr: Column, alpha: float, beta: float) -> Column:
 def cosine_contribs(queries: DataFrame, index: TfidfIndex) -> DataFrame:
     """``(query_id, id, c, pr)``: one row per shared (query, document, term)."""
     q = query_weights(queries, index)
-    return spread_join(index.postings, q, "term", index.hot, "id").select(
-        "query_id", "id", (F.col("qnw") * F.col("nw")).alias("c"), "pr"
-    )
+    few = broadcast_small(q)  # then the postings needn't move to meet the queries' words
+    both = spread_join(index.postings, q, "term", index.hot, "id") if few is q else index.postings.join(few, "term")
+    return both.select("query_id", "id", (F.col("qnw") * F.col("nw")).alias("c"), "pr")
 
 
 def cosine_scores(queries: DataFrame, index: TfidfIndex) -> DataFrame:
@@ -170,16 +173,16 @@ def cell_bounds(queries: DataFrame, index: Bm25Index, alpha: float) -> DataFrame
     return cells.select("query_id", "block", blend(F.col("lex"), F.col("pr"), alpha).alias("bound"), "n")
 
 
-def _cell_parts(queries: DataFrame, index: Bm25Index, cells: DataFrame) -> DataFrame:
+def _cell_parts(queries: DataFrame, index: Bm25Index, cells: DataFrame, few: bool = False) -> DataFrame:
     """``(query_id, id, lex, pr)`` of the documents in these (query, block) cells."""
     wanted = query_terms(queries).join(cells.select("query_id", "block"), "query_id")
-    found = index.postings.join(wanted, ["term", "block"])
+    found = index.postings.join(broadcast_small(wanted) if few else wanted, ["term", "block"])
     return found.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("lex"), F.max("pr").alias("pr"))
 
 
-def _cell_scores(queries: DataFrame, index: Bm25Index, cells: DataFrame, alpha: float) -> DataFrame:
+def _cell_scores(queries: DataFrame, index: Bm25Index, cells: DataFrame, alpha: float, few: bool = False) -> DataFrame:
     """``_cell_parts`` with their ``score``."""
-    return _cell_parts(queries, index, cells).withColumn("score", blend(F.col("lex"), F.col("pr"), alpha))
+    return _cell_parts(queries, index, cells, few).withColumn("score", blend(F.col("lex"), F.col("pr"), alpha))
 
 
 @dataclass
@@ -197,12 +200,21 @@ def pruned_topk(queries: DataFrame, index: Bm25Index, alpha: float = 0.5, n: int
     of every query term and its largest rank. The blocks with the highest bounds are scored first;
     the n-th best score found there is what any other document needs, so of the other blocks only
     those are scored whose bound reaches it. Exact; ``alpha`` must be in 0 to 1.
+
+    Bounds are computed where the blocks are, for all queries at once (``matches``): no row for each query and
+    block is shuffled or written (``cells`` makes them only for who reads it). Postings move if their word and
+    block can reach the top of a query, and each task gives back what can be among the best.
     """
+    from .matches import Matches  # which needs this module
+
     if index.blocks is None:
         raise ValueError("this index has no block bounds: build it with a store")
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be in 0 to 1")
     first = 4 + FIRST_BLOCKS * -(-n // BLOCK_DOCS)
+    found = Matches(queries, index)
+    if found.small and n > 0:
+        return _pruned_in_tasks(found, alpha, n, first)
     cells = stage(cell_bounds(queries, index, alpha), "cells")
     order = [F.col("bound").desc(), F.col("block").asc()]
     leading = topn_per_group(cells, ["query_id"], order, first).select("query_id", "block", F.lit(True).alias("leads"))
@@ -217,6 +229,33 @@ def pruned_topk(queries: DataFrame, index: Bm25Index, alpha: float = 0.5, n: int
     return PrunedSearch(top.select("query_id", F.col("pos").cast("long").alias("pos"), "id", "score", "lex", "pr"), told.drop("leads"))
 
 
+def _pruned_in_tasks(found: Matches, alpha: float, n: int, first: int) -> PrunedSearch:
+    """``pruned_topk`` of queries whose words go to the tasks."""
+    import numpy as np
+
+    from .matches import leading, reaching, topmost
+
+    queries, index, names = found.queries, found.index, found.ask.names
+    bounds = index.blocks.select("term", F.col("block").alias("id"), F.col("top_w").alias("w"), F.col("top_pr").alias("pr"))
+    best = found.run(leading(alpha, first), "query_id string, block long, bound double", bounds)
+    leads = stage(topn_per_group(best, ["query_id"], [F.col("bound").desc(), F.col("block").asc()], first).select("query_id", "block"), "leading-cells")
+    early = _cell_scores(queries, index, leads, alpha, few=True)
+    needs = topn_per_group(early, ["query_id"], result_order(), n).where(F.col("pos") == n).select("query_id", F.col("score").alias("needed")).collect()
+    known = {r["query_id"]: r["needed"] - abs(r["needed"]) * BOUND_SLACK for r in needs}
+    needed = np.array([known.get(q, -np.inf) for q in names])
+    wanted = stage(found.run(reaching(alpha, needed), "term string, block long", bounds), "wanted-blocks")
+    few = broadcast_small(wanted)
+    postings = index.postings if few is wanted else index.postings.join(few, ["term", "block"], "left_semi")
+    scored = found.run(topmost(alpha, needed, n, BOUND_SLACK), "query_id string, id string, lex double, pr double", postings)
+    scored = scored.withColumn("score", blend(F.col("lex"), F.col("pr"), alpha))
+    top = topn_per_group(scored, ["query_id"], result_order(), n)
+    least = queries.sparkSession.createDataFrame(sorted(known.items()), "query_id string, needed double")
+    told = cell_bounds(queries, index, alpha).where(F.col("query_id").isNotNull()).join(least, "query_id", "left")
+    told = told.join(leads.withColumn("leads", F.lit(True)), ["query_id", "block"], "left").select(
+        "query_id", "block", "n", (F.col("leads").isNotNull() | F.col("needed").isNull() | (F.col("bound") >= F.col("needed"))).alias("scored"))
+    return PrunedSearch(top.select("query_id", F.col("pos").cast("long").alias("pos"), "id", "score", "lex", "pr"), told)
+
+
 def bm25_hybrid_topk(queries: DataFrame, index: Bm25Index, alpha: float = 0.5, n: int = 200) -> DataFrame:
     """Top-n matching documents per query by ``alpha * bm25 + (1 - alpha) * pr``. Scores every match, in one
     lazy plan; ``pruned_topk`` gives the same rows of a stored index and skips blocks."""
@@ -286,8 +325,12 @@ def positions_by_blocks(queries: DataFrame, targets: DataFrame, index: Bm25Index
     counted. Rows as by ``position_of`` over all matches (``targets(query_id, target_id)``, one row a
     query at most); NULL when the target doesn't match. Needs a stored index and alphas in 0 to 1.
 
-    The targets are counted and broadcast if they are few: neither cells nor documents are shuffled to them.
+    The targets are counted and broadcast if they are few: neither cells nor documents are shuffled to them. If
+    the queries' words are few too, cells are settled and documents counted in the tasks that hold a block.
     """
+    from .matches import Matches  # which needs this module
+    from .positions import counted
+
     if index.blocks is None:
         raise ValueError("this index has no block bounds: build it with a store")
     if not all(0 <= a <= 1 for a in alphas):
@@ -297,8 +340,28 @@ def positions_by_blocks(queries: DataFrame, targets: DataFrame, index: Bm25Index
     own = index.postings.join(broadcast_small(sought), ["term", "id"]).groupBy("query_id", F.col("id").alias("target_id")).agg(
         F.sum(F.col("qtf") * F.col("w")).alias("lex"), F.max("pr").alias("pr"))
     keys = [score_key(blend(F.col("lex"), F.col("pr"), a)).alias(f"t{i}") for i, a in enumerate(alphas)]
-    own = broadcast_small(stage(own.select("query_id", "target_id", *keys), "targets"))
+    own = stage(own.select("query_id", "target_id", *keys), "targets")
+    names = [f"a{i}" for i in range(len(alphas))]
+    found = Matches(queries, index)
+    if found.small:
+        parts = counted(found, own, index.blocks, alphas, BOUND_SLACK)
+        return CountedPositions(_sizes_of(parts, names, targets, alphas),
+                                _position_cells(terms, index, own, alphas).select("query_id", "block", "n", "opened"))
+    own = broadcast_small(own)
+    cells = stage(_position_cells(terms, index, own, alphas), "position-cells")
+    docs = _cell_parts(queries, index, cells.where("opened")).join(own, "query_id")
+    before = []
+    for i, a in enumerate(alphas):
+        s = score_key(blend(F.col("lex"), F.col("pr"), a))
+        smaller = (s == F.col(f"t{i}")) & (F.col("id") < F.col("target_id"))
+        before.append(((F.col("id") != F.col("target_id")) & ((s > F.col(f"t{i}")) | smaller)).cast("long").alias(f"a{i}"))
+    nothing = own.select("query_id", *[F.lit(0).cast("long").alias(c) for c in names])  # a target that nothing comes before
+    parts = nothing.unionByName(cells.where("not opened").select("query_id", *names)).unionByName(docs.select("query_id", *before))
+    return CountedPositions(_sizes_of(parts, names, targets, alphas), cells.select("query_id", "block", "n", "opened"))
 
+
+def _position_cells(terms: DataFrame, index: Bm25Index, own: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    """``query_id, block, n, opened, a0, a1...``: what the bounds of each cell settle."""
     held = spread_join(index.blocks, terms, "term", index.hot, "block")
     cells = held.groupBy("query_id", "block").agg(
         F.sum(F.col("qtf") * F.col("top_w")).alias("top_lex"), F.max("top_pr").alias("top_pr"),
@@ -311,19 +374,13 @@ def positions_by_blocks(queries: DataFrame, targets: DataFrame, index: Bm25Index
         before = (score_key(least - F.abs(least) * BOUND_SLACK) > F.col(f"t{i}")) & (F.col("words") == 1)
         opened = opened | ~(after | before)
         surely.append(F.when(before, F.col("n")).otherwise(F.lit(0)).alias(f"a{i}"))
-    cells = stage(cells.select("query_id", "block", "n", opened.alias("opened"), *surely), "position-cells")
+    return cells.select("query_id", "block", "n", opened.alias("opened"), *surely)
 
-    docs = _cell_parts(queries, index, cells.where("opened")).join(own, "query_id")
-    counted = []
-    for i, a in enumerate(alphas):
-        s = score_key(blend(F.col("lex"), F.col("pr"), a))
-        smaller = (s == F.col(f"t{i}")) & (F.col("id") < F.col("target_id"))
-        counted.append(((F.col("id") != F.col("target_id")) & ((s > F.col(f"t{i}")) | smaller)).cast("long").alias(f"a{i}"))
-    names = [f"a{i}" for i in range(len(alphas))]
-    found = own.select("query_id", *[F.lit(0).cast("long").alias(c) for c in names])  # a target that nothing comes before
-    parts = found.unionByName(cells.where("not opened").select("query_id", *names)).unionByName(docs.select("query_id", *counted))
-    sums = parts.groupBy("query_id").agg(*[(F.sum(c) + 1).alias(c) for c in names])
+
+def _sizes_of(parts: DataFrame, names: Sequence[str], targets: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    """Positions by the counts of ``parts``, a row for each of ``targets`` and alpha."""
+    sums = stage(parts.groupBy("query_id").agg(*[(F.sum(c) + 1).alias(c) for c in names]), "counted-positions")  # a row a query
     pairs = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(c).alias("size")) for a, c in zip(alphas, names)])
     per_alpha = sums.select("query_id", F.explode(pairs).alias("x")).select("query_id", "x.alpha", "x.size")
     base = with_alphas(targets.select("query_id"), alphas)
-    return CountedPositions(base.join(per_alpha, ["query_id", "alpha"], "left"), cells.select("query_id", "block", "n", "opened"))
+    return base.join(broadcast_small(per_alpha), ["query_id", "alpha"], "left")

@@ -1,5 +1,6 @@
 """Indexes as artefacts: opening by path, keys, hot terms in files, block bounds, segments."""
 
+import re
 import glob
 import json
 import random
@@ -236,3 +237,18 @@ def test_large_corpora_get_more_tasks_and_equal_tables(spark, papers, ranks, tmp
             assert rows_of(getattr(bm, name)) == rows_of(getattr(plain[0], name))
         for name in ("weights", "norms", "postings", "docs"):
             assert rows_of(getattr(tf, name)) == rows_of(getattr(plain[1], name))
+
+
+def test_block_searches_shuffle_no_row_for_a_query_and_block(spark, queries, store):
+    bm = fe.open_bm25(spark, store)
+    targets = queries.select("query_id", F.lit("p0001").alias("target_id"))
+    plans = [se.pruned_topk(queries, bm, 0.5, 5).top, se.positions_by_blocks(queries, targets, bm, [0.5]).sizes]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "position-cells" not in text and not re.search(r"hashpartitioning\(query_id#\d+, (block|id)#", text)
+
+
+def test_few_query_words_meet_postings_where_these_are(spark, papers):
+    docs, asked = papers, spark.createDataFrame([("q", "w1 w2")], "query_id string, query string")
+    plan = se.cosine_contribs(asked, fe.build_tfidf(docs))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[term#\d+\], \[term#\d+\], Inner", plan)

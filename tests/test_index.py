@@ -1,9 +1,9 @@
 """Indexes as artefacts: opening by path, keys, hot terms in files, block bounds, segments."""
 
-import re
 import glob
 import json
 import random
+import re
 
 import pyarrow.parquet as pq
 import pytest

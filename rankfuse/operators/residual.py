@@ -70,7 +70,7 @@ def _residual(e: DataFrame, ids: DataFrame | None, start: DataFrame | None, damp
     stored = checkpoint_path(nodes)
     if n == 0:
         return PageRankResult(spark.createDataFrame([], "id string, rank double"), [], True, stored)
-    cold, hot, hubs = hub_split(e, nodes, m)
+    cold, hot, hubs = hub_split(e)
     try:
         own = 1.0 / n
         if known > 0:

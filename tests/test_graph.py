@@ -107,3 +107,84 @@ def test_degree_statistics(spark):
     assert avg.avg_in_degree_all == 1.0
     # weighted histogram sum equals the edge count
     assert sum(k * v for k, v in hist.items()) == 4
+
+
+def steps_with_messages(monkeypatch):
+    """The ids that send in each step, from now on."""
+    seen, inflow = [], gr.pagerank_inflow
+
+    def spied(state, *edges):
+        seen.append({r["id"] for r in state.where("out_degree > 0").select("id").collect()})
+        return inflow(state, *edges)
+
+    monkeypatch.setattr(gr, "pagerank_inflow", spied)
+    return seen
+
+
+def check_against_brute_force(spark, pairs, nodes, **kw):
+    res = gr.pagerank(edges_df(spark, pairs), ids_df(spark, nodes), max_iter=10, tol=None, **kw)
+    assert ranks_of(res) == pytest.approx(brute_pagerank(nodes, pairs), abs=1e-12)
+    assert [h["total"] for h in res.history] == pytest.approx([1.0] * 10)
+    return res
+
+
+def layered_pairs():
+    rng = np.random.default_rng(3)
+    pairs = [(f"c{rng.integers(30)}", f"p{rng.integers(12)}") for _ in range(200)] + [("c0", f"p{rng.integers(12)}") for _ in range(150)]
+    pairs += [(f"p{rng.integers(12)}", f"s{rng.integers(4)}") for _ in range(90)] + [("c3", "s1"), ("c3", "s1"), ("p99", "s0")]
+    return pairs
+
+
+def test_layered_graph_sends_before_the_steps(spark, monkeypatch):
+    pairs = layered_pairs()
+    seen = steps_with_messages(monkeypatch)
+    res = check_against_brute_force(spark, pairs, sorted({x for p in pairs for x in p} | {"alone"}))
+    assert seen == [] and res.iterations == 10
+
+
+def test_steps_send_only_from_what_cycles_reach(spark, monkeypatch):
+    """Layers before a cycle, behind it and beside it, with a hub in each part, a self-loop and parallel edges."""
+    pairs = layered_pairs() + [("s0", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "x"), ("z", "tail"), ("tail", "end"), ("me", "me")]
+    pairs += [("y", f"leaf{k % 9}") for k in range(160)] + [("c1", "y"), ("p3", "z"), ("p3", "end")]
+    nodes = sorted({x for p in pairs for x in p})
+    seen = steps_with_messages(monkeypatch)
+    for every in (1, 3):
+        check_against_brute_force(spark, pairs, nodes, checkpoint_interval=every)
+    assert {frozenset(s) for s in seen[:10]} == {frozenset({"s0", "x", "y", "z", "tail", "me"})}  # s0's edge is too few for a layer
+    monkeypatch.setattr(gr, "LAYERS", 1)
+    check_against_brute_force(spark, pairs, nodes)
+
+
+def test_history_and_stop_are_those_of_plain_steps(spark, monkeypatch):
+    pairs = layered_pairs()
+    for tol, normalize in ((None, True), (1e-2, False)):
+        got = gr.pagerank(edges_df(spark, pairs), max_iter=6, tol=tol, normalize=normalize)
+        with monkeypatch.context() as m:
+            m.setattr(gr, "LAYERS", 0)
+            want = gr.pagerank(edges_df(spark, pairs), max_iter=6, tol=tol, normalize=normalize)
+        assert got.converged == want.converged and got.iterations == want.iterations
+        for a, b in zip(got.history, want.history):
+            assert a == pytest.approx(b, abs=1e-12)
+        assert ranks_of(got) == pytest.approx(ranks_of(want), abs=1e-12)
+
+
+def test_hubs_are_found_by_groups(spark, monkeypatch):
+    e = edges_df(spark, [("a", f"n{k}") for k in range(9)] + [("b", "a")] * 4 + [("c", "a")] * 3)
+    for groups in (1, 2, 1 << 16):
+        monkeypatch.setattr(gr, "SOURCE_GROUPS", groups)
+        assert sorted(r["src"] for r in gr.hub_sources(e, 3)) == ["a", "b"]
+        assert gr.hub_sources(e, 9) == []
+
+
+def test_tasks_of_a_run_follow_its_edges(spark, monkeypatch):
+    monkeypatch.setattr(gr, "EDGES_A_TASK", 10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with gr.in_own_session(spark, {"edges": edges_df(spark, [("a", "b")] * 95)}) as tables:
+        assert gr.shuffle_partitions(tables["edges"].sparkSession) == 10
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_degrees_of_both_ends(spark):
+    e = edges_df(spark, [("a", "b"), ("a", "b"), ("b", "b"), (None, "a"), ("c", None)])
+    got = {tuple(r) for r in gr.node_degrees(e, ids_df(spark, ["a", "z", "z", None])).collect()}
+    assert got == {("a", 2, 0), ("b", 1, 3), ("z", 0, 0)}

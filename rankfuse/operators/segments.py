@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_path, file_system, read_file, shuffle_partitions, write_file
-from .features import (TASK_ROWS, Bm25Index, Counts, TfidfIndex, _store, analyzer_id, bm25_from, doc_terms, document_lengths, frequencies, text_parts,
-                       tfidf_from)
+from .features import (TASK_ROWS, Bm25Index, Counts, TfidfIndex, _store, analyzer_id, bm25_from, doc_terms, document_lengths, frequencies, slices_for,
+                       text_parts, tfidf_from)
 from .ordering import hot_keys
 
 EMPTY = {"version": 0, "segments": [], "dead": [], "changes": [], "n_docs": 0, "total_len": 0}
@@ -169,7 +169,7 @@ class SegmentedIndex:
     def counts(self) -> Counts:
         df = self.frequencies()
         hot = hot_keys(df, "term", "df", shuffle_partitions(self.spark))
-        return Counts(self.terms(), df, self.lengths(), self.facts["n_docs"], self.facts["total_len"], hot)
+        return Counts(self.terms(), df, self.lengths(), self.facts["n_docs"], self.facts["total_len"], hot, slices_for(self.facts["n_docs"]))
 
     def bm25(self, ranks: DataFrame | None = None, store: str | None = None, **params) -> Bm25Index:
         """The BM25 index of the living documents (lazy; with a ``store``, as tables with block bounds)."""

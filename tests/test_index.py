@@ -13,6 +13,7 @@ from rankfuse.operators import features as fe
 from rankfuse.operators import search as se
 from rankfuse.operators.segments import SegmentedIndex
 from rankfuse.session import write_file
+from rankfuse.sources import io
 
 
 def corpus(n, seed, first=0):
@@ -252,3 +253,76 @@ def test_few_query_words_meet_postings_where_these_are(spark, papers):
     docs, asked = papers, spark.createDataFrame([("q", "w1 w2")], "query_id string, query string")
     plan = se.cosine_contribs(asked, fe.build_tfidf(docs))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"BroadcastHashJoin \[term#\d+\], \[term#\d+\], Inner", plan)
+
+
+def above_counts(plan):
+    """The steps that a plan runs on the counts (the scan of a column ``tf`` in buckets), the last one first."""
+    lines = plan.splitlines()
+    place = lambda line: re.search(r"[A-Za-z*]", line).start()
+    at = next(k for k, line in enumerate(lines) if "FileScan" in line and re.search(r"\btf#", line) and "Bucketed: true" in line)
+    steps, depth = [], place(lines[at])
+    for line in reversed(lines[:at]):
+        if re.search(r"[A-Za-z]", line) and place(line) < depth:
+            steps, depth = [*steps, line], place(line)
+    return steps
+
+
+@pytest.mark.parametrize("small", [500_000, 5])
+def test_postings_are_written_where_their_counts_lie(spark, papers, ranks, tmp_path, monkeypatch, small):
+    """No table of an index is made by moving all its postings: only those of rare terms meet the vocabulary."""
+    plans = {}
+
+    def noted(spark_, path, build, *args, **named):
+        df = build()
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        return io.stage_once(spark_, path, lambda: df, *args, **named)
+
+    monkeypatch.setattr(fe, "stage_once", noted)
+    monkeypatch.setattr(fe, "SMALL_TERMS", small)
+    path = str(tmp_path / "i")
+    bm, tf = fe.build_bm25(papers, ranks, store=path), fe.build_tfidf(papers, ranks, store=path)
+    for name in ("postings-bm25", "postings"):
+        assert not [step for step in above_counts(plans[name]) if "Exchange" in step]
+    lazy_bm, lazy_tf = fe.build_bm25(papers, ranks), fe.build_tfidf(papers, ranks)
+    columns = lazy_bm.postings.columns
+    assert rows_of(bm.postings, *columns) == rows_of(lazy_bm.postings) == rows_of(fe.open_bm25(spark, path).postings, *columns)
+    assert rows_of(tf.postings) == rows_of(lazy_tf.postings) == rows_of(fe.open_tfidf(spark, path).postings)
+    assert rows_of(tf.weights) == rows_of(lazy_tf.weights)
+
+
+def test_block_bounds_are_those_of_the_postings(spark, store):
+    bm = fe.open_bm25(spark, store)
+    want = bm.postings.groupBy("term", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("w"), F.max("pr"), F.min("w"), F.min("pr"))
+    assert rows_of(bm.blocks) == rows_of(want) and bm.blocks.count() < bm.postings.count()
+    assert bm.postings.groupBy("block").agg(F.countDistinct("id").alias("n")).agg(F.max("n")).first()[0] <= fe.BLOCK_DOCS
+
+
+def test_the_common_terms_are_few(spark, monkeypatch):
+    df = spark.createDataFrame([(f"t{k}", d) for k, d in enumerate([1] * 9 + [2] * 4 + [3] + [8, 9])], "term string, df long")
+    for small, least in ((16, 1), (15, 2), (7, 2), (6, 4), (2, 4), (1, 16), (0, 16)):
+        monkeypatch.setattr(fe, "SMALL_TERMS", small)
+        assert fe.common_from(df) == least
+        assert df.where(F.col("df") >= least).count() <= small
+
+
+def test_matches_of_a_cosine_search_are_not_shuffled_by_query(spark, papers, ranks, queries):
+    index = fe.build_tfidf(papers, ranks)
+    plan = se.search_topk(queries, index, 5, 1.0, 0.5)._jdf.queryExecution().executedPlan().toString()
+    scored = se.cosine_scores(queries, index)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+, id#", scored) and "WindowGroupLimit" in plan
+    for mode in ("all", "matching"):
+        got = se.search_topk(queries, index, 5, 1.0, 0.5, mode)
+        every = se.search_topk(queries, index, 10**6, 1.0, 0.5, mode).where("pos <= 5")
+        assert rows_of(got) == rows_of(every)
+
+
+def test_buckets_are_read_by_path_after_another_write(spark, tmp_path):
+    path, rows = str(tmp_path / "b"), spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    one = io.stage_buckets(spark, path, lambda: rows.repartition(3, "k"), "k", 3, ["id"], key="1")
+    assert "Exchange" not in one.groupBy("k", "id").count()._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rankfuse_")]
+    assert io.stage_buckets(spark, path, lambda: rows.limit(1), "k", 3, ["id"], key="1").count() == 100
+    io.drop_path(spark, path)
+    rows.limit(5).write.parquet(path)
+    assert io.stage_buckets(spark, path, lambda: rows, "k", 3, ["id"]).count() == 5

@@ -47,6 +47,7 @@ TASK_TEXT, TASK_ROWS = 16 << 20, 2_000_000
 SMALL_TERMS = 500_000
 #: Documents of a slice, about, and slices of a corpus at the least. A slice is always in one task.
 SLICE_DOCS, SLICES = 256, 64
+SLICED_TERMS = "slice int, id string, term string, tf long"
 
 
 def text_parts(docs: DataFrame, text_col: str = "title") -> int:
@@ -196,8 +197,9 @@ def count_terms(docs: DataFrame, id_col: str = "id", text_col: str = "title", st
     # with these settings counts in buckets by slice needn't move to be joined or grouped by slice and more
     own = child_session(spark, {"spark.sql.shuffle.partitions": str(parts), "spark.sql.requireAllClusterKeysForCoPartition": "false",
                                 "spark.sql.sources.bucketing.enabled": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"})
-    dealt = stage_buckets(own, _at(store, "terms"), lambda: sliced_terms(docs, id_col, text_col, slices, parts), "slice", parts, ["id", "term"], key=key)
-    terms = spark.read.parquet(_at(store, "terms")).select("id", "term", "tf")
+    dealt = stage_buckets(own, _at(store, "terms"), lambda: sliced_terms(docs, id_col, text_col, slices, parts), SLICED_TERMS, "slice", parts, ["id", "term"],
+                          key=key)
+    terms = spark.read.schema(SLICED_TERMS).parquet(_at(store, "terms")).select("id", "term", "tf")
     df = _kept(frequencies(terms), store, "frequencies", "term", key=key)
     lengths = _kept(document_lengths(texts, terms).withColumn("slices", F.lit(slices)), store, "lengths", key=key)
     n, total, slices = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0)), F.coalesce(F.max("slices"), F.lit(SLICES))).first()
@@ -455,7 +457,7 @@ def _stored_counts(spark, store: str, kind: str) -> Counts:
     facts = read_manifest(spark, store, kind)
     table = lambda name: spark.read.parquet(_at(store, name))
     df = table("frequencies")
-    return Counts(table("terms").select("id", "term", "tf"), df, table("lengths").select("id", "doc_len"), facts["n_docs"], facts["total_len"],
+    return Counts(spark.read.schema(SLICED_TERMS).parquet(_at(store, "terms")).select("id", "term", "tf"), df, table("lengths").select("id", "doc_len"), facts["n_docs"], facts["total_len"],
                   hot_keys(df, "term", "df", shuffle_partitions(spark)))
 
 

@@ -88,6 +88,10 @@ def decimal_to_double(df: DataFrame) -> DataFrame:
     return df.select(*[_decimals_to_double(f.dataType, F.col(f.name)).alias(f.name) for f in df.schema.fields])
 
 
+#: How staged outputs are compressed: they are written once and take disk for long.
+STAGED = "zstd"
+
+
 def finished(spark: SparkSession, path: str, key: str | None = None) -> bool:
     """Whether a finished output is in the folder ``path``, with a ``key`` one that was written under it."""
     root = path.rstrip("/")
@@ -104,7 +108,7 @@ def stage_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], f
     stands in the folder as ``_KEY``.
     """
     if not finished(spark, path, key):
-        build().write.mode("overwrite").format(fmt).save(path)
+        build().write.mode("overwrite").format(fmt).option("compression", STAGED).save(path)
         if key is not None:
             write_file(spark, f"{path.rstrip('/')}/_KEY", key.encode())
     return spark.read.format(fmt).load(path)
@@ -114,9 +118,9 @@ def stage_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], f
 _BUCKETED: dict[tuple[str, str], tuple[int, DataFrame]] = {}
 
 
-def stage_buckets(spark: SparkSession, path: str, build: Callable[[], DataFrame], by: str, parts: int, order: Sequence[str],
+def stage_buckets(spark: SparkSession, path: str, build: Callable[[], DataFrame], schema: str, by: str, parts: int, order: Sequence[str],
                   key: str | None = None) -> DataFrame:
-    """``stage_once`` in ``parts`` buckets by the column ``by``, each sorted by ``order``: what is read back is still
+    """``stage_once`` of rows of this ``schema`` in ``parts`` buckets by the column ``by``, each sorted by ``order``: what is read back is still
     dealt by it, so that joins and groups by it move nothing. Read by its path, or by another process, it is a plain table.
 
     Spark knows buckets from its catalog only; the table stands there no longer than it takes to read its description."""
@@ -126,7 +130,7 @@ def stage_buckets(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     if not finished(spark, path, key):
         name = f"rankfuse_{uuid.uuid4().hex}"
         drop_path(spark, root)
-        build().write.bucketBy(parts, by).sortBy(*order).format("parquet").option("path", root).saveAsTable(name)
+        build().write.bucketBy(parts, by).sortBy(*order).format("parquet").option("compression", STAGED).option("path", root).saveAsTable(name)
         try:
             table = spark.table(name)
             _BUCKETED[place] = fs.getFileStatus(mark).getModificationTime(), table
@@ -135,7 +139,7 @@ def stage_buckets(spark: SparkSession, path: str, build: Callable[[], DataFrame]
         if key is not None:
             write_file(spark, f"{root}/_KEY", key.encode())
     written, table = _BUCKETED.get(place, (None, None))
-    return table if written == fs.getFileStatus(mark).getModificationTime() else spark.read.parquet(root)
+    return table if written == fs.getFileStatus(mark).getModificationTime() else spark.read.schema(schema).parquet(root)  # no rows: no file
 
 
 def scratch(spark: SparkSession, name: str) -> str:

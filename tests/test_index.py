@@ -319,10 +319,20 @@ def test_matches_of_a_cosine_search_are_not_shuffled_by_query(spark, papers, ran
 
 def test_buckets_are_read_by_path_after_another_write(spark, tmp_path):
     path, rows = str(tmp_path / "b"), spark.range(100).select((F.col("id") % 7).alias("k"), "id")
-    one = io.stage_buckets(spark, path, lambda: rows.repartition(3, "k"), "k", 3, ["id"], key="1")
+    one = io.stage_buckets(spark, path, lambda: rows.repartition(3, "k"), "k long, id long", "k", 3, ["id"], key="1")
     assert "Exchange" not in one.groupBy("k", "id").count()._jdf.queryExecution().executedPlan().toString()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("rankfuse_")]
-    assert io.stage_buckets(spark, path, lambda: rows.limit(1), "k", 3, ["id"], key="1").count() == 100
+    assert io.stage_buckets(spark, path, lambda: rows.limit(1), "k long, id long", "k", 3, ["id"], key="1").count() == 100
     io.drop_path(spark, path)
     rows.limit(5).write.parquet(path)
-    assert io.stage_buckets(spark, path, lambda: rows, "k", 3, ["id"]).count() == 5
+    assert io.stage_buckets(spark, path, lambda: rows, "k long, id long", "k", 3, ["id"]).count() == 5
+
+
+@pytest.mark.parametrize("texts", [[], [("a", "the of and"), ("b", "")]])
+def test_a_corpus_without_words_has_an_index(spark, queries, tmp_path, texts):
+    docs, path = frame(spark, texts), str(tmp_path / "i")
+    fe.build_tfidf(docs, store=path)
+    fe.build_bm25(docs, store=path)
+    tf, bm = fe.open_tfidf(spark, path), fe.open_bm25(spark, path)
+    assert (tf.n_docs, tf.terms.count(), tf.postings.count(), bm.postings.count(), bm.blocks.count()) == (len(texts), 0, 0, 0, 0)
+    assert rows_of(tf.docs) == [(i, 0.0) for i, _ in texts] and se.bm25_hybrid_topk(queries, bm, 0.5, 3).count() == 0

@@ -348,31 +348,35 @@ class Bm25Index:
 
 def with_blocks(lengths: DataFrame) -> DataFrame:
     """``lengths`` (``slice, id, doc_len``...) with ``block``: documents of like length of a slice, ``BLOCK_DOCS`` of them
-    but in a slice's last block, share one.
+    but in a slice's last block, share one. An id may come several times: ``times`` says how often, ``copy`` numbers them.
 
     Length moves a term's weight, so a block's largest weight is close to most of its weights."""
-    place = F.dense_rank().over(Window.partitionBy("slice").orderBy("doc_len", "id")) - 1  # an id may come twice
-    return lengths.withColumn("block", F.shiftleft(F.col("slice").cast("long"), 32) + F.floor(place / F.lit(BLOCK_DOCS)))
+    place = F.dense_rank().over(Window.partitionBy("slice").orderBy("doc_len", "id")) - 1
+    block = F.shiftleft(F.col("slice").cast("long"), 32) + F.floor(place / F.lit(BLOCK_DOCS))
+    same = Window.partitionBy("slice", "id")
+    return lengths.select("*", block.alias("block"), F.count(F.lit(1)).over(same).alias("times"), F.row_number().over(same.orderBy("doc_len")).alias("copy"))
 
 
 def with_block_bounds(rows: DataFrame) -> DataFrame:
-    """``rows`` (``slice, term, block, id, w, pr``...), sorted by term, block and id in their tasks. The first of a term's
-    postings in a block has their number ``n`` and, if it isn't the only one, their largest and smallest
-    weight and rank (``top_w, top_pr, low_w, low_pr``); these columns are null in the others."""
+    """``rows`` (``slice, term, block, id, w, pr, times, copy``...), sorted by term, block and id in their tasks. The first of a
+    term's postings in a block has the number ``n`` of its documents there and, if there are more postings, the largest and
+    smallest weight and rank (``top_w, top_pr, low_w, low_pr``); these columns are null in the others. A document that
+    comes several times weighs as often, as in a score."""
     cell = Window.partitionBy("term", "slice", "block")
     first = F.row_number().over(cell.orderBy("id")) == 1
-    many = F.count(F.lit(1)).over(cell)
-    bounds = {"top_w": F.max("w"), "top_pr": F.max("pr"), "low_w": F.min("w"), "low_pr": F.min("pr")}
-    rows = rows.sortWithinPartitions("term", "slice", "block", "id").withColumn("__first", first).withColumn("__many", many)
-    for name, agg in bounds.items():
+    whole = F.col("w") * F.col("times")
+    bounds = {"top_w": F.max(whole), "top_pr": F.max("pr"), "low_w": F.min(whole), "low_pr": F.min("pr")}
+    found = {"many": F.count(F.lit(1)), "n": F.count_if(F.col("copy") == 1), **bounds}
+    rows = rows.sortWithinPartitions("term", "slice", "block", "id").withColumn("__first", first)
+    for name, agg in found.items():
         rows = rows.withColumn(f"__{name}", agg.over(cell))
     kept = [F.when(F.col("__first") & (F.col("__many") > 1), F.col(f"__{name}")).alias(name) for name in bounds]
-    plain = [c for c in rows.columns if not c.startswith("__")]
-    return rows.select(*plain, F.when(F.col("__first"), F.col("__many")).alias("n"), *kept)
+    plain = [c for c in rows.columns if not c.startswith("__") and c not in ("times", "copy")]
+    return rows.select(*plain, F.when(F.col("__first"), F.col("__n")).alias("n"), *kept)
 
 
 def block_bounds(rows: DataFrame) -> DataFrame:
-    """``(term, block, n, top_w, top_pr, low_w, low_pr)``: postings of a term in a block, their largest and
+    """``(term, block, n, top_w, top_pr, low_w, low_pr)``: documents of a block with a term, their largest and
     smallest weight and rank, from ``with_block_bounds``."""
     own = [F.coalesce(name, name[-2:].strip("_")).alias(name) for name in ("top_w", "top_pr", "low_w", "low_pr")]
     return rows.where(F.col("n").isNotNull()).select("term", "block", "n", *own)

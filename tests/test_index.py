@@ -336,3 +336,15 @@ def test_a_corpus_without_words_has_an_index(spark, queries, tmp_path, texts):
     tf, bm = fe.open_tfidf(spark, path), fe.open_bm25(spark, path)
     assert (tf.n_docs, tf.terms.count(), tf.postings.count(), bm.postings.count(), bm.blocks.count()) == (len(texts), 0, 0, 0, 0)
     assert rows_of(tf.docs) == [(i, 0.0) for i, _ in texts] and se.bm25_hybrid_topk(queries, bm, 0.5, 3).count() == 0
+
+
+def test_block_searches_of_documents_that_come_twice(spark, tmp_path):
+    rows = corpus(300, 11)
+    docs, path = frame(spark, rows + rows[::3]), str(tmp_path / "i")
+    bm = fe.build_bm25(docs, docs.select("id", (F.pmod(F.xxhash64("id"), F.lit(97)) / 970.0).alias("rank")).distinct(), store=path)
+    queries = spark.createDataFrame([(k, " ".join(t.split()[:4])) for k, t in rows[::7]], "query_id string, query string")
+    targets, alphas = queries.select("query_id", F.col("query_id").alias("target_id")), [0.0, 0.4, 1.0]
+    got = se.positions_by_blocks(queries, targets, bm, alphas).sizes
+    assert rows_of(got) == rows_of(se.position_of(se.bm25_scores(queries, bm), targets, alphas))
+    for alpha in (0.3, 1.0):
+        assert rows_of(se.pruned_topk(queries, bm, alpha, 5).top) == rows_of(se.bm25_hybrid_topk(queries, bm, alpha, 5))
